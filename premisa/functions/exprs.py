@@ -127,6 +127,14 @@ def has_nan(a: Column | str) -> Column:
     return F.exists(as_col(a), lambda x: F.isnan(x))
 
 
+# --- text ----------------------------------------------------------------------------------
+
+
+def strip(text: Column | str) -> Column:
+    """Without white space (line ends included) at both ends."""
+    return F.regexp_replace(as_col(text), r"^\s+|\s+$", "")
+
+
 # --- hashing -------------------------------------------------------------------------------
 
 

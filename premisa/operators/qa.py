@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premisa.functions.exprs import as_col, hash_number, order_key
+from premisa.functions.exprs import as_col, hash_number, order_key, strip
 from premisa.operators.nli import letter_noise
 from premisa.operators.ranking import number_rank
 
@@ -40,7 +40,10 @@ def two_way_split(df: DataFrame, id_col: str, seed: int) -> DataFrame:
 
 
 def clean_choices_csv(csv: DataFrame) -> DataFrame:
-    return csv.drop(*UNUSED_CSV).withColumnRenamed("question", "question_and_answers")
+    """Drop what is not used; the answer key is taken from the JSON side."""
+    return csv.drop(*UNUSED_CSV, "AnswerKey").withColumnRenamed(
+        "question", "question_and_answers"
+    )
 
 
 def join_choice_parts(parts: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -64,8 +67,8 @@ def merge_proofs_choices(proofs: DataFrame, choices: DataFrame, seed: int = 0) -
 
 def last_step_keys(proof: Column | str) -> Column:
     """Premise keys of the proof's last complete step."""
-    step = F.element_at(F.split(F.trim(as_col(proof)), ";"), -2)
-    return F.transform(F.split(F.replace(step, F.lit("-> hypothesis")), "&"), lambda k: F.trim(k))
+    step = F.element_at(F.split(strip(proof), ";"), -2)
+    return F.transform(F.split(F.replace(step, F.lit("-> hypothesis")), "&"), strip)
 
 
 def merged_facts(triples: Column, conclusions: Column) -> Column:

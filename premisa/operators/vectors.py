@@ -140,7 +140,7 @@ def vector_stats(states: DataFrame, keys: list[str], std: bool = False) -> DataF
     names = ["_mean", "_std"] if std else ["_mean"]
     entry = F.struct("_i", *names)
     grouped = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_v"))
-    out = [F.transform("_v", lambda s, n=n: s[n]).alias(n[1:]) for n in names]
+    out = [F.col(f"_v.{n}").alias(n[1:]) for n in names]
     return grouped.select(*keys, *out)
 
 
@@ -160,7 +160,7 @@ def mean_difference(states: DataFrame, keys: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("_i", "_d"))).alias("_v"),
         F.sqrt(F.sum(F.col("_d") * F.col("_d"))).alias("length"),
     )
-    return grouped.select(*keys, F.transform("_v", lambda s: s["_d"]).alias("direction"), "length")
+    return grouped.select(*keys, F.col("_v._d").alias("direction"), "length")
 
 
 def gram(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
@@ -210,9 +210,7 @@ def gram(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
         .agg(F.sum("_x").alias("_x"), F.sum("n").alias("n"))
     )
     entry = F.array_sort(F.collect_list(F.struct("_j", "_x")))
-    return cells.groupBy(*keys, "i").agg(
-        F.max("n").alias("n"), F.transform(entry, lambda s: s["_x"]).alias("row")
-    )
+    return cells.groupBy(*keys, "i").agg(F.max("n").alias("n"), entry["_x"].alias("row"))
 
 
 def class_covariance(states: DataFrame, keys: list[str]) -> DataFrame:

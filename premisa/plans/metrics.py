@@ -51,12 +51,12 @@ def variant_pivot(predictions: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     columns = [
         F.max(F.when(F.col("variant") == v, F.col("prediction"))).alias(v) for v in VARIANTS
     ]
-    twice = F.count("*") > F.count_distinct("variant")
+    met = sum((F.col(v).isNotNull().cast("int") for v in VARIANTS), F.lit(0))
     return (
         predictions.groupBy(*keys, "sample_id", "label")
-        .agg(*columns, twice.alias("_twice"))
-        .filter(F.assert_true(~F.col("_twice"), F.lit("variant met twice")).isNull())
-        .drop("_twice")
+        .agg(*columns, F.count("prediction").alias("_rows"))
+        .filter(F.assert_true(F.col("_rows") == met, F.lit("variant met twice")).isNull())
+        .drop("_rows")
     )
 
 
@@ -153,9 +153,13 @@ def probability_means(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     )
 
 
-def error_scores(predictions: DataFrame) -> DataFrame:
-    """The ``aggr_stats`` table: one row per probe (dataset, model, layer, method) and subgroup."""
-    wide = wide_predictions(with_subgroups(predictions))
-    errors = settle(with_errors(wide), "errors")
+def scores_of(tagged: DataFrame) -> DataFrame:
+    """Aggregates, probabilities and metrics of predictions that carry their ``subgroup``."""
+    errors = settle(with_errors(wide_predictions(tagged)), "errors")
     aggregates = error_aggregates(cell_aggregates(errors))
     return probability_means(errors).join(aggregates, GROUP)
+
+
+def error_scores(predictions: DataFrame) -> DataFrame:
+    """The ``aggr_stats`` table: one row per probe (dataset, model, layer, method) and subgroup."""
+    return scores_of(with_subgroups(predictions))
