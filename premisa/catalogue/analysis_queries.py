@@ -20,7 +20,10 @@ RUN_COLUMNS = ["dataset", "model", "variant", "train_variant", "layer", "method"
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every run met in the predictions with its name, size and mean prediction."""
+    """Every run met in the predictions with its name, size and mean prediction.
+
+    The table is staged: what is derived from a run is then computed per run, not per prediction.
+    """
     name = F.concat_ws(
         "|",
         F.concat_ws("-", "dataset", "train_variant"),
@@ -32,7 +35,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     grouped = fx.predictions(spark, sf).groupBy(*RUN_COLUMNS).agg(
         F.count("*").alias("n"), F.avg("prediction").alias("mean")
     )
-    return grouped.withColumn("run_id", name)
+    return settle(grouped.withColumn("run_id", name), "runs")
 
 
 _RUNS = f"""SELECT dataset, model, variant, train_variant, layer, method, count(*) AS n,

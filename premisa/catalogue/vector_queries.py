@@ -148,7 +148,7 @@ def _answer_tokens(spark, sf):
     words = fx.table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token")
     )
-    value = F.length("token") * F.lit(0.25) + F.col("pos") * F.lit(0.001)
+    value = F.length("token") * F.lit(0.25) + F.col("pos") * F.lit(0.125)
     values = words.withColumn("value", value).withColumn("pos", F.col("pos") - 1)
     answers = words.filter(F.col("token").endswith("."))
     return values, answers
@@ -156,7 +156,7 @@ def _answer_tokens(spark, sf):
 
 @query(
     "t4_answer_tokens",
-    f"""SELECT doc_id, round(avg(length(token) * 0.25e0 + pos * 0.001e0), 6) AS logit
+    f"""SELECT doc_id, round(avg(length(token) * 0.25e0 + pos * 0.125e0), 6) AS logit
 FROM ({_WORDS}) WHERE token LIKE '%.' GROUP BY 1""",
 )
 def t4(spark, sf):

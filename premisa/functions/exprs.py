@@ -46,7 +46,7 @@ def is_finite(x: Column | str) -> Column:
 def clip_zero(x: Column | str) -> Column:
     """Values below zero become zero; NaN stays NaN and NULL stays NULL."""
     x = as_col(x)
-    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), x))
 
 
 def above_half(p: Column | str) -> Column:

@@ -7,6 +7,8 @@ of the same bucket are ordered against each other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ from premisa.sources.staging import attach, settle
 
 HASH_DIGITS = 3  # 4096 equally likely buckets per group
 SPLITS = 256  # buckets per group when ordering by a number
-STEPS = 256  # buckets per power of two when ordering real values
+STEPS = 8  # buckets per power of two when ordering real values
+NAN_BUCKET = 2201 * STEPS
+SLICES = 4096  # slices of a bucket that is still too large
+BUCKET_ROWS = 2_000_000  # values of one bucket that a task may order
 
 
 def _offset_rank(rows: DataFrame, keys: list[str], order: list[Column], rank: str) -> DataFrame:
@@ -70,7 +75,7 @@ def value_bucket(x: Column | str) -> Column:
     size = (F.floor(F.log2(F.abs(x)) * STEPS) + F.lit(1100 * STEPS)).cast("int")
     far = F.lit(2200 * STEPS)
     return (
-        F.when(F.isnan(x), F.lit(2201 * STEPS))
+        F.when(F.isnan(x), F.lit(NAN_BUCKET))
         .when(x == INF, far)
         .when(x == -INF, -far)
         .when(x > 0, size)
@@ -79,31 +84,55 @@ def value_bucket(x: Column | str) -> Column:
     )
 
 
+def _first_level(base: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, sums and ends of the value buckets, with the first rank of each bucket."""
+    hist = base.groupBy(*keys, "_b").agg(
+        F.count("*").alias("_c"),
+        F.sum("_v").alias("_s"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+    )
+    ordered = Window.partitionBy(*keys).orderBy("_b")
+    return hist.withColumn("_end", F.sum("_c").over(ordered)).withColumn(
+        "_n", F.sum("_c").over(Window.partitionBy(*keys))
+    )
+
+
+def _second_level(base: DataFrame, keys: list[str], edges: DataFrame) -> tuple:
+    """The rows of large edge buckets cut into ``SLICES`` equal slices, and the slices' counts."""
+    near = attach(base, edges, [*keys, "_b"], ["_v"])
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    slice_ = F.when(
+        F.col("_high") - F.col("_low") > 0, F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
+    ).otherwise(F.lit(0))
+    near = near.select(*keys, "_n", "_first", "_b", "_v", slice_.cast("int").alias("_slice"))
+    cut = near.groupBy(*keys, "_n", "_first", "_b", "_slice").agg(
+        F.count("*").alias("_c"), F.sum("_v").alias("_s")
+    )
+    ordered = Window.partitionBy(*keys, "_b").orderBy("_slice")
+    return near, cut.withColumn("_end", F.col("_first") + F.sum("_c").over(ordered))
+
+
 def order_statistics(
     df: DataFrame,
     keys: list[str],
     value: str,
     percentiles: dict[str, float],
     trim: float | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Exact n, mean, percentiles and trimmed mean of ``value`` per group, NULLs left out.
 
     Percentiles interpolate linearly, and are NaN as soon as the group holds a NaN. The trimmed
     mean drops ``int(trim * n)`` values at each end. One pass counts and sums the values per
-    bucket; a second pass looks only at the few buckets the asked ranks fall into.
+    bucket; a second pass looks only at the few buckets the asked ranks fall into. If one of
+    those holds more than ``bucket_rows`` values, it is cut once more before its distinct values
+    are ordered.
     """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     base = base.withColumn("_b", value_bucket("_v"))
-    hist = base.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
-    ordered = Window.partitionBy(*keys).orderBy("_b")
-    whole = Window.partitionBy(*keys)
-    hist = (
-        hist.withColumn("_end", F.sum("_c").over(ordered))
-        .withColumn("_n", F.sum("_c").over(whole))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-    )
-    n = F.col("_n")
-    cut = F.floor(F.lit(float(trim or 0.0)) * n) if trim is not None else None
+    n, start, end = F.col("_n"), F.col("_start"), F.col("_end")
+    cut = F.floor(F.lit(float(trim)) * n) if trim is not None else None
     wanted: dict[str, Column] = {}
     for name, p in percentiles.items():
         low = F.floor((n - 1) * F.lit(float(p)))
@@ -112,46 +141,68 @@ def order_statistics(
     touched = list(wanted.values())
     if cut is not None:
         touched += [cut, n - cut - 1]
-    edge = F.lit(False)
-    for r in touched:
-        edge = edge | ((r >= F.col("_start")) & (r < F.col("_end")))
-    hist = settle(hist.withColumn("_edge", edge), "value-ranks")
-
-    def kept(start: Column, end: Column) -> Column:
-        return F.greatest(F.least(end, n - cut) - F.greatest(start, cut), F.lit(0))
-
-    def row(source: DataFrame, full: bool) -> DataFrame:
-        start, end = F.col("_start"), F.col("_end")
-        picks = [
-            (F.lit(None) if full else F.when((start <= r) & (r < end), F.col("_v")))
+
+    def with_edges(counts: DataFrame) -> DataFrame:
+        """Mark the buckets that hold an asked rank."""
+        edge = F.lit(False)
+        for r in touched:
+            edge = edge | ((r >= start) & (r < end))
+        return settle(
+            counts.withColumn("_start", end - F.col("_c")).withColumn("_edge", edge),
+            "value-ranks",
+        )
+
+    def contribution(source: DataFrame, part: Column, picks: bool, total: bool) -> DataFrame:
+        """What a set of buckets or values adds to the asked statistics of its group."""
+        at = [
+            (F.when((start <= r) & (r < end), F.col("_v")) if picks else F.lit(None))
             .cast("double")
             .alias(name)
             for name, r in wanted.items()
         ]
-        if cut is None:
-            part = F.lit(0.0)
-        elif full:
-            part = F.when(~F.col("_edge") & (start >= cut) & (end <= n - cut), F.col("_s"))
-        else:
-            part = F.when(kept(start, end) > 0, F.col("_v") * kept(start, end))
-        total = [F.col("_s"), F.col("_b")] if full else [F.lit(None), F.lit(None)]
         return source.select(
             *keys,
             "_n",
-            *picks,
+            *at,
             part.cast("double").alias("_kept"),
-            total[0].cast("double").alias("_sum"),
-            (total[1] == 2201 * STEPS).alias("_nan"),
+            (F.col("_s") if total else F.lit(None)).cast("double").alias("_sum"),
+            (F.col("_b") == NAN_BUCKET if total else F.lit(False)).alias("_nan"),
         )
 
-    edges = hist.filter("_edge").select(*keys, "_b", F.col("_start").alias("_first"), "_n")
-    near = attach(base, edges, [*keys, "_b"], ["_v"])
-    near = near.groupBy(*keys, "_b", "_first", "_n", "_v").agg(F.count("*").alias("_c"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+    def inner(counts: DataFrame, total: bool) -> DataFrame:
+        """Whole buckets between the two cuts."""
+        whole = F.lit(0.0)
+        if cut is not None:
+            whole = F.when(~F.col("_edge") & (start >= cut) & (end <= n - cut), F.col("_s"))
+        return contribution(counts, whole, picks=False, total=total)
+
+    hist = with_edges(_first_level(base, keys))
+    parts = [inner(hist, total=True)]
+    edges = hist.filter("_edge").select(
+        *keys, "_b", start.alias("_first"), "_n", "_c", "_low", "_high"
+    )
+    by = [*keys, "_b"]
+    if (edges.agg(F.max("_c")).first()[0] or 0) > bucket_rows:
+        rows, slices = _second_level(base, keys, edges)
+        slices = with_edges(slices)
+        parts.append(inner(slices, total=False))
+        by = [*by, "_slice"]
+        edges = slices.filter("_edge").select(*by, start.alias("_first"), "_n")
+        near = attach(rows.drop("_first", "_n"), edges, by, ["_v"])
+    else:
+        near = attach(base, edges.drop("_c", "_low", "_high"), by, ["_v"])
+    near = near.groupBy(*by, "_first", "_n", "_v").agg(F.count("*").alias("_c"))
+    inside = Window.partitionBy(*by).orderBy("_v")
     near = near.withColumn("_end", F.col("_first") + F.sum("_c").over(inside)).withColumn(
-        "_start", F.col("_end") - F.col("_c")
+        "_start", end - F.col("_c")
     )
-    merged = row(hist, True).unionByName(row(near, False)).groupBy(*keys)
+    kept = F.lit(0.0)
+    if cut is not None:
+        times = F.greatest(F.least(end, n - cut) - F.greatest(start, cut), F.lit(0))
+        kept = F.when(times > 0, F.col("_v") * times)
+    parts.append(contribution(near, kept, picks=True, total=False))
+
+    merged = reduce(DataFrame.unionByName, parts).groupBy(*keys)
     merged = merged.agg(
         F.max("_n").alias("n"),
         F.max("_nan").alias("_nan"),

@@ -37,8 +37,12 @@ def with_subgroups(predictions: DataFrame) -> DataFrame:
     named = F.lit(None).cast("string")
     for train, name in SUBGROUPS.items():
         named = F.when(F.col("train_variant") == train, name).otherwise(named)
-    same = F.when(F.col("train_variant") == F.col("variant"), "same")
-    both = F.filter(F.array(named, same), lambda s: s.isNotNull())
+    same = F.col("train_variant") == F.col("variant")
+    both = (
+        F.when(same & named.isNotNull(), F.array(named, F.lit("same")))
+        .when(same, F.array(F.lit("same")))
+        .when(named.isNotNull(), F.array(named))
+    )
     return predictions.withColumn("subgroup", F.explode(both))
 
 
@@ -155,7 +159,9 @@ def probability_means(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 def scores_of(tagged: DataFrame) -> DataFrame:
     """Aggregates, probabilities and metrics of predictions that carry their ``subgroup``."""
-    errors = settle(with_errors(wide_predictions(tagged)), "errors")
+    used_up = [f"{origin}_{side}_prem" for origin in ("random", "shuffle") for side in ("pos", "neg")]
+    errors = with_errors(wide_predictions(tagged)).drop("sample_id", *used_up)
+    errors = settle(errors, "errors")
     aggregates = error_aggregates(cell_aggregates(errors))
     return probability_means(errors).join(aggregates, GROUP)
 

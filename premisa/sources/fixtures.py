@@ -26,13 +26,25 @@ def numbered(names: list, value: str, index: str) -> Column:
     return F.inline(F.array(*pairs))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread narrow rows by key before they are multiplied.
+
+    A multiplied row keeps its partition, so a later grouping that includes the keys needs no
+    shuffle of the wide result. The number is given, or AQE would merge the still small parts.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, spark.sparkContext.defaultParallelism), *keys)
+
+
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
+    samples = table(spark, sf, "orders").select(
         F.concat(F.lit("ds"), F.substring("o_orderpriority", 1, 1)).alias("dataset"),
         F.lit("m1").alias("model"),
         F.col("o_orderkey").alias("sample_id"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"),
     )
+    return spread(samples, "sample_id")
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
