@@ -217,12 +217,14 @@ def length_cap(
     """Longest row met before ``wanted`` rows were kept, rejected rows included, plus two."""
     kept = sample_short(df, keys, ids, length, limit, wanted, seed)
     here = F.struct(order_key(seed, *ids).alias("k"), *ids)
-    kept = kept.withColumn("_all", F.lit(0))
-    last = kept.filter(F.col("position") == wanted).select("_all", *keys, here.alias("_last"))
-    scanned = attach(
-        df.withColumn("_all", F.lit(0)), settle(last, "last-kept"), ["_all", *keys], ids, "left"
-    )
-    scanned = scanned.filter(F.col("_last").isNull() | (here <= F.col("_last")))
+    last = kept.filter(F.col("position") == wanted).select(*keys, here.alias("_last"))
+    if keys:
+        scanned = attach(df, settle(last, "last-kept"), keys, ids, "left")
+        scanned = scanned.filter(F.col("_last").isNull() | (here <= F.col("_last")))
+    else:  # a single row, so it becomes a constant of the filter
+        found = last.select("_last.*").first()
+        bound = [] if found is None else [F.lit(v).alias(n) for n, v in found.asDict().items()]
+        scanned = df.filter(here <= F.struct(*bound)) if bound else df
     return scanned.groupBy(*keys).agg((F.max(length) + 2).cast("int").alias("max_length"))
 
 
