@@ -267,14 +267,17 @@ def p5(spark, sf):
     )
 
 
-_NOISE = """list_aggregate(list_transform(str_split({text}, ''), lambda c, i:
-  CASE WHEN regexp_matches(c, '^[a-z]$') THEN substr('abcdefghijklmnopqrstuvwxyz',
-    CAST(CAST('0x' || substr(md5('{seed}:' || {id} || ':' || ((i - 1) // 8)),
-      CAST(((i - 1) % 8) * 4 + 1 AS BIGINT), 4) AS BIGINT) % 26 + 1 AS BIGINT), 1)
-  WHEN regexp_matches(c, '^[A-Z]$') THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    CAST(CAST('0x' || substr(md5('{seed}:' || {id} || ':' || ((i - 1) // 8)),
-      CAST(((i - 1) % 8) * 4 + 1 AS BIGINT), 4) AS BIGINT) % 26 + 1 AS BIGINT), 1)
-  ELSE c END), 'string_agg', '')"""
+_LETTER = """substr('{letters}', CAST(CAST('0x' || substr(md5('{seed}:' || {id} || ':' ||
+  ((i - 1) // 16)), CAST(((i - 1) % 16) // 4 * 8 + 1 AS BIGINT), 8) AS BIGINT)
+  // [1, 26, 676, 17576][(i - 1) % 4 + 1] % 26 + 1 AS BIGINT), 1)"""
+_NOISE = (
+    "list_aggregate(list_transform(str_split({text}, ''), lambda c, i: "
+    "CASE WHEN regexp_matches(c, '^[a-z]$') THEN "
+    + _LETTER.replace("{letters}", nli.LOWER)
+    + " WHEN regexp_matches(c, '^[A-Z]$') THEN "
+    + _LETTER.replace("{letters}", nli.UPPER)
+    + " ELSE c END), 'string_agg', '')"
+)
 
 
 @query(
@@ -621,7 +624,7 @@ def d7(spark, sf):
     "SELECT doc_id, row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) AS position FROM documents",
 )
 def k3(spark, sf):
-    rows = fx.table(spark, sf, "documents").select("doc_id")
+    rows = fx.documents(spark, sf).select("doc_id")
     return hash_rank(rows, [], order_key(5, "doc_id"), ["doc_id"], "position")
 
 
@@ -688,7 +691,7 @@ def qa_pairs(spark, sf):
 FROM (SELECT doc_id, text, str_split(text[1:length(text) - 1], 'the') AS p FROM documents)""",
 )
 def p28(spark, sf):
-    df = fx.table(spark, sf, "documents").select(
+    df = fx.documents(spark, sf).select(
         "doc_id", "text", prompts.find_all("text", F.lit("the")).alias("at")
     )
     last = F.element_at("at", -1)
@@ -846,7 +849,7 @@ def u2(spark, sf):
   len(str_split(text, ' ')) AS words FROM documents""",
 )
 def f13(spark, sf):
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf).select(
         "doc_id",
         F.col("text").endswith(".").alias("ends"),
         F.length("text").alias("n"),
@@ -886,4 +889,4 @@ def u4(spark, sf):
     r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS stripped FROM documents",
 )
 def p7_strip(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.md5(strip("text")).alias("stripped"))
+    return fx.documents(spark, sf).select("doc_id", F.md5(strip("text")).alias("stripped"))

@@ -82,7 +82,7 @@ def padded_tokens(spark, sf) -> DataFrame:
     """Documents as padded token vectors (length, position) with their mask."""
     tokens = F.split("text", " ")
     pads = F.pmod("doc_id", F.lit(3)).cast("int")
-    df = fx.table(spark, sf, "documents").withColumn("_t", tokens)
+    df = fx.documents(spark, sf).withColumn("_t", tokens)
     vecs = F.transform(
         "_t", lambda t, i: F.array(F.length(t).cast("double"), i.cast("double"))
     )
@@ -145,7 +145,7 @@ _WORDS = "SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (
 
 def _answer_tokens(spark, sf):
     """Values for every token of a document; the answer tokens are those that end a sentence."""
-    words = fx.table(spark, sf, "documents").select(
+    words = fx.documents(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token")
     )
     value = F.length("token") * F.lit(0.25) + F.col("pos") * F.lit(0.125)

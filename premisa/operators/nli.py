@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premisa.functions.exprs import as_col, hex_number, order_key
+from premisa.functions.exprs import as_col, bind, hex_number, order_key
 from premisa.operators.ranking import hash_rank, number_rank
 
 # The known gold labels.
@@ -27,7 +27,8 @@ PRESETS = {
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
-LETTERS_PER_HASH = 8  # four hex digits of an md5 choose one letter
+LETTERS_PER_HASH = 16
+HASH_PARTS = (1, 9, 17, 25)  # where the four numbers of an md5 start
 
 
 def alias_sentences(raw: DataFrame) -> DataFrame:
@@ -66,38 +67,37 @@ def shuffle_column(df: DataFrame, id_col: str, column: str, seed: int) -> DataFr
 def letter_noise(text: Column | str, seed: int, *ids: Column | str) -> Column:
     """Each ASCII letter becomes a random letter of the same case; other characters stay.
 
-    One md5 per eight characters: character i reads four hex digits of hash i // 8.
+    One md5 serves sixteen characters: its four groups of eight hex digits are numbers whose
+    last four base-26 digits choose a letter each.
     """
     text = as_col(text)
-    chars = F.split(text, "")
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor(F.length(text) / LETTERS_PER_HASH).cast("int")),
         lambda b: order_key(seed, *ids, b),
     )
-    pairs = F.zip_with(
-        chars,
-        F.flatten(
-            F.transform(
-                blocks,
-                lambda h: F.transform(
-                    F.sequence(F.lit(1), F.lit(4 * LETTERS_PER_HASH - 3), F.lit(4)),
-                    lambda at: F.substr(h, at, F.lit(4)),
-                ),
-            )
-        ),
-        lambda c, h: F.struct(c.alias("c"), h.alias("h")),
+    numbers = F.flatten(
+        F.transform(
+            blocks,
+            lambda h: F.array(*[hex_number(F.substr(h, F.lit(at), F.lit(8))) for at in HASH_PARTS]),
+        )
     )
+    powers = F.array(*[F.lit(26**k) for k in range(4)])
 
-    def noisy(p: Column) -> Column:
-        place = (F.pmod(hex_number(p["h"]), F.lit(26)) + 1).cast("int")
+    def noisy(c: Column, i: Column, numbers: Column) -> Column:
+        number = F.get(numbers, F.floor(i / 4).cast("int"))
+        divisor = F.get(powers, i % 4)
+        place = (F.floor(number / divisor) % 26 + 1).cast("int")
+        code = F.ascii(c)
         return (
-            F.when(p["c"].rlike("^[a-z]$"), F.substr(F.lit(LOWER), place, F.lit(1)))
-            .when(p["c"].rlike("^[A-Z]$"), F.substr(F.lit(UPPER), place, F.lit(1)))
-            .otherwise(p["c"])
+            F.when(code.between(97, 122), F.substr(F.lit(LOWER), place, F.lit(1)))
+            .when(code.between(65, 90), F.substr(F.lit(UPPER), place, F.lit(1)))
+            .otherwise(c)
         )
 
-    kept = F.filter(pairs, lambda p: p["c"].isNotNull() & (p["c"] != ""))
-    return F.array_join(F.transform(kept, noisy), "")
+    return bind(
+        numbers,
+        lambda n: F.array_join(F.transform(F.split(text, ""), lambda c, i: noisy(c, i, n)), ""),
+    )
 
 
 def build_nli(

@@ -23,16 +23,27 @@ SLICES = 4096  # slices of a bucket that is still too large
 BUCKET_ROWS = 2_000_000  # values of one bucket that a task may order
 
 
-def _offset_rank(rows: DataFrame, keys: list[str], order: list[Column], rank: str) -> DataFrame:
-    """Rank inside the bucket column ``_b`` plus the size of all lower buckets."""
-    counts = settle(rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c")), "bucket-counts")
+def _offset_rank(
+    rows: DataFrame, keys: list[str], order: list[Column], rank: str, total: str | None = None
+) -> DataFrame:
+    """Rank inside the bucket column ``_b`` plus the size of all lower buckets.
+
+    ``total`` names a column for the size of the group, which the bucket counts give as well.
+    """
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start")
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    starts = settle(
+        counts.select(
+            *keys,
+            "_b",
+            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"),
+            *([F.sum("_c").over(Window.partitionBy(*keys)).alias(total)] if total else []),
+        ),
+        "bucket-starts",
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     ranked = rows.withColumn("_r", F.row_number().over(inside))
-    joined = attach(ranked, settle(starts, "bucket-starts"), [*keys, "_b"], ["_r"])
+    joined = attach(ranked, starts, [*keys, "_b"], ["_r"])
     return joined.withColumn(rank, (F.col("_start") + F.col("_r")).cast("bigint")).drop(
         "_b", "_r", "_start"
     )
@@ -46,7 +57,9 @@ def hash_rank(df: DataFrame, keys: list[str], key: Column, ids: list[str], rank:
     return _offset_rank(rows, keys, [F.col("_k"), *map(F.col, ids)], rank).drop("_k")
 
 
-def number_rank(df: DataFrame, keys: list[str], number: str, rank: str) -> DataFrame:
+def number_rank(
+    df: DataFrame, keys: list[str], number: str, rank: str, total: str | None = None
+) -> DataFrame:
     """1-based position by an ascending integer column that is unique within its group.
 
     Bucket bounds are approximate quantiles (a sketch of bounded size), so buckets stay even for
@@ -66,7 +79,7 @@ def number_rank(df: DataFrame, keys: list[str], number: str, rank: str) -> DataF
         rows, cut_array = df, F.array(*[F.lit(x) for x in bounds.first()["_cuts"] or []])
     bucket = F.size(F.filter(cut_array, lambda c: c < F.col(number)))
     rows = rows.withColumn("_b", bucket).drop("_cuts")
-    return _offset_rank(rows, keys, [F.col(number)], rank)
+    return _offset_rank(rows, keys, [F.col(number)], rank, total)
 
 
 def value_bucket(x: Column | str) -> Column:
@@ -98,21 +111,6 @@ def _first_level(base: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _second_level(base: DataFrame, keys: list[str], edges: DataFrame) -> tuple:
-    """The rows of large edge buckets cut into ``SLICES`` equal slices, and the slices' counts."""
-    near = attach(base, edges, [*keys, "_b"], ["_v"])
-    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    slice_ = F.when(
-        F.col("_high") - F.col("_low") > 0, F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
-    ).otherwise(F.lit(0))
-    near = near.select(*keys, "_n", "_first", "_b", "_v", slice_.cast("int").alias("_slice"))
-    cut = near.groupBy(*keys, "_n", "_first", "_b", "_slice").agg(
-        F.count("*").alias("_c"), F.sum("_v").alias("_s")
-    )
-    ordered = Window.partitionBy(*keys, "_b").orderBy("_slice")
-    return near, cut.withColumn("_end", F.col("_first") + F.sum("_c").over(ordered))
-
-
 def order_statistics(
     df: DataFrame,
     keys: list[str],
@@ -152,58 +150,62 @@ def order_statistics(
             "value-ranks",
         )
 
-    def contribution(source: DataFrame, part: Column, picks: bool, total: bool) -> DataFrame:
-        """What a set of buckets or values adds to the asked statistics of its group."""
-        at = [
-            (F.when((start <= r) & (r < end), F.col("_v")) if picks else F.lit(None))
-            .cast("double")
-            .alias(name)
-            for name, r in wanted.items()
-        ]
-        return source.select(
-            *keys,
-            "_n",
-            *at,
-            part.cast("double").alias("_kept"),
-            (F.col("_s") if total else F.lit(None)).cast("double").alias("_sum"),
-            (F.col("_b") == NAN_BUCKET if total else F.lit(False)).alias("_nan"),
+    def edges_of(counts: DataFrame, *more: str) -> DataFrame:
+        """The marked buckets, each with a number that stands for its keys from here on."""
+        found = counts.filter("_edge").withColumn("_e", F.monotonically_increasing_id())
+        return settle(
+            found.select("_e", *keys, *more, start.alias("_first"), "_n", "_c", "_low", "_high"),
+            "edges",
         )
 
-    def inner(counts: DataFrame, total: bool) -> DataFrame:
-        """Whole buckets between the two cuts."""
-        whole = F.lit(0.0)
+    def whole_buckets(counts: DataFrame, total: bool) -> DataFrame:
+        """What the buckets between the two cuts, and on the first level all of them, add up to."""
+        kept = F.lit(0.0)
         if cut is not None:
-            whole = F.when(~F.col("_edge") & (start >= cut) & (end <= n - cut), F.col("_s"))
-        return contribution(counts, whole, picks=False, total=total)
+            kept = F.when(~F.col("_edge") & (start >= cut) & (end <= n - cut), F.col("_s"))
+        return counts.groupBy(*keys).agg(
+            F.max("_n").alias("_n"),
+            F.sum(kept).alias("_kept"),
+            *([F.sum("_s").alias("_sum")] if total else []),
+            *([F.max(F.col("_b") == NAN_BUCKET).alias("_nan")] if total else []),
+        )
 
     hist = with_edges(_first_level(base, keys))
-    parts = [inner(hist, total=True)]
-    edges = hist.filter("_edge").select(
-        *keys, "_b", start.alias("_first"), "_n", "_c", "_low", "_high"
-    )
+    parts = [whole_buckets(hist, total=True)]
+    edges = edges_of(hist, "_b")
     by = [*keys, "_b"]
+    rows = attach(base, edges.select(*by, "_e"), by, ["_v"]).select("_e", "_v")
     if (edges.agg(F.max("_c")).first()[0] or 0) > bucket_rows:
-        rows, slices = _second_level(base, keys, edges)
+        rows, slices = _slices(rows, edges, keys)
         slices = with_edges(slices)
-        parts.append(inner(slices, total=False))
-        by = [*by, "_slice"]
-        edges = slices.filter("_edge").select(*by, start.alias("_first"), "_n")
-        near = attach(rows.drop("_first", "_n"), edges, by, ["_v"])
-    else:
-        near = attach(base, edges.drop("_c", "_low", "_high"), by, ["_v"])
-    near = near.groupBy(*by, "_first", "_n", "_v").agg(F.count("*").alias("_c"))
-    inside = Window.partitionBy(*by).orderBy("_v")
-    near = near.withColumn("_end", F.col("_first") + F.sum("_c").over(inside)).withColumn(
-        "_start", end - F.col("_c")
-    )
+        parts.append(whole_buckets(slices, total=False))
+        edges = edges_of(slices.withColumnRenamed("_e", "_up"), "_up", "_slice")
+        by = ["_up", "_slice"]
+        rows = attach(
+            rows.withColumnRenamed("_e", "_up"), edges.select(*by, "_e"), by, ["_v"]
+        ).select("_e", "_v")
+
+    counted = rows.groupBy("_e", "_v").agg(F.count("*").alias("_c"))
+    inside = Window.partitionBy("_e").orderBy("_v")
+    counted = counted.withColumn("_upto", F.sum("_c").over(inside))
+    near = attach(counted, edges.select("_e", "_first", "_n"), ["_e"], ["_v"])
+    near = near.withColumn("_end", F.col("_first") + F.col("_upto"))
+    near = near.withColumn("_start", end - F.col("_c"))
     kept = F.lit(0.0)
     if cut is not None:
         times = F.greatest(F.least(end, n - cut) - F.greatest(start, cut), F.lit(0))
         kept = F.when(times > 0, F.col("_v") * times)
-    parts.append(contribution(near, kept, picks=True, total=False))
+    picked = near.groupBy("_e").agg(
+        F.sum(kept).alias("_kept"),
+        *[
+            F.max(F.when((start <= r) & (r < end), F.col("_v"))).alias(name)
+            for name, r in wanted.items()
+        ],
+    )
+    parts.append(edges.select("_e", *keys).join(picked, "_e").drop("_e"))
 
-    merged = reduce(DataFrame.unionByName, parts).groupBy(*keys)
-    merged = merged.agg(
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    merged = merged.groupBy(*keys).agg(
         F.max("_n").alias("n"),
         F.max("_nan").alias("_nan"),
         F.sum("_sum").alias("_sum"),
@@ -221,3 +223,22 @@ def order_statistics(
         size = n - 2 * F.floor(F.lit(float(trim)) * n)
         out.append((F.coalesce(F.col("_kept"), F.lit(0.0)) / size).alias("trim_mean"))
     return merged.select(*keys, *out)
+
+
+def _slices(rows: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cut every edge bucket into ``SLICES`` equal parts: its rows, and the parts' counts."""
+    info = edges.select("_e", "_low", "_high")
+    width = F.col("_high") - F.col("_low")
+    share = (F.col("_v") - F.col("_low")) / width
+    place = F.when(width > 0, F.least(F.floor(share * SLICES), F.lit(SLICES - 1))).otherwise(0)
+    rows = attach(rows, info, ["_e"], ["_v"]).select("_e", "_v", place.cast("int").alias("_slice"))
+    counts = rows.groupBy("_e", "_slice").agg(
+        F.count("*").alias("_c"),
+        F.sum("_v").alias("_s"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+    )
+    ordered = Window.partitionBy("_e").orderBy("_slice")
+    counts = counts.withColumn("_upto", F.sum("_c").over(ordered))
+    joined = counts.join(edges.select("_e", *keys, "_first", "_n"), "_e")
+    return rows, joined.withColumn("_end", F.col("_first") + F.col("_upto"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from premisa.functions.exprs import (
     INF,
@@ -18,7 +24,7 @@ from premisa.functions.exprs import (
 )
 from premisa.operators.ranking import order_statistics
 from premisa.operators.vectors import mean_difference, sides
-from premisa.sources.staging import attach, settle
+from premisa.sources.staging import BROADCAST_BYTES, attach, settle, table_bytes
 
 PLACE = ["dataset", "model", "layer"]
 PROBE = [*PLACE, "train_variant", "method", "seed"]
@@ -30,16 +36,25 @@ def eligible():
     return F.col("train_variant").isin(TO_ALL) | (F.col("train_variant") == F.col("variant"))
 
 
-def pair_scores(pairs: DataFrame, probes: DataFrame, any_variant: bool = False) -> DataFrame:
+def pair_scores(
+    pairs: DataFrame,
+    probes: DataFrame,
+    any_variant: bool = False,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Probability of every probe for every sample of the same dataset, model and layer.
 
-    ``pairs`` holds both vectors of a sample in one row, so after the join a score is row-local.
-    ``probes`` is a staged table: broadcast if measured small, else spread over salted keys.
+    ``pairs`` holds both vectors of a sample in one row, so a score is row-local. ``probes`` is a
+    staged table. Measured below ``limit`` its directions are sent to the tasks as one matrix per
+    dataset, model and layer, and a batch of rows is scored by two matrix products; the vectors
+    are not repeated per probe. Beyond that the probes are joined on salted keys.
     """
     slim = probes.filter("direction is not null").select(
         *PROBE, "direction", F.greatest(norm("direction"), F.lit(NORM_FLOOR)).alias("_norm")
     )
-    joined = attach(pairs, slim, PLACE, ["variant", "sample_id"])
+    if table_bytes(slim) <= limit:
+        return _scores_by_matrix(pairs, slim, any_variant)
+    joined = attach(pairs, slim, PLACE, ["variant", "sample_id"], limit=limit)
     if not any_variant:
         joined = joined.filter(eligible())
     neg = sigmoid(dot("x0", "direction") / F.col("_norm"))
@@ -49,6 +64,65 @@ def pair_scores(pairs: DataFrame, probes: DataFrame, any_variant: bool = False)
     )
 
 
+def _scores_by_matrix(pairs: DataFrame, slim: DataFrame, any_variant: bool) -> DataFrame:
+    spark = pairs.sparkSession
+    found: dict[tuple, list] = {}
+    for r in slim.collect():
+        found.setdefault(tuple(r[k] for k in PLACE), []).append(r)
+    matrices = spark.sparkContext.broadcast(
+        {
+            place: (
+                np.array([r["direction"] for r in rows]) / np.array([[r["_norm"]] for r in rows]),
+                {k: [r[k] for r in rows] for k in ("train_variant", "method", "seed")},
+            )
+            for place, rows in found.items()
+        }
+    )
+    kept = [c for c in pairs.columns if c not in ("x0", "x1")]
+    schema = T.StructType(
+        [pairs.schema[c] for c in kept]
+        + [slim.schema[k] for k in ("train_variant", "method", "seed")]
+        + [T.StructField("p", T.DoubleType())]
+    )
+
+    def probability(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-x))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = pd.DataFrame({k: batch.column(k).to_pylist() for k in PLACE})
+            for place, index in places.groupby(PLACE, sort=False).indices.items():
+                if place not in matrices.value:
+                    continue
+                theta, names = matrices.value[place]
+                rows = batch.take(pa.array(index))
+                x0, x1 = (matrix_of(rows.column(c)) for c in ("x0", "x1"))
+                p = (probability(x1 @ theta.T) + (1.0 - probability(x0 @ theta.T))) / 2.0
+                variant = np.array(rows.column("variant").to_pylist())[:, None]
+                trained = np.array(names["train_variant"])[None, :]
+                scored = np.isin(trained, TO_ALL) | (trained == variant) | any_variant
+                row, probe = np.nonzero(scored)
+                columns = [rows.column(c).take(pa.array(row)) for c in kept]
+                columns += [
+                    pa.array([names[k][j] for j in probe])
+                    for k in ("train_variant", "method", "seed")
+                ]
+                columns.append(pa.array(p[row, probe]))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return pairs.select(*kept, "x0", "x1").mapInArrow(score, schema)
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as one matrix; all must have the same width."""
+    width = len(column[0]) if len(column) else 0
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if flat.size != width * len(column):
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(column), width)
+
+
 def accuracy(p: str = "p", y: str = "y"):
     hit = (above_half(p) == (F.col(y) == 1)).cast("double")
     return F.avg(F.when(F.col(y).isNotNull(), hit))

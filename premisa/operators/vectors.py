@@ -26,7 +26,8 @@ from premisa.operators.prompts import WINDOW_LIMIT
 from premisa.operators.ranking import hash_rank, number_rank
 from premisa.sources.staging import attach, settle
 
-RUN = ["dataset", "model", "variant", "layer"]
+SAMPLES = ["dataset", "model", "variant"]
+RUN = [*SAMPLES, "layer"]
 PARTIAL_CELLS = 4_000_000  # numbers a task keeps before it hands its partial sums on
 
 
@@ -258,20 +259,19 @@ def matrix_ranks(states: DataFrame, keys: list[str]) -> DataFrame:
 # --- preparation ---------------------------------------------------------------------------
 
 
-def half_split(states: DataFrame, keys: list[str] = RUN) -> DataFrame:
+def half_split(states: DataFrame, keys: list[str] = SAMPLES) -> DataFrame:
     """First half of each group's samples (by id) is ``train``, the rest ``eval``.
 
-    Ranks are taken over samples, not over vectors, and samples with the same id in another
-    layer or variant are ranked in their own group.
+    Samples are ranked once per dataset, model and variant: their layers and sides share the
+    split. Only the id columns are read for it.
     """
-    samples = states.filter("side = 0").select(*keys, "sample_id")
+    samples = states.select(*keys, "sample_id").distinct()
     return states.join(split_of(samples, keys), [*keys, "sample_id"])
 
 
 def split_of(samples: DataFrame, keys: list[str]) -> DataFrame:
     """``split`` per sample: positions below ⌊n/2⌋ are train."""
-    totals = settle(samples.groupBy(*keys).agg(F.count("*").alias("_n")), "group-sizes")
-    ranked = attach(number_rank(samples, keys, "sample_id", "_rank"), totals, keys, ["sample_id"])
+    ranked = number_rank(samples, keys, "sample_id", "_rank", total="_n")
     half = F.floor(F.col("_n") / 2)
     return ranked.withColumn(
         "split", F.when(F.col("_rank") <= half, "train").otherwise("eval")

@@ -158,12 +158,15 @@ def probability_means(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 
 def scores_of(tagged: DataFrame) -> DataFrame:
-    """Aggregates, probabilities and metrics of predictions that carry their ``subgroup``."""
+    """Aggregates, probabilities and metrics of predictions that carry their ``subgroup``.
+
+    The result is staged, as the ranks and the best layers read it several times.
+    """
     used_up = [f"{origin}_{side}_prem" for origin in ("random", "shuffle") for side in ("pos", "neg")]
     errors = with_errors(wide_predictions(tagged)).drop("sample_id", *used_up)
     errors = settle(errors, "errors")
     aggregates = error_aggregates(cell_aggregates(errors))
-    return probability_means(errors).join(aggregates, GROUP)
+    return settle(probability_means(errors).join(aggregates, GROUP), "aggr-stats")
 
 
 def error_scores(predictions: DataFrame) -> DataFrame:

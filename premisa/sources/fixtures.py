@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over the cores if their files give fewer splits than there are cores.
+
+    Work per character is done next; a table of many files is left where it is.
+    """
+    df = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+
+
 def numbered(names: list, value: str, index: str) -> Column:
     """A small fixed list as an array of structs, to be exploded next to each row."""
     pairs = [F.struct(F.lit(n).alias(value), F.lit(i).alias(index)) for i, n in enumerate(names)]
@@ -169,7 +179,7 @@ def nli(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("neutral")
     )
     return (
-        table(spark, sf, "documents")
+        documents(spark, sf)
         .join(table(spark, sf, "labels"), "doc_id", "left")
         .select(
             F.col("doc_id").alias("pair_id"),

@@ -222,6 +222,20 @@ def test_calibration_on_planted_data(spark):
         assert accuracy > 0.95
 
 
+@pytest.mark.parametrize("any_variant", [True, False])
+def test_scores_by_matrix_and_by_join_agree(spark, any_variant):
+    states, _ = planted(spark, n=20, groups=("no_prem", "random_pos_prem"))
+    probes = settle(fit.train(states, "mass_mean", KEYS), "p")
+    pairs = vectors.sides(states)
+    key = ["train_variant", "variant", "sample_id"]
+    small = score.pair_scores(pairs, probes, any_variant).select(*key, "p").orderBy(*key).collect()
+    large = score.pair_scores(pairs, probes, any_variant, limit=0).select(*key, "p")
+    large = large.orderBy(*key).collect()
+    assert len(small) == len(large) == (80 if any_variant else 60)
+    for a, b in zip(small, large):
+        assert a[:3] == b[:3] and a["p"] == pytest.approx(b["p"], rel=1e-12)
+
+
 def test_constant_scores_have_no_finite_scale(spark):
     rows = [("ds", "m", 1, "v", "x", 0, i, 0.7, i % 2) for i in range(4)]
     df = spark.createDataFrame(
