@@ -284,12 +284,11 @@ _NOISE = (
     "p6_letter_noise",
     "SELECT pair_id, length(noisy) AS n, md5(noisy) AS premise FROM (SELECT pair_id, "
     + _NOISE.format(text="sentence1", seed=0, id="pair_id")
-    + " AS noisy FROM nli WHERE length(sentence1) > 0)",
+    + " AS noisy FROM nli)",
     "nli",
 )
 def p6(spark, sf):
-    df = fx.nli(spark, sf).filter(F.length("sentence1") > 0)
-    noisy = df.select("pair_id", nli.letter_noise("sentence1", 0, "pair_id").alias("noisy"))
+    noisy = fx.nli(spark, sf).select("pair_id", nli.letter_noise("sentence1", 0, "pair_id").alias("noisy"))
     return noisy.select("pair_id", F.length("noisy").alias("n"), F.md5("noisy").alias("premise"))
 
 

@@ -5,8 +5,6 @@ All of them are built-in Spark expressions, so they stay inside the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,7 +157,3 @@ def hash_number(key: Column) -> Column:
 def text_id(*cols: Column | str, separator: str = "\u0001") -> Column:
     """SHA-256 of the values' texts joined with a separator no value contains."""
     return F.sha2(F.concat_ws(separator, *[as_col(c).cast("string") for c in cols]), 256)
-
-
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

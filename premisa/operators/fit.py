@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from premisa.functions.exprs import all_of, minus, order_key
+from premisa.functions.exprs import minus, order_key
+from premisa.operators.ranking import hash_rank
 from premisa.operators.vectors import class_covariance, gram, mean_difference, sides
-from premisa.sources.staging import attach, settle
+from premisa.sources.staging import attach, new_path, settle
 
 TASK_CELLS = 8_000_000  # numbers of one side that a task may hold: 64 MB
 WAVE_CELLS = 4_000_000  # parameters of large groups that are fitted at the same time
@@ -34,14 +35,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-class GradientMethod:
-    """Full-batch AdamW on a direction per seed; subclasses give the loss and its gradient.
-
-    ``w`` has one row per seed, so all seeds share one pass over the data.
-    """
+class Method:
+    """What every iterative method has: seeds, a batch size (-1 = all rows), a start."""
 
     name = ""
     supervised = False
+    seeds: tuple[int, ...] = (0,)
+    batch_size = -1
+
+    def batches(self, n: int) -> int:
+        """Batches per epoch; rows that do not fill the last one are dropped."""
+        return 1 if self.batch_size < 0 else max(n // self.batch_size, 1)
+
+
+class GradientMethod(Method):
+    """AdamW on a direction per seed; subclasses give the loss and its gradient.
+
+    ``w`` has one row per seed, so all seeds share one pass over the data. The reported loss is
+    that of the last batch before its step.
+    """
 
     def __init__(
         self,
@@ -49,13 +61,16 @@ class GradientMethod:
         epochs: int = 1000,
         lr: float = 1e-3,
         decay: float = 0.01,
+        batch_size: int = -1,
     ):
         self.seeds, self.epochs, self.lr, self.decay = seeds, epochs, lr, decay
+        self.batch_size = batch_size
 
-    def start(self, d: int, anchor: np.ndarray) -> dict[str, Any]:
+    def start(self, d: int, anchor: np.ndarray, n: int) -> dict[str, Any]:
         bound = 1.0 / np.sqrt(d)
         w = np.stack([np.random.default_rng(s).uniform(-bound, bound, d) for s in self.seeds])
-        return {"w": w, "m": np.zeros_like(w), "v": np.zeros_like(w), "t": 0, "done": False}
+        zeros = {"m": np.zeros_like(w), "v": np.zeros_like(w)}
+        return {"w": w, **zeros, "t": 0, "steps": self.epochs * self.batches(n), "done": False}
 
     def totals(self, w: np.ndarray, x0: np.ndarray, x1: np.ndarray, y: np.ndarray) -> Sums:
         raise NotImplementedError
@@ -68,7 +83,8 @@ class GradientMethod:
         v = 0.999 * state["v"] + 0.001 * g * g
         w = state["w"] * (1 - self.lr * self.decay)
         w = w - self.lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return {"w": w, "m": m, "v": v, "t": t, "loss": sums["loss"] / n, "done": t >= self.epochs}
+        done = t >= state["steps"]
+        return {**state, "w": w, "m": m, "v": v, "t": t, "loss": sums["loss"] / n, "done": done}
 
     def result(self, state: dict[str, Any]) -> list[tuple[int, np.ndarray, float]]:
         return [(s, state["w"][i], float(state["loss"][i])) for i, s in enumerate(self.seeds)]
@@ -139,18 +155,18 @@ class Reflection(GradientMethod):
         return {"n": np.array([len(x0)]), "loss": dist.sum(0), "g": g.ravel()}
 
 
-class BalancedLogistic:
+class BalancedLogistic(Method):
     """Newton's method for L2-regularised logistic regression on x0 - x1, classes weighed alike.
 
     Objective: |w|²/2 + C · sum of weighted losses, weight n / (2 · class size), no intercept.
     """
 
-    name, supervised, seeds = "lr_sklearn", True, (0,)
+    name, supervised = "lr_sklearn", True
 
     def __init__(self, balanced: bool = True, c: float = 1.0, steps: int = 100, tol: float = 1e-8):
         self.balanced, self.c, self.steps, self.tol = balanced, c, steps, tol
 
-    def start(self, d, anchor):
+    def start(self, d, anchor, n):
         return {"w": np.zeros((1, d)), "t": 0, "done": False}
 
     def totals(self, w, x0, x1, y):
@@ -189,20 +205,20 @@ class BalancedLogistic:
         return [(0, state["w"][0], float(state["loss"]))]
 
 
-class TwoClusters:
+class TwoClusters(Method):
     """Two opposite clusters of x1 - x0 by cosine; the direction is half their means' difference.
 
     Starts from the first pair in hash order and its opposite, then alternates between assigning
     rows and averaging unit vectors until no row changes.
     """
 
-    name, supervised, seeds = "unsupervised_mass_mean", False, (0,)
+    name = "unsupervised_mass_mean"
 
     def __init__(self, rounds: int = 100):
         self.rounds = rounds
 
-    def start(self, d, anchor):
-        return {"w": np.stack([-anchor, anchor]), "t": 0, "sizes": None, "done": False}
+    def start(self, d, anchor, n):
+        return {"w": np.stack([-anchor, anchor]), "t": 0, "done": False}
 
     def totals(self, w, x0, x1, y):
         delta = x1 - x0
@@ -269,9 +285,13 @@ def _fit_in_tasks(pairs: DataFrame, keys: list[str], method) -> DataFrame:
         group = group.sort_values("_k", kind="stable")
         x0, x1 = np.stack(group["x0"].to_list()), np.stack(group["x1"].to_list())
         y = group["y"].to_numpy(dtype=float)
-        state = method.start(x0.shape[1], x1[0] - x0[0])
+        state = method.start(x0.shape[1], x1[0] - x0[0], len(y))
+        batches = method.batches(len(y))
+        size = len(y) if batches == 1 and method.batch_size < 0 else min(method.batch_size, len(y))
         while not state["done"]:
-            state = method.step(state, method.totals(state["w"], x0, x1, y))
+            at = state["t"] % batches * size
+            part = slice(at, at + size)
+            state = method.step(state, method.totals(state["w"], x0[part], x1[part], y[part]))
         rows = method.result(state)
         out = pd.concat([group[keys].head(1)] * len(rows), ignore_index=True)
         out["seed"] = [r[0] for r in rows]
@@ -333,14 +353,26 @@ def _fit_spread(
             T.StructType([pairs.schema[k] for k in keys] + [T.StructField("_g", T.LongType())]),
         )
         rows = pairs.join(F.broadcast(ids), keys).select("_g", "_k", "y", "x0", "x1")
+        if method.batch_size > 0:
+            rows = hash_rank(rows, ["_g"], F.col("_k"), [], "_place")
+            rows = rows.withColumn("_batch", F.floor((F.col("_place") - 1) / method.batch_size))
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         first = rows.groupBy("_g").agg(F.min_by(minus("x1", "x0"), "_k").alias("anchor"))
-        states = {r["_g"]: method.start(width, np.array(r["anchor"])) for r in first.collect()}
+        states = {
+            r["_g"]: method.start(width, np.array(r["anchor"]), wave[r["_g"]]["_n"])
+            for r in first.collect()
+        }
         while True:
             open_groups = {g: s["w"] for g, s in states.items() if not s["done"]}
             if not open_groups:
                 break
             live = rows.filter(F.col("_g").isin(list(open_groups)))
+            if method.batch_size > 0:
+                now = [
+                    (g, states[g]["t"] % method.batches(wave[g]["_n"])) for g in open_groups
+                ]
+                batch = F.create_map(*[F.lit(x) for pair in now for x in pair])
+                live = live.filter(F.col("_batch") == batch[F.col("_g").cast("int")])
             for g, sums in _spread_totals(live, method, open_groups).items():
                 states[g] = method.step(states[g], sums)
         rows.unpersist()
@@ -361,14 +393,23 @@ def _fit_logistic_ml(
 ) -> DataFrame:
     """Large groups of the balanced logistic fit: Spark ML's distributed L-BFGS, one per group.
 
+    The groups are stored apart, so each fit scans its own rows only.
+
     Spark ML minimises the weighted mean loss + regParam·|w|²/2; regParam = 1 / (C · Σ weights)
     makes that the same objective as in ``BalancedLogistic``.
     """
     spark = pairs.sparkSession
+    ids = spark.createDataFrame(
+        [(*[w[k] for k in keys], g) for g, w in enumerate(large)],
+        T.StructType([pairs.schema[k] for k in keys] + [T.StructField("_g", T.LongType())]),
+    )
+    path = new_path(spark, "large-groups")
+    stored = pairs.join(F.broadcast(ids), keys).select("_g", "y", minus("x0", "x1").alias("x"))
+    stored.write.partitionBy("_g").parquet(path)
     done = []
-    for group in large:
-        same = all_of([F.col(k) == F.lit(group[k]) for k in keys])
-        rows = pairs.filter(same).select("y", array_to_vector(minus("x0", "x1")).alias("x"))
+    for g, group in enumerate(large):
+        rows = spark.read.parquet(path).filter(F.col("_g") == g)
+        rows = rows.select("y", array_to_vector("x").alias("x"))
         sizes = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
         n = sum(sizes.values())
         weight = F.lit(1.0)

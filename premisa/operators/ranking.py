@@ -51,10 +51,10 @@ def _offset_rank(
 
 def hash_rank(df: DataFrame, keys: list[str], key: Column, ids: list[str], rank: str) -> DataFrame:
     """1-based position of each row in hash order (then ids) within its group."""
-    rows = df.withColumn("_k", key).withColumn(
-        "_b", hex_number(F.substring("_k", 1, HASH_DIGITS)).cast("int")
+    rows = df.withColumn("_hash", key).withColumn(
+        "_b", hex_number(F.substring("_hash", 1, HASH_DIGITS)).cast("int")
     )
-    return _offset_rank(rows, keys, [F.col("_k"), *map(F.col, ids)], rank).drop("_k")
+    return _offset_rank(rows, keys, [F.col("_hash"), *map(F.col, ids)], rank).drop("_hash")
 
 
 def number_rank(

@@ -63,6 +63,7 @@ def test_finds_the_planted_direction(spark, method, params, least):
         ("lr_gd", {"epochs": 8, "lr": 0.05}),
         ("ccs_gd", {"epochs": 8, "lr": 0.05, "seeds": (0, 3)}),
         ("ccr", {"epochs": 8, "lr": 0.05}),
+        ("lr_gd", {"epochs": 3, "lr": 0.05, "batch_size": 25}),
         ("unsupervised_mass_mean", {}),
         ("lr_sklearn", {}),
     ],
@@ -113,6 +114,12 @@ def test_gradients_match_finite_differences(method, loss):
             assert g[s, j] == pytest.approx(slope, rel=1e-4, abs=1e-5)
 
 
+def test_batches_drop_the_remainder():
+    m = fit.METHODS["ccr"](batch_size=25)
+    assert [m.batches(n) for n in (10, 25, 60, 100)] == [1, 1, 2, 4]
+    assert fit.METHODS["ccr"]().batches(60) == 1
+
+
 def test_more_epochs_lower_the_loss(spark):
     states, _ = planted(spark)
     for method in ("lr_gd", "ccs_gd", "ccr"):
