@@ -9,6 +9,8 @@ from premisa.catalogue.vector_queries import RUN, centred
 from premisa.functions.exprs import norm
 from premisa.operators import fit
 from premisa.operators.vectors import combine
+from premisa.plans import compare, experiment
+from premisa.sources import fixtures as fx
 from premisa.sources.catalog import COMBINE_QUOTAS
 
 
@@ -54,3 +56,34 @@ def m7_combined(spark, sf):
     ids = F.concat_ws("-", "variant", F.col("sample_id").cast("string"))
     one = mixed.withColumn("sample_id", ids).withColumn("variant", F.lit("combined"))
     return _shown(fit.train(one, "ccr", RUN))
+
+
+def _experiment(spark, sf):
+    return experiment.error_experiment(fx.states(spark, sf), fx.logits(spark, sf))
+
+
+@query("x13_experiment_errors")
+def x13_experiment(spark, sf):
+    """States and logits in, error scores out: split, centre, fit, calibrate, score, measure."""
+    return _experiment(spark, sf)["aggr_stats"]
+
+
+@query("x14_experiment_final_table")
+def x14_experiment(spark, sf):
+    return _experiment(spark, sf)["final"]
+
+
+@query("x19_experiment_intervention")
+def x19_experiment(spark, sf):
+    """The answers of true statements are steered against the mean difference."""
+    flagged = fx.states(spark, sf).withColumn("is_answer", F.col("y") == 1).withColumn(
+        "is_period", F.col("side") == 1
+    )
+    return experiment.intervention_experiment(flagged, "mass_mean")["effects"]
+
+
+@query("x20_experiment_directions")
+def x20_experiment(spark, sf):
+    ready = experiment.prepared(fx.states(spark, sf))
+    views = experiment.direction_experiment(experiment.fit_all(ready))
+    return compare.all_views(views)

@@ -848,6 +848,33 @@ def m9_calibrated(spark, sf):
     return df.select("variant", "sample_id", "y", r6("p"))
 
 
+_BASE = f"""SELECT variant, split, sample_id, y, 0.5e0 + 0.5e0 * d / greatest(-min(d) OVER w,
+  max(d) OVER w) AS p FROM (SELECT *, pos - (neg - m) AS d
+  FROM (SELECT *, median(neg - pos) OVER (PARTITION BY variant, split) AS m
+        FROM ({_LP}) JOIN halves USING (sample_id)))
+WINDOW w AS (PARTITION BY variant, split)"""
+
+
+@query(
+    "m9_logit_baseline_evaluated",
+    f"""SELECT t.train_variant, e.variant, e.sample_id, e.y,
+  round(1e0 / (1e0 + exp(-(t.sign * t.scale * ln(q / (1 - q))))), 6) AS prediction
+FROM (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM ({_BASE}) WHERE split = 'eval') e
+JOIN (SELECT variant AS train_variant, CASE WHEN avg(CAST((p > 0.5) = (y = 1) AS INT)) < 0.5
+    THEN -1 ELSE 1 END AS sign, (SELECT ln(0.75e0 / 0.25e0) / stddev_samp(ln(q / (1 - q)))
+    FROM (SELECT least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM ({_BASE})
+      WHERE split = 'train' AND variant = 'no_prem')) AS scale
+  FROM ({_BASE}) WHERE split = 'train' GROUP BY 1) t
+ON t.train_variant IN ('original_pos_prem', 'no_prem') OR t.train_variant = e.variant""",
+    "lgt halves",
+)
+def m9_evaluated(spark, sf):
+    split = vectors.half_split(fx.logits(spark, sf))
+    return score.evaluate_logit_baseline(split).select(
+        "train_variant", "variant", "sample_id", "y", r6("prediction")
+    )
+
+
 @query(
     "a21_extent",
     f"""SELECT variant, round(greatest(-min(pos - neg), max(pos - neg)), 6) AS extent

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from premisa.functions.exprs import INF, NAN, as_col, hex_number
-from premisa.sources.staging import attach, settle
+from premisa.sources.staging import attach, bytes_column, settle, table_bytes
 
 HASH_DIGITS = 3  # 4096 equally likely buckets per group
 SPLITS = 256  # buckets per group when ordering by a number
@@ -174,21 +174,22 @@ def order_statistics(
     parts = [whole_buckets(hist, total=True)]
     edges = edges_of(hist, "_b")
     by = [*keys, "_b"]
-    rows = attach(base, edges.select(*by, "_e"), by, ["_v"]).select("_e", "_v")
-    if (edges.agg(F.max("_c")).first()[0] or 0) > bucket_rows:
+    size, largest = edges.agg(bytes_column(edges), F.max("_c")).first()
+    rows = attach(base, edges.select(*by, "_e"), by, ["_v"], size=size).select("_e", "_v")
+    if (largest or 0) > bucket_rows:
         rows, slices = _slices(rows, edges, keys)
         slices = with_edges(slices)
         parts.append(whole_buckets(slices, total=False))
         edges = edges_of(slices.withColumnRenamed("_e", "_up"), "_up", "_slice")
         by = ["_up", "_slice"]
-        rows = attach(
-            rows.withColumnRenamed("_e", "_up"), edges.select(*by, "_e"), by, ["_v"]
-        ).select("_e", "_v")
+        size = table_bytes(edges)
+        rows = rows.withColumnRenamed("_e", "_up")
+        rows = attach(rows, edges.select(*by, "_e"), by, ["_v"], size=size).select("_e", "_v")
 
     counted = rows.groupBy("_e", "_v").agg(F.count("*").alias("_c"))
     inside = Window.partitionBy("_e").orderBy("_v")
     counted = counted.withColumn("_upto", F.sum("_c").over(inside))
-    near = attach(counted, edges.select("_e", "_first", "_n"), ["_e"], ["_v"])
+    near = attach(counted, edges.select("_e", "_first", "_n"), ["_e"], ["_v"], size=size)
     near = near.withColumn("_end", F.col("_first") + F.col("_upto"))
     near = near.withColumn("_start", end - F.col("_c"))
     kept = F.lit(0.0)

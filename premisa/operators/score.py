@@ -203,3 +203,22 @@ def logit_baseline(logits: DataFrame, keys: list[str], with_calibration: bool) -
     scaled_pairs = attach(pairs, settle(extent, "gap-extents"), keys, ["sample_id"])
     p = F.lit(0.5) + safe_div(F.lit(0.5) * F.col("_d"), "_f")
     return scaled_pairs.withColumn("p", p).drop("_d", "_f")
+
+
+def evaluate_logit_baseline(logits: DataFrame, with_calibration: bool = True) -> DataFrame:
+    """Calibrated predictions of the logit baseline on the eval split of all eligible variants.
+
+    ``logits`` carries ``variant`` and ``split``. Without a direction the sign comes from the
+    accuracy on the training set; the scale from the no-premise training logits.
+    """
+    run = ["dataset", "model"]
+    by = [*run, "variant", "split"]
+    scores = settle(logit_baseline(logits, by, with_calibration), "baseline")
+    trained = scores.filter("split = 'train'")
+    signs = sign_by_accuracy(trained, [*run, "variant"]).select(
+        *run, F.col("variant").alias("train_variant"), F.col("sign_by_accuracy").alias("sign")
+    )
+    params = signs.join(logit_scale(trained.filter("variant = 'no_prem'"), run), run)
+    evaluated = scores.filter("split = 'eval'").drop("split", "neg", "pos")
+    joined = attach(evaluated, settle(params, "baseline-params"), run, ["sample_id"])
+    return calibrate(joined.filter(eligible()))

@@ -81,20 +81,21 @@ def with_errors(wide: DataFrame) -> DataFrame:
     """Add the premise effect and every error as row-local expressions."""
     h, pe = F.col("no_prem"), F.col("pe")
     n, o = F.col("original_neg_prem"), F.col("original_pos_prem")
-    df = wide.withColumn("pe", premise_effect())
-    for error, origin in (("error_1", "random"), ("error_2", "shuffle")):
-        for side in ("pos", "neg"):
-            away = F.abs(F.col(f"{origin}_{side}_prem") - h)
-            df = df.withColumn(f"{error}_{side}", safe_div(away, F.abs(pe)))
     is_true = F.col("label") == 1
-    return (
-        df.withColumn("error_3", clip_zero(safe_div(n - h, pe)))
-        .withColumn("error_4", safe_div(F.abs(n - o), F.abs(pe)))
-        .withColumn("error_3_4", F.col("error_3") + F.col("error_4"))
-        .withColumn("error_sv_1", F.when(is_true, clip_zero(-pe)).otherwise(F.lit(0.0)))
-        .withColumn("error_sv_0", F.when(~is_true, clip_zero(pe)).otherwise(F.lit(0.0)))
-        .withColumn("error_sv", F.col("error_sv_1") + F.col("error_sv_0"))
-    )
+    columns = {
+        f"{error}_{side}": safe_div(F.abs(F.col(f"{origin}_{side}_prem") - h), F.abs(pe))
+        for error, origin in (("error_1", "random"), ("error_2", "shuffle"))
+        for side in ("pos", "neg")
+    }
+    columns["error_3"] = clip_zero(safe_div(n - h, pe))
+    columns["error_4"] = safe_div(F.abs(n - o), F.abs(pe))
+    columns["error_sv_1"] = F.when(is_true, clip_zero(-pe)).otherwise(F.lit(0.0))
+    columns["error_sv_0"] = F.when(~is_true, clip_zero(pe)).otherwise(F.lit(0.0))
+    sums = {
+        "error_3_4": F.col("error_3") + F.col("error_4"),
+        "error_sv": F.col("error_sv_1") + F.col("error_sv_0"),
+    }
+    return wide.withColumn("pe", premise_effect()).withColumns(columns).withColumns(sums)
 
 
 def cells_long(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:

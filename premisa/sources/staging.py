@@ -44,8 +44,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """In-memory size of a (staged) table: eight bytes a number, texts and arrays by length."""
+def bytes_column(df: DataFrame) -> Column:
+    """In-memory size of a table as an aggregate: numbers by eight bytes, the rest by length."""
     size: Column = F.lit(0)
     for f in df.schema.fields:
         if isinstance(f.dataType, T.ArrayType):
@@ -54,7 +54,11 @@ def table_bytes(df: DataFrame) -> int:
             size = size + F.coalesce(F.length(f.name), F.lit(0)) * 4 + 16
         else:
             size = size + 8
-    return df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return F.coalesce(F.sum(size.cast("bigint")), F.lit(0))
+
+
+def table_bytes(df: DataFrame) -> int:
+    return df.agg(bytes_column(df)).first()[0]
 
 
 def attach(
@@ -64,14 +68,16 @@ def attach(
     spread: list[str],
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
+    size: int | None = None,
 ) -> DataFrame:
     """Join a staged ``small`` table to ``big`` on ``keys``, whatever the sizes and the skew.
 
     Measured below ``limit`` the small side is broadcast and ``big`` is not moved. Beyond it, the
     rows of one key are spread over ``SALTS`` tasks by a hash of the ``spread`` columns and the
     small side is repeated per salt, so a key with a third of all rows does not fill one task.
+    ``size`` is the measured size in bytes, if the caller has it already.
     """
-    if table_bytes(small) <= limit:
+    if (table_bytes(small) if size is None else size) <= limit:
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
