@@ -239,8 +239,8 @@ FROM tagged GROUP BY ALL""",
   abs(sp - h) / abs(pe) AS error_2_pos, abs(sn - h) / abs(pe) AS error_2_neg,
   greatest((n - h) / pe, 0e0) AS error_3, abs(n - o) / abs(pe) AS error_4,
   greatest((n - h) / pe, 0e0) + abs(n - o) / abs(pe) AS error_3_4,
-  label * greatest(-pe, 0e0) AS error_sv_1, (1 - label) * greatest(pe, 0e0) AS error_sv_0,
-  label * greatest(-pe, 0e0) + (1 - label) * greatest(pe, 0e0) AS error_sv
+  label * greatest(0e0 - pe, 0e0) AS error_sv_1, (1 - label) * greatest(pe, 0e0) AS error_sv_0,
+  label * greatest(0e0 - pe, 0e0) + (1 - label) * greatest(pe, 0e0) AS error_sv
 FROM (SELECT *, o - h AS pe FROM wide)""",
     ),
     "long": (
