@@ -29,6 +29,8 @@ def _offset_rank(
     """Rank inside the bucket column ``_b`` plus the size of all lower buckets.
 
     ``total`` names a column for the size of the group, which the bucket counts give as well.
+    The windows over the counts see at most one row per bucket: 4,096 a group by hash, 256 by
+    number.
     """
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
