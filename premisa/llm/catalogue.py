@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.llm import decontaminate as dc
-from premisa.llm.common import session, table
+from premisa.llm import repetition, toxicity
+from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,3 +75,63 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         dc.contaminated().alias("contaminated"),
     )
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.learn(docs, labels, remainder("doc_id", 5) == 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxicity.sentences").alias("n_offending"),
+    )
+
+
+@query(
+    "op4_quality_rules",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    grams AS (
+      SELECT r, n, i, hash(w[i:i + n - 1]) AS x
+      FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+            FROM d, (VALUES (3), (10), (101)) AS v(n) WHERE len(w) >= n)),
+    twice AS (
+      SELECT r, n, i FROM grams
+      JOIN (SELECT r, n, x FROM grams GROUP BY ALL HAVING count(*) > 1) USING (r, n, x)),
+    inside AS (
+      SELECT r, n, count(DISTINCT p) AS k
+      FROM (SELECT r, n, unnest(generate_series(i, i + n - 1)) AS p FROM twice) GROUP BY r, n),
+    dup AS (
+      SELECT r, sum(k - 1) AS k
+      FROM (SELECT r, l, count(*) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+            WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r, l)
+      GROUP BY r),
+    m AS (
+      SELECT r, doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))
+        AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(dup.k, 0) AS n_dup_lines, coalesce(a.k, 0) AS n_repeat_words,
+        coalesce(b.k, 0) AS covered, coalesce(c.k, 0) AS long
+      FROM d LEFT JOIN dup USING (r)
+      LEFT JOIN (FROM inside WHERE n = 3) a USING (r)
+      LEFT JOIN (FROM inside WHERE n = 10) b USING (r)
+      LEFT JOIN (FROM inside WHERE n = 101) c USING (r)),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+      n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+      n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+      NOT base_failed AND covered <= 0.4 * n_words AND long = 0 AS kept
+    FROM f
+    """,
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    judged = repetition.quality_rules(table(spark, sf, "documents").select("doc_id", "text"))
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    fields += ["base_failed", "kept"]
+    return judged.select("doc_id", *(f"quality_rules.{f}" for f in fields))
