@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.llm import decontaminate as dc
-from premisa.llm import repetition, toxicity
+from premisa.llm import repetition, toxicity, wrapper
 from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields += ["base_failed", "kept"]
     return judged.select("doc_id", *(f"quality_rules.{f}" for f in fields))
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return wrapper.main_text(pages, into="text").select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )

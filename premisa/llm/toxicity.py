@@ -60,7 +60,7 @@ def sentence_odds(text: str, weight: Weight, offset: float) -> list[tuple[int, i
     """Start, end and log-odds of each sentence."""
     get = weight.__getitem__
     return [
-        (m.start(), m.end(), offset + sum(map(get, m.group().lower().split())))
+        (m.start(), m.end(), offset + sum(map(get, set(m.group().lower().split()))))
         for m in SENTENCE.finditer(text)
     ]
 
@@ -80,7 +80,7 @@ def fit(
     buckets: int = BUCKETS,
     rounds: int = 150,
     rate: float = 0.15,
-    penalty: float = 2e-4,
+    penalty: float = 3e-3,
 ) -> Model:
     """Maximum likelihood of document labels under the noisy-or of their sentences.
 
