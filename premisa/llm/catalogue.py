@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.llm import decontaminate as dc
-from premisa.llm import repetition, toxicity, wrapper
+from premisa.llm import packing, repetition, toxicity, wrapper
 from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return wrapper.main_text(pages, into="text").select(
         "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
     )
+
+
+@query("op9_pack")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
