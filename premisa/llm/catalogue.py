@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.llm import decontaminate as dc
-from premisa.llm import packing, repetition, toxicity, wrapper
+from premisa.llm import packing, repetition, setsketch, toxicity, wrapper
 from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,37 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_pack")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query(
+    "op6_near_duplicates",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    s AS (
+      SELECT DISTINCT r, array_to_string(w[i:i + k - 1], ' ') AS x
+      FROM (SELECT r, w, least(len(w), 5) AS k,
+              unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS i
+            FROM d WHERE len(w) > 0)),
+    n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+    shared AS (
+      SELECT a.r AS a, b.r AS b, count(*) AS i
+      FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+    links AS (
+      SELECT a, b FROM shared JOIN n na ON na.r = a JOIN n nb ON nb.r = b
+      WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (
+      SELECT r, r AS t FROM d
+      UNION
+      SELECT reach.r, b AS t FROM reach JOIN both_ways ON a = reach.t),
+    c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = t GROUP BY reach.r)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+    """,
+)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf, "documents"))
