@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.llm import decontaminate as dc
-from premisa.llm import packing, repetition, setsketch, toxicity, wrapper
+from premisa.llm import fuzzy_lines, packing, repetition, setsketch, toxicity, wrapper
 from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +182,14 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    marked = fuzzy_lines.dedupe_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return marked.select(
+        "doc_id",
+        "lines.n_lines",
+        F.size("lines.dropped").cast("bigint").alias("n_dropped"),
+        F.array_join(F.col("lines.dropped").cast("array<string>"), ",").alias("dropped"),
+    )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premisa.llm.common import BROADCAST_BYTES, components
+from premisa.llm.common import BROADCAST_BYTES, link_buckets
 from premisa.llm.shingles import WordHash, mixed, shingle_set
 from premisa.sources.staging import settle
 
@@ -198,14 +198,6 @@ def verified(
     )
 
 
-def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with the component of their class, alone if it has no link yet."""
-    at = found.select(F.col("id").alias("key"), "component")
-    return members.select("band", "key").join(at, "key", "left").select(
-        "band", "key", F.coalesce("component", "key").alias("c")
-    )
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -245,46 +237,9 @@ def near_duplicates(
     shared = every.groupBy("band").agg(F.count("*").alias("k"), F.min("key").alias("first"))
     shared = settle(shared.where("k > 1").select("band", "first"), "bands")
     members = settle(every.join(shared, "band").select("band", "key", "first"), "members")
-    total = members.count()
-
-    pairs = members.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    checked = settle(pairs.distinct(), "pairs")
-    links = settle(verified(checked, docs, classes, text, words, percent, limit), "links")
-    found = settle(components(links), "components")
-    turn = 0
-    while True:
-        now = labelled(members, found)
-        parts = now.groupBy("band", "c").agg(F.count("*").alias("k"))
-        open_ = parts.groupBy("band").agg(
-            ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"),
-            F.sum("k").alias("size"),
-        )
-        open_ = settle(open_.where("cross > 0"), "open")
-        cross = open_.agg(F.sum("cross")).first()[0] or 0
-        if cross == 0:
-            break
-        turn += 1
-        last = cross <= max(1_000_000, 2 * total) or turn > 6
-        left = settle(now.join(open_.select("band"), "band"), "left")
-        if last:
-            other = left.select("band", F.col("key").alias("b"), F.col("c").alias("d"))
-            pairs = left.withColumnRenamed("key", "a").join(other, "band").where("a < b and c <> d")
-        else:
-            one = left.groupBy("band").agg(
-                F.min_by(F.struct("key", "c"), F.xxhash64("key", F.lit(turn))).alias("x")
-            )
-            pairs = left.join(one, "band").where("c <> x.c")
-            pairs = pairs.select(
-                F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b")
-            )
-        pairs = pairs.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        more = settle(verified(pairs, docs, classes, text, words, percent, limit), "links")
-        checked = checked.union(pairs)
-        links = links.union(more)
-        found = settle(components(links), "components")
-        if last:
-            break
+    found = link_buckets(
+        members, lambda pairs: verified(pairs, docs, classes, text, words, percent, limit)
+    )
 
     at = found.select(F.col("id").alias("key"), "component")
     named = classes.select("key", "id").join(at, "key", "left")
