@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.llm import decontaminate as dc
-from premisa.llm import fuzzy_lines, packing, repetition, setsketch, toxicity, wrapper
+from premisa.llm import bloom_lm, fuzzy_lines, packing, repetition, setsketch, toxicity, trie_counts, wrapper
 from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +193,25 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
         F.size("lines.dropped").cast("bigint").alias("n_dropped"),
         F.array_join(F.col("lines.dropped").cast("array<string>"), ",").alias("dropped"),
     )
+
+
+@query("op2_lm_score")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model, counts = bloom_lm.learn(docs, remainder("doc_id", 7) != 2)
+    return bloom_lm.score(docs, model, counts).select(
+        "doc_id",
+        (remainder("doc_id", 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    counted = trie_counts.token_counts(table(spark, sf, "documents").select("doc_id", "text"))
+    fields = ["n_words", "n_tokens", "max_word_tokens"]
+    return counted.select("doc_id", *(f"token_counts.{f}" for f in fields))
