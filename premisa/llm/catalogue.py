@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.llm import decontaminate as dc
-from premisa.llm import bloom_lm, fuzzy_lines, packing, repetition, setsketch, toxicity, trie_counts, wrapper
+from premisa.llm import bloom_lm, chaining, fuzzy_lines, packing, repetition, setsketch, toxicity, trie_counts, wrapper
 from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +215,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     counted = trie_counts.token_counts(table(spark, sf, "documents").select("doc_id", "text"))
     fields = ["n_words", "n_tokens", "max_word_tokens"]
     return counted.select("doc_id", *(f"token_counts.{f}" for f in fields))
+
+
+@query("op8_repeated_passages")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf, "documents"))
