@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import importlib.util
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from premisa.session import prepare
 from premisa.sources.staging import settle
@@ -39,6 +42,47 @@ def tokenizer_file(name: str) -> str:
     return os.path.join("/opt/tokenizers", name)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def others(df: DataFrame, into: str) -> list[T.StructField]:
+    """The columns a result column of this name leaves in place."""
+    return [f for f in df.schema.fields if f.name.lower() != into.lower()]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_result(
+    df: DataFrame,
+    into: str,
+    kind: T.DataType,
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, pa.Array]]],
+) -> DataFrame:
+    """All rows and columns, and the column ``into`` that ``run`` gives for parts of Arrow batches.
+
+    Spark's Arrow functions take no column names with dots, so these are renamed on the way.
+    """
+    rest = others(df, into)
+    names = [f.name if re.fullmatch(r"\w+", f.name) else f"column_{i}_" for i, f in enumerate(rest)]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, result in run(batches):
+            columns = [part.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, result], [*names, into])
+
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, rest, strict=True)]
+    rows = df.select(*(quoted(f.name).alias(n) for n, f in zip(names, rest, strict=True)))
+    out = rows.mapInArrow(mapped, T.StructType([*fields, T.StructField(into, kind)]))
+    return out.toDF(*(f.name for f in rest), into)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

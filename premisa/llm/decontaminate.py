@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premisa.llm.common import BROADCAST_BYTES, let, look_up
+from premisa.llm.common import BROADCAST_BYTES, fresh, let, look_up, others, quoted
 from premisa.sources.staging import settle
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,6 +130,7 @@ def decontaminate(
     size = F.size("_words")
     short, long = items.agg(F.min(F.when(size < span, size)), F.max(size >= span)).first()
 
+    key, hinted = fresh(docs, "_id"), fresh(docs, "_hints")
     keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     parts = []
     if long:
@@ -142,21 +143,19 @@ def decontaminate(
         shifts = shifts.withColumnRenamed("_item", "_of")
         named = look_up(shifts, items, F.expr("_of = _item"), limit=limit)
         hint = F.struct("_item", F.col("_words").alias("words"), "shifts")
-        named = named.groupBy("_id").agg(F.collect_list(hint).alias("_hints"))
+        named = named.groupBy(F.col("_id").alias(key)).agg(F.collect_list(hint).alias(hinted))
         named = settle(named, "hints")
-        rows = look_up(
-            docs, named, F.col(doc_id).eqNullSafe(F.col("_id")), how="left", limit=limit
-        ).drop("_id")
+        rows = look_up(docs, named, F.col(doc_id).eqNullSafe(F.col(key)), "left", limit).drop(key)
     else:
         kind = items.schema["_item"].dataType.simpleString()
         empty = F.lit(None).cast(
             f"array<struct<_item:{kind},words:array<string>,shifts:array<int>>>"
         )
-        rows = docs.withColumn("_hints", empty)
+        rows = docs.withColumn(hinted, empty)
 
     def judged(w: Column) -> Column:
         found = F.transform(
-            F.coalesce(F.col("_hints"), F.array()),
+            F.coalesce(F.col(hinted), F.array()),
             lambda h: F.struct(h["_item"].alias("item_id"), _spans(w, h, span).alias("spans")),
         )
         return let(
@@ -179,7 +178,8 @@ def decontaminate(
             ),
         )
 
-    return rows.withColumn(into, let(words(F.col(text)), judged)).drop("_hints")
+    kept = [quoted(f.name) for f in others(docs, into)]
+    return rows.select(*kept, let(words(F.col(text)), judged).alias(into))
 
 
 def contaminated(into: str = "shared") -> Column:

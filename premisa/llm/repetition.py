@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from premisa.llm.common import with_result
+
 BATCH_WORDS = 400_000
 
 
@@ -178,9 +180,6 @@ def quality_rules(
     A column named like ``into`` is replaced; all others pass through. One text is worked on in one
     task, in memory that grows with its length; texts are grouped to at most ``BATCH_WORDS`` words.
     """
-    rest = [f for f in docs.schema.fields if f.name != into]
-    schema = T.StructType([*rest, T.StructField(into, VERDICT)])
-    names = [f.name for f in rest]
 
     def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         start, size = 0, 0
@@ -192,16 +191,13 @@ def quality_rules(
         if start < len(texts):
             yield start, len(texts)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for start, end in groups(texts):
                 got = measure(texts[start:end], min_repeat, max_covered, max_repeat, min_words)
                 fields = [pa.array(got[f.name]) for f in VERDICT.fields]
                 verdict = pa.StructArray.from_arrays(fields, [f.name for f in VERDICT.fields])
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), verdict], [*names, into]
-                )
+                yield batch.slice(start, end - start), verdict
 
-    return docs.mapInArrow(judge, schema)
+    return with_result(docs, into, VERDICT, judge)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from premisa.llm.common import with_result
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = ".,;:!?\"'()[]{}|<>*_-–—…«»¿¡"
 BUCKETS = 1 << 18
@@ -201,15 +203,19 @@ def score(
     scores 0. Repeated rows are scored each; a column named like ``into`` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != into]
-    names = [f.name for f in rest]
-    kind = "struct<score:double,sentences:array<struct<start:int,end:int,p:double>>>"
-    schema = T.StructType([*rest, T.StructField(into, T._parse_datatype_string(kind))])
+    span = [("start", T.IntegerType()), ("end", T.IntegerType()), ("p", T.DoubleType())]
+    sentence = T.StructType([T.StructField(*f) for f in span])
+    kind = T.StructType(
+        [
+            T.StructField("score", T.DoubleType()),
+            T.StructField("sentences", T.ArrayType(sentence)),
+        ]
+    )
     spans = pa.list_(
         pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
     )
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         own = sent.value
         weight = Weight(own.weights)
         bound = math.log(offending / (1 - offending))
@@ -228,7 +234,6 @@ def score(
             result = pa.StructArray.from_arrays(
                 [pa.array(scores, pa.float64()), pa.array(found, spans)], ["score", "sentences"]
             )
-            columns = [*(batch.column(n) for n in names), result]
-            yield pa.RecordBatch.from_arrays(columns, [*names, into])
+            yield batch, result
 
-    return docs.mapInArrow(judge, schema)
+    return with_result(docs, into, kind, judge)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from premisa.llm.common import tokenizer_file
+from premisa.llm.common import tokenizer_file, with_result
 
 MARK = "▁"
 TRIE_NODES = 400_000
@@ -145,12 +145,10 @@ def token_counts(
     ``into`` is replaced. Words are kept per worker in bounded tables.
     """
     path = vocabulary or tokenizer_file("piece_bpe_32k.model")
-    rest = [f for f in docs.schema.fields if f.name != into]
-    names = [f.name for f in rest]
     fields = ["n_words", "n_tokens", "max_word_tokens"]
     kind = T.StructType([T.StructField(f, T.LongType()) for f in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         get = counter(path).__getitem__
         for batch in batches:
             found: list[list[int]] = [[], [], []]
@@ -158,8 +156,6 @@ def token_counts(
                 own = list(map(get, t.split())) if t else []
                 for store, x in zip(found, (len(own), sum(own), max(own, default=0)), strict=True):
                     store.append(x)
-            result = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], fields)
-            columns = [*(batch.column(n) for n in names), result]
-            yield pa.RecordBatch.from_arrays(columns, [*names, into])
+            yield batch, pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], fields)
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(into, kind)]))
+    return with_result(docs, into, kind, run)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from premisa.llm.common import BROADCAST_BYTES, text_bytes
+from premisa.llm.common import BROADCAST_BYTES, fresh, text_bytes, with_result
 from premisa.sources.staging import settle
 
 MARKUP = re.compile(
@@ -414,31 +414,27 @@ def main_text(
 
     wrappers = sample.groupBy("_host").applyInPandas(learn, "_host string, _wrapper string")
     wrappers = settle(wrappers, "wrappers")
-    rest = [f for f in pages.schema.fields if f.name != into]
-    names = [f.name for f in rest]
-    schema = T.StructType([*rest, T.StructField(into, T.StringType())])
-    rows = pages.select(*names, host.alias("_host"))
+    key, given = fresh(pages, "host"), fresh(pages, "wrapper")
+    rows = pages.withColumn(key, host)
     sent = None
     if text_bytes(wrappers) <= limit:
         found = {r["_host"]: r["_wrapper"] for r in wrappers.toLocalIterator()}
         sent = spark.sparkContext.broadcast(found)
     else:
-        rows = rows.join(wrappers, "_host", "left")
+        rows = rows.join(wrappers.toDF(key, given), key, "left")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         loaded: dict[str, tuple | None] = {}
         for batch in batches:
-            hosts = batch.column("_host").to_pylist()
+            hosts = batch.column(key).to_pylist()
             texts = []
-            given = None if sent else batch.column("_wrapper")
             for i, (h, page) in enumerate(zip(hosts, batch.column(html).to_pylist(), strict=True)):
                 if h not in loaded:
                     if len(loaded) > 500:
                         loaded.clear()
-                    data = sent.value.get(h) if sent else given[i].as_py()
+                    data = sent.value.get(h) if sent else batch.column(given)[i].as_py()
                     loaded[h] = load(json.loads(data)) if data else None
                 texts.append(extract(page, loaded[h]) if page else "")
-            columns = [*(batch.column(n) for n in names), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, into])
+            yield batch, pa.array(texts, pa.string())
 
-    return rows.mapInArrow(read, schema)
+    return with_result(rows, into, T.StringType(), read).drop(key, given)
