@@ -21,10 +21,8 @@ def all_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
-    """Every prediction in its subgroup, and the self-trained ones in ``same`` only."""
-    general = metrics.with_subgroups(fx.predictions(spark, sf)).filter("subgroup <> 'same'")
-    same = metrics.with_subgroups(fx.predictions_same(spark, sf)).filter("subgroup = 'same'")
-    return general.unionByName(same)
+    """Every prediction in each of its subgroups."""
+    return metrics.with_subgroups(all_predictions(spark, sf))
 
 
 def errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -444,9 +442,7 @@ def x18(spark, sf):
 
 
 def strip_rows(spark, sf):
-    general = figures.strip_data(fx.predictions(spark, sf)).filter("subgroup <> 'same'")
-    same = figures.strip_data(fx.predictions_same(spark, sf)).filter("subgroup = 'same'")
-    return general.unionByName(same)
+    return figures.strip_data(all_predictions(spark, sf))
 
 
 @query(

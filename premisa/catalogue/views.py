@@ -31,7 +31,8 @@ FROM smp, {VARIANT_LIST},
         f"""SELECT smp.*, v.variant, v.variant AS train_variant, l.layer, 'ccr' AS method,
   CAST((sample_id * (19 + 2 * v.vi) + 5 * v.vi * v.vi + 101 * l.layer) % 997 AS DOUBLE)
     / 997e0 AS prediction
-FROM smp, {VARIANT_LIST}, {LAYERS}""",
+FROM smp, {VARIANT_LIST}, {LAYERS}
+WHERE v.variant NOT IN ('original_pos_prem', 'no_prem')""",
     ),
     "caus": (
         "smp",
@@ -215,11 +216,16 @@ FROM chs c JOIN wrong w ON w.item_id = c.item_id
 FROM picked""",
     ),
     # --- error metrics
+    "allpred": ("pred pred_same", "SELECT * FROM pred UNION ALL BY NAME SELECT * FROM pred_same"),
     "tagged": (
-        "pred pred_same",
-        """SELECT *, CASE train_variant WHEN 'combined' THEN 'combined'
-  WHEN 'no_prem' THEN 'no-prem' ELSE 'pos-prem' END AS subgroup FROM pred
-UNION ALL SELECT *, 'same' FROM pred_same""",
+        "allpred",
+        """SELECT a.*, s.subgroup FROM allpred a JOIN (VALUES ('combined', 'combined'),
+  ('no_prem', 'no-prem'), ('original_pos_prem', 'pos-prem')) AS s(train_variant, subgroup)
+  USING (train_variant)
+UNION ALL SELECT *, 'same' FROM allpred
+WHERE train_variant = variant AND (dataset, model, layer, method) IN (
+  SELECT (dataset, model, layer, method) FROM allpred WHERE train_variant = variant
+  GROUP BY ALL HAVING count(DISTINCT variant) > 2)""",
     ),
     "wide": (
         "tagged",

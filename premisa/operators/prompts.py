@@ -116,13 +116,17 @@ def token_spans(text: Column | str) -> Column:
 def find_all(text: Column | str, sub: Column | str) -> Column:
     """Non-overlapping occurrences as (lo, hi), end inclusive; the last character never matches.
 
+    Any characters may be looked for; an empty substring occurs nowhere.
+
     The text without its last character is cut at the substring; piece lengths give positions.
     """
     text, sub = as_col(text), as_col(sub)
     body = F.substr(text, F.lit(1), F.greatest(F.length(text) - 1, F.lit(0)))
-    quoted = F.concat(F.lit("\\Q"), sub, F.lit("\\E"))
+    # an end of quotation inside the substring is itself quoted
+    inside = F.replace(sub, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    quoted = F.concat(F.lit("\\Q"), inside, F.lit("\\E"))
     lengths = F.transform(F.split(body, quoted, -1), lambda p: F.length(p))
-    pieces = F.slice(lengths, 1, F.size(lengths) - 1)
+    pieces = F.slice(lengths, 1, F.when(F.length(sub) > 0, F.size(lengths) - 1).otherwise(0))
     empty = F.array().cast("array<struct<lo:int,hi:int>>")
     return bind(
         F.length(sub),
@@ -199,7 +203,8 @@ def first_kept(
     if wanted > WINDOW_LIMIT:
         return hash_rank(df, keys, key, ids, "position").filter(F.col("position") <= wanted)
     order = Window.partitionBy(*keys).orderBy("_k", *ids)
-    ranked = df.withColumn("_k", key).withColumn("position", F.row_number().over(order))
+    position = F.row_number().over(order).cast("bigint")
+    ranked = df.withColumn("_k", key).withColumn("position", position)
     return ranked.filter(F.col("position") <= wanted).drop("_k")
 
 

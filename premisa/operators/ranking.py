@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from premisa.functions.exprs import INF, NAN, as_col, hex_number
-from premisa.sources.staging import attach, bytes_column, settle, table_bytes
+from premisa.sources.staging import BROADCAST_BYTES, attach, bytes_column, settle
 
-HASH_DIGITS = 3  # 4096 equally likely buckets per group
-SPLITS = 256  # buckets per group when ordering by a number
+HASH_DIGITS = 3  # 4096 equally likely buckets per group, at least
+SPLITS = 256  # buckets per group when ordering by a number, at least
+TASK_ROWS = 100_000  # rows of a bucket beyond which there are more buckets
 STEPS = 8  # buckets per power of two when ordering real values
 NAN_BUCKET = 2201 * STEPS
 SLICES = 4096  # slices of a bucket that is still too large
@@ -29,8 +30,7 @@ def _offset_rank(
     """Rank inside the bucket column ``_b`` plus the size of all lower buckets.
 
     ``total`` names a column for the size of the group, which the bucket counts give as well.
-    The windows over the counts see at most one row per bucket: 4,096 a group by hash, 256 by
-    number.
+    The windows over the counts see one row per bucket.
     """
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
@@ -52,9 +52,17 @@ def _offset_rank(
 
 
 def hash_rank(df: DataFrame, keys: list[str], key: Column, ids: list[str], rank: str) -> DataFrame:
-    """1-based position of each row in hash order (then ids) within its group."""
+    """1-based position of each row in hash order (then ids) within its group.
+
+    There are 16 times as many buckets for each factor of 16 that the rows are more than
+    ``TASK_ROWS`` a bucket.
+    """
+    digits = HASH_DIGITS
+    rows_ = df.count()
+    while digits < 7 and rows_ > 16**digits * TASK_ROWS:
+        digits += 1
     rows = df.withColumn("_hash", key).withColumn(
-        "_b", hex_number(F.substring("_hash", 1, HASH_DIGITS)).cast("int")
+        "_b", hex_number(F.substring("_hash", 1, digits)).cast("int")
     )
     return _offset_rank(rows, keys, [F.col("_hash"), *map(F.col, ids)], rank).drop("_hash")
 
@@ -67,10 +75,11 @@ def number_rank(
     Bucket bounds are approximate quantiles (a sketch of bounded size), so buckets stay even for
     any distribution; the ranks are exact because buckets are counted, not estimated.
     """
-    cuts = [i / SPLITS for i in range(1, SPLITS)]
+    splits = max(SPLITS, -(-df.count() // TASK_ROWS))
+    cuts = [i / splits for i in range(1, splits)]
     bounds = settle(
         df.groupBy(*keys).agg(
-            F.array_distinct(F.percentile_approx(number, cuts, F.lit(4096))).alias("_cuts")
+            F.array_distinct(F.percentile_approx(number, cuts, F.lit(16 * splits))).alias("_cuts")
         ),
         "bucket-bounds",
     )
@@ -120,14 +129,16 @@ def order_statistics(
     percentiles: dict[str, float],
     trim: float | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact n, mean, percentiles and trimmed mean of ``value`` per group, NULLs left out.
 
     Percentiles interpolate linearly, and are NaN as soon as the group holds a NaN. The trimmed
     mean drops ``int(trim * n)`` values at each end. One pass counts and sums the values per
-    bucket; a second pass looks only at the few buckets the asked ranks fall into. If one of
-    those holds more than ``bucket_rows`` values, it is cut once more before its distinct values
-    are ordered.
+    bucket; a second pass looks only at the few buckets the asked ranks fall into. While one of
+    those holds more than ``bucket_rows`` values, it is cut again before its distinct values are
+    ordered. Where rows must be shuffled, equal values of a bucket are first counted map-side, so a
+    value that fills a group is one row per task. A NULL key is a group like any other.
     """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     base = base.withColumn("_b", value_bucket("_v"))
@@ -177,21 +188,30 @@ def order_statistics(
     edges = edges_of(hist, "_b")
     by = [*keys, "_b"]
     size, largest = edges.agg(bytes_column(edges), F.max("_c")).first()
-    rows = attach(base, edges.select(*by, "_e"), by, ["_v"], size=size).select("_e", "_v")
-    if (largest or 0) > bucket_rows:
-        rows, slices = _slices(rows, edges, keys)
+    rows = base.withColumn("_w", F.lit(1).cast("bigint"))
+    if size > limit:
+        rows = base.groupBy(*by, "_v").agg(F.count("*").alias("_w"))
+    found = attach(rows, edges.select(*by, "_e"), by, ["_v"], limit=limit, size=size)
+    rows = found.select("_e", "_v", "_w")
+    while (largest or 0) > bucket_rows:
+        rows = settle(rows.groupBy("_e", "_v").agg(F.sum("_w").alias("_w")), "edge-values")
+        rows, slices = _slices(rows, edges, keys, limit)
         slices = with_edges(slices)
         parts.append(whole_buckets(slices, total=False))
-        edges = edges_of(slices.withColumnRenamed("_e", "_up"), "_up", "_slice")
+        edges = edges_of(slices.withColumnRenamed("_e", "_up"), "_up", "_slice", "_d")
         by = ["_up", "_slice"]
-        size = table_bytes(edges)
+        # a slice of one value needs no order
+        wide = F.when(F.col("_low") < F.col("_high"), F.col("_d"))
+        size, largest = edges.agg(bytes_column(edges), F.max(wide)).first()
         rows = rows.withColumnRenamed("_e", "_up")
-        rows = attach(rows, edges.select(*by, "_e"), by, ["_v"], size=size).select("_e", "_v")
+        found = attach(rows, edges.select(*by, "_e"), by, ["_v"], limit=limit, size=size)
+        rows = found.select("_e", "_v", "_w")
 
-    counted = rows.groupBy("_e", "_v").agg(F.count("*").alias("_c"))
+    counted = rows.groupBy("_e", "_v").agg(F.sum("_w").alias("_c"))
     inside = Window.partitionBy("_e").orderBy("_v")
     counted = counted.withColumn("_upto", F.sum("_c").over(inside))
-    near = attach(counted, edges.select("_e", "_first", "_n"), ["_e"], ["_v"], size=size)
+    ends = edges.select("_e", "_first", "_n")
+    near = attach(counted, ends, ["_e"], ["_v"], limit=limit, size=size)
     near = near.withColumn("_end", F.col("_first") + F.col("_upto"))
     near = near.withColumn("_start", end - F.col("_c"))
     kept = F.lit(0.0)
@@ -224,20 +244,27 @@ def order_statistics(
         out.append(F.when(F.col("_nan"), F.lit(NAN)).otherwise(between).alias(name))
     if trim is not None:
         size = n - 2 * F.floor(F.lit(float(trim)) * n)
-        out.append((F.coalesce(F.col("_kept"), F.lit(0.0)) / size).alias("trim_mean"))
+        out.append((F.col("_kept") / size).alias("trim_mean"))
     return merged.select(*keys, *out)
 
 
-def _slices(rows: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Cut every edge bucket into ``SLICES`` equal parts: its rows, and the parts' counts."""
+def _slices(
+    rows: DataFrame, edges: DataFrame, keys: list[str], limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Cut every edge bucket into ``SLICES`` equal parts: its rows, and the parts' counts.
+
+    ``rows`` has each value once with its weight ``_w``; ``_d`` counts the values of a part.
+    """
     info = edges.select("_e", "_low", "_high")
     width = F.col("_high") - F.col("_low")
     share = (F.col("_v") - F.col("_low")) / width
     place = F.when(width > 0, F.least(F.floor(share * SLICES), F.lit(SLICES - 1))).otherwise(0)
-    rows = attach(rows, info, ["_e"], ["_v"]).select("_e", "_v", place.cast("int").alias("_slice"))
+    rows = attach(rows, info, ["_e"], ["_v"], limit=limit)
+    rows = rows.select("_e", "_v", "_w", place.cast("int").alias("_slice"))
     counts = rows.groupBy("_e", "_slice").agg(
-        F.count("*").alias("_c"),
-        F.sum("_v").alias("_s"),
+        F.sum("_w").alias("_c"),
+        F.count("*").alias("_d"),
+        F.sum(F.col("_v") * F.col("_w")).alias("_s"),
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
     )

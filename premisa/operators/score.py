@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,23 +46,28 @@ def pair_scores(
     """Probability of every probe for every sample of the same dataset, model and layer.
 
     ``pairs`` holds both vectors of a sample in one row, so a score is row-local. ``probes`` is a
-    staged table. Measured below ``limit`` its directions are sent to the tasks as one matrix per
-    dataset, model and layer, and a batch of rows is scored by two matrix products; the vectors
-    are not repeated per probe. Beyond that the probes are joined on salted keys.
+    staged table. Its directions are sent to the tasks as one matrix per dataset, model and layer,
+    and a batch of rows is scored by two matrix products; the vectors are neither shuffled nor
+    repeated per probe. Directions beyond ``limit`` go in waves: each holds at most ``limit`` bytes
+    (one probe at least) and scores only the rows of its places.
     """
     slim = probes.filter("direction is not null").select(
         *PROBE, "direction", F.greatest(norm("direction"), F.lit(NORM_FLOOR)).alias("_norm")
     )
     if table_bytes(slim) <= limit:
         return _scores_by_matrix(pairs, slim, any_variant)
-    joined = attach(pairs, slim, PLACE, ["variant", "sample_id"], limit=limit)
-    if not any_variant:
-        joined = joined.filter(eligible())
-    neg = sigmoid(dot("x0", "direction") / F.col("_norm"))
-    pos = sigmoid(dot("x1", "direction") / F.col("_norm"))
-    return joined.withColumn("p", pair_probability(neg, pos)).drop(
-        "x0", "x1", "direction", "_norm"
-    )
+    # the sum runs over narrow rows of the probe catalogue, not over directions
+    before = Window.orderBy(*PROBE).rowsBetween(Window.unboundedPreceding, -1)
+    size = (F.size("direction") * 8 + 64).cast("bigint")
+    narrow = slim.select(*PROBE, size.alias("_size"))
+    wave = F.floor(F.coalesce(F.sum("_size").over(before), F.lit(0)) / max(limit, 1))
+    waves = settle(narrow.select(*PROBE, wave.alias("_wave")), "waves")
+    numbered = settle(attach(slim, waves, PROBE, PROBE), "probe-waves")
+    parts = []
+    for row in waves.select("_wave").distinct().orderBy("_wave").collect():
+        own = numbered.filter(F.col("_wave") == row["_wave"]).drop("_wave")
+        parts.append(_scores_by_matrix(pairs, own, any_variant))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _scores_by_matrix(pairs: DataFrame, slim: DataFrame, any_variant: bool) -> DataFrame:

@@ -35,11 +35,15 @@ def strip_data(predictions: DataFrame) -> DataFrame:
 
 
 def box_summary(strip: DataFrame) -> DataFrame:
-    """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges."""
+    """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges.
+
+    The rows are read several times, so their keys and values are staged once.
+    """
     keys = [
         "dataset", "model", "layer", "method", "subgroup", "label", "premise_origin",
         "premise_asserted",
     ]
+    strip = settle(strip.select(*keys, "sample_id", "prediction"), "strip")
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     stats = settle(order_statistics(strip, keys, "prediction", quartiles), "quartiles")
     p, reach = F.col("prediction"), 1.5 * (F.col("q3") - F.col("q1"))

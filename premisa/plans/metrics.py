@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from premisa.functions.exprs import above_half, clip_zero, safe_div
 from premisa.operators.ranking import order_statistics
 from premisa.sources.catalog import VARIANTS
-from premisa.sources.staging import settle
+from premisa.sources.staging import attach, settle
 
 RUN = ["dataset", "model", "layer", "method"]
 GROUP = [*RUN, "subgroup"]
@@ -26,24 +26,31 @@ CELLS = {
     "error_4": ["error_4"],
     "error_3_4": ["error_3_4"],
 }
+SAME_RUNS = 2
 SUBGROUPS = {"combined": "combined", "no_prem": "no-prem", "original_pos_prem": "pos-prem"}
 
 
+def self_trained(predictions: DataFrame) -> DataFrame:
+    """Probes that were scored on more than two of the variants they were trained on."""
+    own = predictions.filter(F.col("train_variant") == F.col("variant"))
+    runs = own.select(*RUN, "variant").distinct().groupBy(*RUN).agg(F.count("*").alias("_runs"))
+    return runs.filter(F.col("_runs") > SAME_RUNS).select(*RUN, F.lit(True).alias("_own"))
+
+
 def with_subgroups(predictions: DataFrame) -> DataFrame:
     """Tag each prediction with its subgroups: by training set, and ``same`` if trained on itself.
 
-    A probe's ``same`` subgroup needs more than two of its runs, i.e. of the evaluated variants.
+    A probe has a ``same`` subgroup only with more than two runs, i.e. evaluated variants. Counting
+    them takes a pass over the predictions' keys; it is done while the plan is built.
     """
     named = F.lit(None).cast("string")
     for train, name in SUBGROUPS.items():
         named = F.when(F.col("train_variant") == train, name).otherwise(named)
-    same = F.col("train_variant") == F.col("variant")
-    both = (
-        F.when(same & named.isNotNull(), F.array(named, F.lit("same")))
-        .when(same, F.array(F.lit("same")))
-        .when(named.isNotNull(), F.array(named))
-    )
-    return predictions.withColumn("subgroup", F.explode(both))
+    runs = settle(self_trained(predictions), "self-trained")
+    flagged = attach(predictions, runs, RUN, ["sample_id"], "left")
+    same = F.col("_own").isNotNull() & (F.col("train_variant") == F.col("variant"))
+    found = F.array_compact(F.array(named, F.when(same, F.lit("same"))))
+    return flagged.withColumn("subgroup", F.explode(found)).drop("_own")
 
 
 def variant_pivot(predictions: DataFrame, keys: list[str] = GROUP) -> DataFrame:
@@ -65,12 +72,11 @@ def variant_pivot(predictions: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 
 def wide_predictions(predictions: DataFrame, keys: list[str] = GROUP) -> DataFrame:
-    """The pivot restricted to samples and groups that have every variant needed.
-
-    A ``same`` subgroup with one or two variants only cannot be measured and is left out.
-    """
+    """The pivot, failing on a sample that lacks the prediction of a variant."""
     wide = variant_pivot(predictions, keys)
-    return wide.filter(F.col("original_pos_prem").isNotNull() & F.col("no_prem").isNotNull())
+    missing = F.concat_ws(", ", *[F.when(F.col(v).isNull(), v) for v in VARIANTS])
+    text = F.concat(F.lit("variants missing: "), missing)
+    return wide.filter(F.assert_true(missing == "", text).isNull())
 
 
 def premise_effect() -> Column:
@@ -167,7 +173,8 @@ def scores_of(tagged: DataFrame) -> DataFrame:
     errors = with_errors(wide_predictions(tagged)).drop("sample_id", *used_up)
     errors = settle(errors, "errors")
     aggregates = error_aggregates(cell_aggregates(errors))
-    return settle(probability_means(errors).join(aggregates, GROUP), "aggr-stats")
+    means = probability_means(errors)
+    return settle(attach(means, settle(aggregates, "aggregates"), GROUP, GROUP, "left"), "aggr-stats")
 
 
 def error_scores(predictions: DataFrame) -> DataFrame:

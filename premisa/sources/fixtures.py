@@ -78,10 +78,14 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions_same(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders x 7 variants x 2 layers, each variant scored by the probe trained on it."""
+    """Orders x 5 variants x 2 layers, each variant scored by the probe trained on it.
+
+    The two other variants are training sets of ``predictions``, which scores them on all variants.
+    """
     rows = (
         _orders(spark, sf)
         .select("*", numbered(VARIANTS, "variant", "vi"))
+        .filter(~F.col("variant").isin(TRAIN_VARIANTS))
         .select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("layer"))
     )
     number = (

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +47,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def bytes_column(df: DataFrame) -> Column:
-    """In-memory size of a table as an aggregate: numbers by eight bytes, the rest by length."""
+    """In-memory size of a table as an aggregate: numbers by eight bytes, the rest by length.
+
+    Maps, structs and arrays of other things than numbers count by four bytes a character of JSON.
+    """
     size: Column = F.lit(0)
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.ArrayType):
+        kind = f.dataType
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
             size = size + F.coalesce(F.size(f.name), F.lit(0)) * 8 + 16
+        elif isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+            text = F.length(F.to_json(F.struct(f.name)))
+            size = size + F.coalesce(text, F.lit(0)) * 4 + 16
         elif isinstance(f.dataType, T.StringType):
             size = size + F.coalesce(F.length(f.name), F.lit(0)) * 4 + 16
         else:
@@ -75,10 +84,14 @@ def attach(
     Measured below ``limit`` the small side is broadcast and ``big`` is not moved. Beyond it, the
     rows of one key are spread over ``SALTS`` tasks by a hash of the ``spread`` columns and the
     small side is repeated per salt, so a key with a third of all rows does not fill one task.
-    ``size`` is the measured size in bytes, if the caller has it already.
+    ``size`` is the measured size in bytes, if the caller has it already. A NULL key meets a NULL key.
     """
+    own = {k: f"_{k}_of_small" for k in keys}
+    small = small.withColumnsRenamed(own)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(c)) for k, c in own.items()))
     if (table_bytes(small) if size is None else size) <= limit:
-        return big.join(F.broadcast(small), keys, how)
+        return big.join(F.broadcast(small), same, how).drop(*own.values())
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    repeated = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(repeated, same & (F.col("_salt") == F.col("_copy")), how)
+    return joined.drop("_salt", "_copy", *own.values())

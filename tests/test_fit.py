@@ -230,7 +230,7 @@ def test_calibration_on_planted_data(spark):
 
 
 @pytest.mark.parametrize("any_variant", [True, False])
-def test_scores_by_matrix_and_by_join_agree(spark, any_variant):
+def test_scores_in_one_and_in_many_waves_agree(spark, any_variant):
     states, _ = planted(spark, n=20, groups=("no_prem", "random_pos_prem"))
     probes = settle(fit.train(states, "mass_mean", KEYS), "p")
     pairs = vectors.sides(states)
@@ -243,6 +243,15 @@ def test_scores_by_matrix_and_by_join_agree(spark, any_variant):
         assert a[:3] == b[:3] and a["p"] == pytest.approx(b["p"], rel=1e-12)
 
 
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_vectors_of_another_width_fail(spark, limit):
+    states, _ = planted(spark, n=20, groups=("no_prem",))
+    probes = fit.train(states, "mass_mean", KEYS)
+    short = settle(probes.withColumn("direction", F.slice("direction", 1, 2)), "p")
+    with pytest.raises(Exception):
+        score.pair_scores(vectors.sides(states), short, limit=limit).collect()
+
+
 def test_constant_scores_have_no_finite_scale(spark):
     rows = [("ds", "m", 1, "v", "x", 0, i, 0.7, i % 2) for i in range(4)]
     df = spark.createDataFrame(

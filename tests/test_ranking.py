@@ -50,17 +50,32 @@ GROUPS = {
 }
 
 
-@pytest.mark.parametrize("bucket_rows", [10**9, 1])
-def test_matches_numpy(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_rows,limit", [(10**9, 1 << 25), (1, 1 << 25), (10**9, 0), (1, 0)])
+def test_matches_numpy(spark, bucket_rows, limit):
     rng = np.random.default_rng(0)
     groups = dict(GROUPS)
     groups["hot"] = rng.lognormal(0, 2, 3000).tolist() + [0.0] * 700
     groups["normal"] = rng.normal(0, 1, 999).tolist()
-    got = run(spark, groups, bucket_rows=bucket_rows)
+    got = run(spark, groups, bucket_rows=bucket_rows, limit=limit)
     for g, values in groups.items():
         np.testing.assert_allclose(got[g], expected(values), rtol=1e-10, atol=1e-12, err_msg=g)
 
 
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_null_keys_and_a_value_that_fills_half_a_group(spark, limit):
+    values = {None: [1.0, 2.0, 3.0], "half": [5.0] * 2000 + np.arange(2000.0).tolist()}
+    got = run(spark, values, limit=limit, bucket_rows=50)
+    for g, x in values.items():
+        np.testing.assert_allclose(got[g], expected(x), rtol=1e-12, err_msg=str(g))
+
+
+def test_a_bucket_that_needs_two_cuts(spark):
+    """Nearly all values of a bucket lie in one of its slices."""
+    x = [1.0, 1.08] + [1.0 + i * 1e-9 for i in range(1, 400)]
+    got = run(spark, {"a": x}, bucket_rows=20)
+    np.testing.assert_allclose(got["a"], expected(x), rtol=1e-12)
+
+
 def test_infinity(spark):
     got = run(spark, {"a": [1.0, 2.0, INF, 3.0, 4.0], "b": [INF, INF, 1.0], "c": [-INF, 1.0, 2.0]})
     assert got["a"][1] == INF and got["a"][3] == 3.0 and got["a"][5] == 3.0
@@ -108,7 +123,15 @@ def test_attach_is_the_same_join_with_and_without_broadcast(spark, limit):
     small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, s string")
     got = staging.attach(big, staging.settle(small, "t"), ["k"], ["id"], limit=limit)
     want = big.join(small, "k")
-    assert sorted(got.collect()) == sorted(want.collect())
+    assert sorted(got.select("id", "k", "s").collect()) == sorted(want.select("id", "k", "s").collect())
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_attach_joins_null_keys(spark, limit):
+    big = spark.createDataFrame([(1, None), (2, 5), (3, 6)], "id int, k int")
+    small = staging.settle(spark.createDataFrame([(None, "n"), (5, "f")], "k int, s string"), "t")
+    got = staging.attach(big, small, ["k"], ["id"], "left", limit=limit)
+    assert sorted((r["id"], r["s"] or "") for r in got.collect()) == [(1, "n"), (2, "f"), (3, "")]
 
 
 def test_salted_join_spreads_a_hot_key(spark):

@@ -141,6 +141,9 @@ def test_bad_premise_mode(spark):
         ("aaaaa", "aa", [(0, 1), (2, 3)]),
         ("none here", "zz", []),
         ("a.b+c a.b+c ", "a.b+c", [(0, 4), (6, 10)]),
+        ("a\\Eb a\\Eb.", "a\\Eb", [(0, 3), (5, 8)]),
+        ("\\Q\\E\\Q.", "\\E", [(2, 3)]),
+        ("abc", "", []),
     ],
 )
 def test_find_all(spark, text, sub, want):
