@@ -381,18 +381,17 @@ _SIDE = "dataset{0} || '|' || data_variant{0} || '|' || layer{0} || '|' || probe
 _SIDES = f"model, {_SIDE.format(1)}, {_SIDE.format(2)}, round(similarity, 6) AS similarity"
 
 
-@query(
-    "x20_direction_similarity",
-    f"""SELECT 'datasets' AS view, {_SIDES} FROM cmp WHERE data_variant1 = data_variant2
+X20_SQL = f"""SELECT 'datasets' AS view, {_SIDES} FROM cmp WHERE data_variant1 = data_variant2
   AND layer1 = layer2 AND probe_method1 = probe_method2 AND dataset1 <> dataset2
 UNION ALL SELECT 'layers', {_SIDES} FROM cmp WHERE data_variant1 = data_variant2
   AND dataset1 = dataset2 AND probe_method1 = probe_method2
 UNION ALL SELECT 'methods', {_SIDES} FROM cmp WHERE data_variant1 = data_variant2
   AND dataset1 = dataset2 AND layer1 = layer2 AND probe_method1 > probe_method2
 UNION ALL SELECT 'variants', {_SIDES} FROM cmp WHERE dataset1 = dataset2
-  AND layer1 = layer2 AND probe_method1 = probe_method2 AND data_variant1 > data_variant2""",
-    "cmp",
-)
+  AND layer1 = layer2 AND probe_method1 = probe_method2 AND data_variant1 > data_variant2"""
+
+
+@query("x20_direction_similarity", X20_SQL, "cmp")
 def x20(spark, sf):
     views = compare.similarity_report(fx.directions(spark, sf))
     return compare.all_views(views).withColumn("similarity", F.round("similarity", 6))

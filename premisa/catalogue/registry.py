@@ -16,7 +16,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: str = ""):
+def query(
+    name: str,
+    sql: str | None = None,
+    views: str = "",
+    instead: dict[str, tuple[str, str]] | None = None,
+):
     """Register a query; ``sql`` may use the named views (see ``premisa.catalogue.views``)."""
 
     def register(function: Query) -> Query:
@@ -28,7 +33,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(views.split(), sql)
+            ORACLES[name] = with_views(views.split(), sql, instead)
         return function
 
     return register

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.catalogue.registry import long_vector, query, r6
+from premisa.catalogue.views import VARIANT_LIST
 from premisa.functions.exprs import (
     dot,
     doubles,
@@ -472,14 +473,39 @@ def a5(spark, sf):
     )
 
 
-@query("a24_matrix_rank")
+_MATRICES = "(VALUES ('neg'), ('pos'), ('neg+pos'), ('neg-pos')) AS f(matrix)"
+
+
+@query(
+    "a24_matrix_rank",
+    f"""SELECT dataset, model, variant, layer, matrix,
+  CAST(least(16, count(DISTINCT sample_id)) AS INT) AS rank FROM st, {_MATRICES} GROUP BY ALL""",
+    "st",
+)
 def a24(spark, sf):
+    """The vectors are in general position, so their rank is their width or their number."""
     return vectors.matrix_ranks(fx.states(spark, sf), RUN)
 
 
-@query("d4_rank_report")
+@query(
+    "d4_rank_report",
+    f"""SELECT layer, matrix, min(rank) AS lowest, max(rank) AS highest FROM (
+  SELECT variant, layer, matrix, CAST(least(4 + vi % 3, count(DISTINCT sample_id)) AS INT) AS rank
+  FROM st JOIN {VARIANT_LIST} USING (variant), {_MATRICES}
+  GROUP BY variant, layer, matrix, vi) GROUP BY ALL""",
+    "st",
+)
 def d4(spark, sf):
-    ranks = vectors.matrix_ranks(fx.states(spark, sf), RUN)
+    """Vectors of known rank: the first 4, 5 or 6 numbers, by variant, repeated with a factor."""
+    width = F.lit(0)
+    for i, v in enumerate(VARIANTS):
+        width = F.when(F.col("variant") == v, F.lit(4 + i % 3)).otherwise(width)
+    rows = fx.states(spark, sf).withColumn("_w", width)
+    vec = F.transform(
+        F.sequence(F.lit(0), F.lit(15)),
+        lambda i: F.get("vec", i % F.col("_w")) * (1 + F.floor(i / F.col("_w"))),
+    )
+    ranks = vectors.matrix_ranks(rows.withColumn("vec", vec).drop("_w"), RUN)
     return ranks.groupBy("layer", "matrix").agg(
         F.min("rank").alias("lowest"), F.max("rank").alias("highest")
     )

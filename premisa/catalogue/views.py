@@ -359,12 +359,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY dataset, model, method, subgroup
 )
 
 
-def with_views(names: list[str], body: str) -> str:
-    """Put the views a query reads, and those they read, in front of it."""
+def with_views(names: list[str], body: str, instead: dict[str, tuple[str, str]] | None = None) -> str:
+    """Put the views a query reads, and those they read, in front of it.
+
+    ``instead`` has other definitions for some views, so that one chain can stand on other input.
+    """
     ordered: list[str] = []
+    views = VIEWS | (instead or {})
 
     def visit(name: str) -> None:
-        for needed in VIEWS[name][0].split():
+        for needed in views[name][0].split():
             visit(needed)
         if name not in ordered:
             ordered.append(name)
@@ -373,5 +377,5 @@ def with_views(names: list[str], body: str) -> str:
         visit(name)
     if not ordered:
         return body
-    texts = [f"{name} AS MATERIALIZED (\n{VIEWS[name][1]}\n)" for name in ordered]
+    texts = [f"{name} AS MATERIALIZED (\n{views[name][1]}\n)" for name in ordered]
     return "WITH " + ",\n".join(texts) + "\n" + body

@@ -502,25 +502,32 @@ def fit_ccs_linear(states: DataFrame, keys: list[str], priority: float = 5.0) ->
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
-        m0, m1 = np.stack(group["r0"].to_list()), np.stack(group["r1"].to_list())
-        square = m1 - m0
-        values, vectors = np.linalg.eigh((square + square.T) / 2)
-        order = np.argsort(values)[::-1]
-        s = np.sqrt(np.clip(values[order], 0, None))
-        rank = int((s >= s.max() * len(s) * np.finfo(np.float32).eps).sum())
-        v, inverse = vectors[:, order[:rank]], 1.0 / s[:rank]
-        a = inverse[:, None] * (v.T @ m1 @ v)
-        b = inverse[:, None] * (v.T @ m0 @ v)
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        closeness = (a * b).sum(1) / (na * nb)
-        c = (a + b) / ((na + nb) ** (priority * closeness))[:, None]
+        h, v = consistency_form(np.stack(group["r0"].to_list()), np.stack(group["r1"].to_list()), priority)
         out = group[keys].head(1).copy()
-        out["direction"] = [_smallest_above_one(c.T @ c) @ v.T]
+        out["direction"] = [_smallest_above_one(h) @ v.T]
         return out
 
     return products.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def consistency_form(
+    m0: np.ndarray, m1: np.ndarray, priority: float = 5.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """The quadratic form over the coefficients of a direction, and the basis they refer to."""
+    square = m1 - m0
+    values, vectors = np.linalg.eigh((square + square.T) / 2)
+    order = np.argsort(values)[::-1]
+    s = np.sqrt(np.clip(values[order], 0, None))
+    rank = int((s >= s.max() * len(s) * np.finfo(np.float32).eps).sum())
+    v, inverse = vectors[:, order[:rank]], 1.0 / s[:rank]
+    a = inverse[:, None] * (v.T @ m1 @ v)
+    b = inverse[:, None] * (v.T @ m0 @ v)
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    closeness = (a * b).sum(1) / (na * nb)
+    c = (a + b) / ((na + nb) ** (priority * closeness))[:, None]
+    return c.T @ c, v
+
+
 def _smallest_above_one(h: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """Coordinate descent for the least z·H·z with every z at least one."""
     z = np.ones(len(h))
