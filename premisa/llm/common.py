@@ -115,33 +115,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates two star steps on staged edge tables: every node hands its smallest neighbour to
     its larger ones, then to its smaller ones. Each step is a minimum per node and an equi-join, so
     nothing of a component is ever gathered; the number of rounds grows with the logarithm of the
-    longest path. Loops and repeated edges are allowed; NULL ends are dropped.
+    longest path, and edges that are stars already need none. Loops and repeated edges are allowed;
+    NULL ends are dropped.
     """
-    now = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where("u <> v")
-        .distinct()
-    )
-    now = settle(now, "edges")
-    mark = None
-    while True:
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now = settle(now.where("u <> v").distinct(), "edges")
+    while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m"))
-        large = large.where("u <> m").distinct().select("u", F.col("m").alias("v"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(small.where("u <> v").union(low.select("u", "m")).distinct(), "edges")
-        last, mark = (
-            mark,
-            now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(),
-        )
-        if last == mark:
-            break
-    ends = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.union(ends.select(F.col("component").alias("id"), "component").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Has every node ``u`` one ``v``, which is no ``u`` itself?"""
+    nodes = edges.groupBy("u").agg(F.count("*").alias("k"))
+    onward = edges.join(nodes.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return nodes.where("k > 1").select("u").union(onward).isEmpty()
+
+
 def link_buckets(
     members: DataFrame, compare: Callable[[DataFrame], DataFrame], direct: int = 1_000_000
 ) -> DataFrame:

@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premisa.llm.common import BROADCAST_BYTES, link_buckets
+from premisa.llm.common import BROADCAST_BYTES, components
 from premisa.llm.shingles import WordHash, mixed, shingle_set
 from premisa.sources.staging import settle
 
 BANDS, ROWS = 36, 5
 BASE = 1.02
 TOP = 1200
-SLACK = 0.15
+SLACK = 0.12  # over three and a half standard errors of the estimate
+BLOCK = 256
 
 
 def seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +128,15 @@ def band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
             for i in range(rows):
                 total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + r[:, :, i])
             keys = batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))
+            number = np.tile(np.arange(bands, dtype=np.int16), n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(total.ravel().view(np.int64)), keys], ["band", "key"]
+                [pa.array(total.ravel().view(np.int64)), pa.array(number), keys],
+                ["band", "number", "key"],
             )
 
-    return classes.select("key", "regs").mapInArrow(run, "band bigint, key binary")
+    return classes.select("key", "regs").mapInArrow(
+        run, "band bigint, number smallint, key binary"
+    )
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -157,12 +162,10 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, na bigint, nb bigint")
 
 
-def verified(
-    pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, words: int, percent: int, limit: int
+def shingle_sets(
+    docs: DataFrame, needed: DataFrame, text: str, words: int, limit: int
 ) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    close = settle(likely(pairs, classes, percent / 100), "likely")
-    needed = settle(close.select("a").union(close.select("b")).distinct(), "needed")
+    """The whole sets of the classes in ``needed``, read from the texts once more."""
     some = needed.count()
     sent = None
     if 64 * some <= limit:
@@ -184,18 +187,119 @@ def verified(
                 ["key", "items"],
             )
 
-    if some == 0:
-        return close.select("a", "b")
     sets = docs.select(text).mapInArrow(run, "key binary, items array<bigint>")
     if sent is None:
-        sets = sets.join(needed.select(F.col("a").alias("key")), "key", "left_semi")
-    sets = settle(sets.groupBy("key").agg(F.first("items").alias("items")), "sets")
-    both = close.join(sets.select(F.col("key").alias("a"), F.col("items").alias("ia")), "a")
+        sets = sets.join(needed, "key", "left_semi")
+    return settle(sets.groupBy("key").agg(F.first("items").alias("items")), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("ia")), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("items").alias("ib")), "b")
-    shared = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("i"))
-    return shared.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select(
-        "a", "b"
+    size = F.size("ia") + F.size("ib")
+    shared = both.select("a", "b", size.alias("n"), F.size(F.array_intersect("ia", "ib")).alias("i"))
+    return shared.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
+
+
+def across(
+    members: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, rows: int
+) -> DataFrame:
+    """Likely links between classes that share a bucket but are in different components.
+
+    In every bucket that holds several components, all classes outside its largest component are
+    compared with all of the bucket. Both sides are dealt into blocks of about ``BLOCK`` classes, and a
+    task compares one block with another: their sizes, the first band they share (so that each pair
+    is compared in one bucket only), their registers by likelihood, and at last their sets as 32-bit
+    hashes. Pairs that the block has connected already are skipped. Only links leave the task.
+    """
+    at = found.select(F.col("id").alias("key"), "component")
+    now = members.select("band", "number", "key").join(at, "key", "left")
+    now = now.select("band", "number", "key", F.coalesce("component", "key").alias("c"))
+    parts = now.groupBy("band", "c").agg(F.count("*").alias("k"))
+    open_ = parts.groupBy("band").agg(
+        F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("top")
+    )
+    open_ = open_.where("n > most").select(
+        "band",
+        "top",
+        F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("nx"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("ny"),
     )
+    left = settle(now.join(open_, "band"), "open-members")
+    if left.isEmpty():
+        return left.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    keys = left.select("key").distinct()
+    short = F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("items")
+    payload = classes.join(keys, "key", "left_semi").select("key", "n", "regs")
+    payload = settle(payload.join(sets.select("key", short), "key"), "payload")
+    place = F.xxhash64("key", F.lit(5))
+    columns = ["band", "number", "key", "c", F.col("c") != F.col("top")]
+    x = left.where("c <> top").select(
+        *columns,
+        F.lit(True).alias("asks"),
+        F.pmod(place, "nx").cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"),
+    )
+    y = left.select(
+        *columns,
+        F.lit(False).alias("asks"),
+        F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"),
+        F.pmod(place, "ny").cast("int").alias("j"),
+    )
+    dealt = x.union(y).toDF("band", "number", "key", "c", "outside", "asks", "i", "j")
+    dealt = dealt.join(payload, "key")
+
+    def compare(block: pa.Table) -> pa.Table:
+        asks = block.column("asks").to_numpy(zero_copy_only=False)
+        ours, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        keys, comp = block.column("key").to_pylist(), block.column("c").to_pylist()
+        group = np.unique(np.array(comp), return_inverse=True)[1]
+        rank = np.unique(np.array(keys), return_inverse=True)[1]
+        outside = block.column("outside").to_numpy(zero_copy_only=False)
+        size = block.column("n").to_numpy().astype(float)
+        regs = np.frombuffer(b"".join(block.column("regs").to_pylist()), np.uint16)
+        regs = regs.reshape(len(keys), -1)
+        number = block.column("number")[0].as_py()
+        items = block.column("items")
+        sets = {}
+        at: dict[bytes, bytes] = {}
+
+        def root(c: bytes) -> bytes:
+            while c in at:
+                c = at[c]
+            return c
+
+        links = []
+        for p in ours:
+            once = ~outside[theirs] | (rank[theirs] > rank[p])
+            q = theirs[once & (group[theirs] != group[p])]
+            low, high = np.minimum(size[q], size[p]), np.maximum(size[q], size[p])
+            q = q[100 * low >= percent * high]
+            same = (regs[q] == regs[p]).reshape(len(q), regs.shape[1] // rows, rows).all(axis=2)
+            q = q[same.argmax(axis=1) == number]
+            if not len(q):
+                continue
+            a = np.broadcast_to(regs[p], (len(q), regs.shape[1]))
+            likely_ = estimate(a, regs[q], np.full(len(q), size[p]), size[q])
+            for t in q[likely_ >= percent / 100 - SLACK]:
+                one, other = root(comp[p]), root(comp[t])
+                if one == other:
+                    continue
+                for k in (p, t):
+                    if k not in sets:
+                        sets[k] = np.asarray(items[int(k)].values)
+                shared = len(np.intersect1d(sets[p], sets[t]))
+                total = size[p] + size[t]
+                # hashes may collide by chance: the full ones decide, and only sure links connect
+                if 100 * (shared + 1) >= percent * (total - shared - 1):
+                    links.append((min(keys[p], keys[t]), max(keys[p], keys[t])))
+                if 100 * (shared - 2) >= percent * (total - shared + 2):
+                    at[one] = other
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(
@@ -213,12 +317,11 @@ def near_duplicates(
     ``kept`` (the document has that id), one row per input row.
 
     Equal sets form one class, and only classes are compared. Each has ``bands * rows`` SetSketch
-    registers; classes that agree in a whole band are candidates. Candidates are not enumerated in a
-    bucket: all are compared with its first class, links are joined to components, and only
-    classes of a bucket that are in different components are compared further: with one class
-    chosen at random as long as many are left, and then each with each. Before the shingle sets are
-    fetched, the joint likelihood of both sketches must allow the similarity. So every candidate pair
-    is compared or already connected. A pair at the threshold shares a band with a chance of
+    registers; classes that agree in a whole band are candidates. A bucket's classes are first compared
+    with its first one, and links joined to components. Then, in buckets that hold several components,
+    those outside the largest are compared with all, block by block (see ``across``). So every candidate
+    pair is compared or connected already. Before shingle sets are compared, sizes and the joint likelihood of both
+    sketches must allow the similarity. A pair at the threshold shares a band with a chance of
     1 - (1 - 0.75^5)^36, all but 6 in 100,000, and closer pairs more surely.
 
     A NULL or empty text, or one without words, is linked with nothing and kept. Fewer than ``words``
@@ -234,12 +337,18 @@ def near_duplicates(
     )
     classes = settle(classes, "classes")
     every = band_rows(classes, bands, rows)
-    shared = every.groupBy("band").agg(F.count("*").alias("k"), F.min("key").alias("first"))
-    shared = settle(shared.where("k > 1").select("band", "first"), "bands")
-    members = settle(every.join(shared, "band").select("band", "key", "first"), "members")
-    found = link_buckets(
-        members, lambda pairs: verified(pairs, docs, classes, text, words, percent, limit)
-    )
+    shared = every.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("end"))
+    shared = settle(shared.where("first < end").select("band", "first"), "bands")
+    members = settle(every.join(shared, "band").select("band", "number", "key", "first"), "members")
+    sets = shingle_sets(docs, settle(members.select("key").distinct(), "needed"), text, words, limit)
+
+    pairs = members.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    near = likely(pairs.distinct(), classes, percent / 100)
+    links = settle(verified(near.select("a", "b"), sets, percent), "links")
+    found = settle(components(links), "components")
+    more = across(members, found, classes, sets, percent, rows)
+    links = links.union(settle(verified(more, sets, percent), "links"))
+    found = settle(components(links), "components")
 
     at = found.select(F.col("id").alias("key"), "component")
     named = classes.select("key", "id").join(at, "key", "left")
