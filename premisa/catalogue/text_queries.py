@@ -8,6 +8,7 @@ from premisa.catalogue.registry import query
 from premisa.functions.exprs import hash_number, order_key, strip
 from premisa.operators import nli, prompts, qa
 from premisa.operators.ranking import hash_rank
+from premisa.plans import datasets
 from premisa.sources import fixtures as fx
 from premisa.sources import io
 from premisa.sources.catalog import DATASETS, TEMPLATES, VARIANTS, variant_catalog
@@ -618,6 +619,67 @@ def d7(spark, sf):
     )
 
 
+_MARK = "coalesce(string_agg('The statement \"' || premise || '\" is ' || mark || '. ', '' ORDER BY pi), '')"
+
+
+@query(
+    "d7_load_catalogue",
+    f"""SELECT dataset, variant, sample_id, label, md5(question) AS question, position, max_length
+FROM (SELECT *, max(n) FILTER (f - fit < 1000) OVER (PARTITION BY dataset, variant) + 2 AS max_length
+ FROM (SELECT *, CAST(sum(fit) OVER (PARTITION BY dataset, variant ORDER BY k, sample_id) AS BIGINT)
+         AS f,
+       row_number() OVER (PARTITION BY dataset, variant, fit ORDER BY k, sample_id) AS position
+  FROM (SELECT *, md5('0:' || sample_id) AS k, CAST(n < 2046 AS INT) AS fit
+   FROM (SELECT *, length(txt) - length(replace(txt, ' ', '')) + 1 AS n
+    FROM (SELECT *, question || ' ' || CASE label WHEN 1 THEN 'correct' ELSE 'incorrect' END AS txt
+     FROM (
+      SELECT 'snli' AS dataset, variant, pair_id AS sample_id, label, CASE prompt
+        WHEN 1 THEN 'Consider the following premise: "' || premise || '" '
+        WHEN 2 THEN 'Consider that the following premise is false: "' || premise || '" '
+        ELSE '' END || 'The statement "' || hypothesis || '" is' AS question
+      FROM (SELECT 0 AS kind, pair_id, premise, hypothesis, label FROM coded
+        UNION ALL SELECT 1, c.pair_id, g.sentence1, c.hypothesis, c.label FROM coded c
+        JOIN (SELECT pair_id, row_number() OVER (ORDER BY md5('0:' || pair_id), pair_id) AS r
+              FROM nli) t USING (pair_id)
+        JOIN (SELECT sentence1, row_number() OVER (ORDER BY pair_id) AS r FROM nli) g USING (r)
+        UNION ALL SELECT 2, pair_id, {_NOISE.format(text="premise", seed=0, id="pair_id")},
+          hypothesis, label FROM coded)
+      JOIN (VALUES ('original_pos_prem', 0, 1), ('original_neg_prem', 0, 2),
+        ('shuffle_pos_prem', 1, 1), ('shuffle_neg_prem', 1, 2), ('random_pos_prem', 2, 1),
+        ('random_neg_prem', 2, 2), ('no_prem', 0, 0)) AS v(variant, kind, prompt) USING (kind)
+      UNION ALL
+      SELECT 'entbank', variant, side * count(*) OVER (PARTITION BY variant, side) + r, side,
+        told || 'Question: "' || question || '" The answer "'
+        || CASE side WHEN 1 THEN right_answer ELSE wrong_answer END || '" is'
+      FROM (SELECT variant, item_id, {_MARK} AS told
+        FROM (SELECT item_id FROM asked) CROSS JOIN (VALUES ('original_pos_prem', 0, 'true'),
+          ('original_neg_prem', 0, 'false'), ('shuffle_pos_prem', 1, 'true'),
+          ('shuffle_neg_prem', 1, 'false'), ('random_pos_prem', 2, 'true'),
+          ('random_neg_prem', 2, 'false'), ('no_prem', 3, '')) AS v(variant, kind, mark)
+        LEFT JOIN (SELECT 0 AS kind, item_id, i AS pi, premise FROM support
+          UNION ALL SELECT 1, item_id, pi, upper(fact[1]) || lower(fact[2:]) || '.'
+          FROM (SELECT item_id, unnest(range(len(d))) AS pi, unnest(d) AS key
+                FROM (SELECT item_id, list_slice(distractors, 1, 3) AS d FROM prf))
+          JOIN facts USING (item_id, key)
+          UNION ALL SELECT 2, item_id, pi,
+            {_NOISE.format(text="premise", seed=0, id="item_id || ':' || pi")}
+          FROM (SELECT item_id, i AS pi, premise FROM support)) USING (kind, item_id)
+        GROUP BY variant, item_id)
+      JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS r FROM asked) USING (item_id)
+      CROSS JOIN (VALUES (0), (1)) AS a(side)))))))
+WHERE fit = 1 AND position <= 1000""",
+    "coded nli asked support prf facts",
+)
+def d7_catalogue(spark, sf):
+    """Both datasets in all seven variants, from the raw tables to sampled prompts."""
+    sources = {"snli_pairs": fx.nli(spark, sf), "proof_questions": _records(spark, sf)}
+    found = datasets.load_all(sources)
+    return found.select(
+        "dataset", "variant", "sample_id", "label", F.md5("neg_question").alias("question"),
+        "position", "max_length",
+    )
+
+
 @query(
     "k3_random_permutation",
     "SELECT doc_id, row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) AS position FROM documents",

@@ -56,12 +56,15 @@ def label_code(label_map: dict[str, str], skip_labels: list[str]) -> Column:
 def shuffle_column(df: DataFrame, id_col: str, column: str, seed: int) -> DataFrame:
     """Replace ``column`` by the value of a partner row; the partners form a permutation.
 
-    The row at hash rank r gets the value of the row at id rank r. Both ranks are computed
-    bucket by bucket and met by an equi-join.
+    The row at hash rank r gets the value of the row at id rank r. Only ids are ranked, bucket by
+    bucket; partners meet by an equi-join, and the values are fetched by the partner's id.
     """
-    givers = number_rank(df.select(id_col, column), [], id_col, "_rank")
-    takers = hash_rank(df, [], order_key(seed, id_col), [id_col], "_rank")
-    return takers.drop(column).join(givers.select("_rank", column), "_rank").drop("_rank")
+    ids = df.select(id_col)
+    givers = number_rank(ids.select(F.col(id_col).alias("_giver")), [], "_giver", "_rank")
+    takers = hash_rank(ids, [], order_key(seed, id_col), [id_col], "_rank")
+    partners = takers.join(givers, "_rank").drop("_rank")
+    values = df.select(F.col(id_col).alias("_giver"), column)
+    return df.drop(column).join(partners, id_col).join(values, "_giver").drop("_giver")
 
 
 def letter_noise(text: Column | str, seed: int, *ids: Column | str) -> Column:

@@ -37,9 +37,23 @@ def render(text: str, columns: list[str]) -> Column:
     return F.concat(*parts)
 
 
+def marked(premises: Column | str, truths: Column | str) -> Column:
+    """All premises as sentences that say whether each is true; no premises give no text."""
+    sentences = F.zip_with(
+        as_col(premises),
+        as_col(truths),
+        lambda p, t: F.concat(
+            F.lit('The statement "'), p, F.when(t, F.lit('" is true. ')).otherwise('" is false. ')
+        ),
+    )
+    return F.array_join(sentences, "")
+
+
 def contrast_pairs(examples: DataFrame, name: str | None = None, ordinal: int | None = None):
     """One row per example with the prompt answered as if its label were 0 and 1."""
     question, no, yes = TEMPLATES[template_name(name, ordinal)]
+    if "{marked_premises}" in question:
+        examples = examples.withColumn("marked_premises", marked("premises", "truths"))
     columns = [c for c in examples.columns if c != "label"]
     return (
         examples.withColumn("neg_question", render(question, columns))
@@ -233,6 +247,33 @@ def length_cap(
     return scanned.groupBy(*keys).agg((F.max(length) + 2).cast("int").alias("max_length"))
 
 
+def rendered(examples: DataFrame, prompt_name: str, add_period: bool = False) -> DataFrame:
+    """Contrast pairs with the token count of the true side; a pair whose questions differ or whose
+    answers agree is an error."""
+    pairs = guarded(contrast_pairs(examples, prompt_name))
+    own = F.when(F.col("label") == 1, F.col("pos_answer")).otherwise(F.col("neg_answer"))
+    return pairs.withColumn("_n", token_count(input_text("neg_question", own, add_period)))
+
+
+def sample_pairs(
+    pairs: DataFrame, ids: list[str], keys: list[str], num_examples: int, max_len: int, seed: int
+) -> DataFrame:
+    """Drop what is too long and keep a random ``num_examples`` per group, with ``position`` and the
+    group's ``max_length``.
+
+    ``ids`` name an example within its group. The order is found on ids and lengths alone; texts are
+    only joined to what is kept.
+    """
+    narrow = settle(pairs.select(*keys, *ids, "_n"), "lengths")
+    kept = sample_short(narrow, keys, ids, "_n", max_len, num_examples, seed).drop("_n")
+    cap = length_cap(narrow, keys, ids, "_n", max_len, num_examples, seed)
+    if keys:
+        kept = attach(kept, settle(cap, "length-caps"), keys, ids)
+    else:
+        kept = kept.withColumn("max_length", F.lit(cap.first()["max_length"]).cast("int"))
+    return attach(pairs.drop("_n"), settle(kept, "kept"), [*keys, *ids], ids)
+
+
 def load_pairs(
     examples: DataFrame,
     prompt_name: str,
@@ -244,10 +285,8 @@ def load_pairs(
     seed: int = 0,
 ) -> DataFrame:
     """Render, drop what is too long, keep a random ``num_examples`` per group, and pair up."""
-    pairs = contrast_pairs(examples, prompt_name)
-    own = F.when(F.col("label") == 1, F.col("pos_answer")).otherwise(F.col("neg_answer"))
-    pairs = pairs.withColumn("_n", token_count(input_text("neg_question", own, add_period)))
-    return sample_short(pairs, keys or [], ids, "_n", max_len, num_examples, seed).drop("_n")
+    pairs = rendered(examples, prompt_name, add_period)
+    return sample_pairs(pairs, ids, keys or [], num_examples, max_len, seed)
 
 
 def sample_listing(pairs: DataFrame, id_col: str, rows: int = 10) -> DataFrame:

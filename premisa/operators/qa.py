@@ -170,10 +170,15 @@ def build_qa(
     """Two rows per record, one per answer, with premises and their true/false marks.
 
     ``records`` holds ``item_id, proof, meta, hypothesis, choices, answer_key, answer``. The
-    generated key is ``label * N + index`` with the record's 0-based position by ``item_id``.
+    generated key is ``label * N + index`` with the record's 0-based position by ``item_id``, which
+    must be unique. A record without choices or without an answer is an error.
     """
     total = records.count()
-    rows = number_rank(records, [], "item_id", "_rank")
+    given = (F.size("choices") > 1) & F.col("answer_key").isNotNull() & F.col("answer").isNotNull()
+    text = F.concat(F.lit("no choices for record "), F.col("item_id").cast("string"))
+    checked = records.filter(F.assert_true(F.coalesce(given, F.lit(False)), text).isNull())
+    # only ids are ranked; the records' texts are joined by id
+    rows = checked.join(number_rank(records.select("item_id"), [], "item_id", "_rank"), "item_id")
     rows = rows.withColumn("premises", premises(premise_mode, seed))
     rows = rows.withColumn("truths", true_marks(F.size("premises"), true_proportion, seed))
     rows = rows.withColumn("_answers", two_answers(seed))

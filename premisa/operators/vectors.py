@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from premisa.functions.exprs import (
     INF,
@@ -17,6 +20,7 @@ from premisa.functions.exprs import (
     has_nan,
     is_finite,
     minus,
+    norm,
     order_key,
     plus,
     scaled,
@@ -96,12 +100,18 @@ def answer_logits(
 
 
 def sides(states: DataFrame) -> DataFrame:
-    """One row per sample with both vectors: ``x0`` negative, ``x1`` positive."""
-    keys = [c for c in states.columns if c not in ("side", "vec")]
-    neg = states.filter("side = 0").select(*keys, F.col("vec").alias("x0"))
-    match = [c for c in keys if c != "y"]
-    pos = states.filter("side = 1").select(*match, F.col("vec").alias("x1"))
-    return neg.join(pos, match)
+    """One row per sample with both vectors: ``x0`` negative, ``x1`` positive.
+
+    One aggregation; samples that lack a side are left out. A side met twice is an error.
+    """
+    keys = [c for c in states.columns if c not in ("side", "vec", "y")]
+    vec = F.col("vec")
+    found = [F.max(F.when(F.col("side") == i, vec)).alias(f"x{i}") for i in (0, 1)]
+    y = [F.max(F.when(F.col("side") == 0, F.col("y"))).alias("y")] if "y" in states.columns else []
+    pairs = states.groupBy(*keys).agg(*y, *found, F.count("*").alias("_rows"))
+    pairs = pairs.filter("x0 is not null and x1 is not null")
+    once = F.assert_true(F.col("_rows") == 2, F.lit("side met twice"))
+    return pairs.filter(once.isNull()).drop("_rows")
 
 
 def true_side(states: DataFrame) -> DataFrame:
@@ -125,50 +135,162 @@ def side_combination(pairs: DataFrame, kind: str) -> DataFrame:
 # --- statistics ----------------------------------------------------------------------------
 
 
+def _groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Row numbers of each key of a batch; a NULL key is a group like any other."""
+    found: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+        found.setdefault(key, []).append(i)
+    for key, rows in found.items():
+        yield key, np.array(rows)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one width as a matrix, NULL numbers as NaN."""
+    offsets = column.offsets.to_numpy()
+    widths = np.diff(offsets)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(float)[offsets[0] : offsets[-1]]
+    if len(widths) and (widths != widths[0]).any():
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(widths), -1)
+
+
+def _typed_rows(keys: list[tuple], columns: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    n = len(schema) - len(columns)
+    heads = [pa.array([k[i] for k in keys], schema.field(i).type) for i in range(n)]
+    return pa.RecordBatch.from_arrays([*heads, *columns], schema=schema)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def moments(states: DataFrame, keys: list[str], vector: str = "vec") -> DataFrame:
+    """Per group and task: number of rows, and per coordinate the finite values' count and sum, the
+    mean and the squared deviations of all values. Partial rows are merged by ``merged_moments``.
+
+    A task keeps one open group at least and hands its sums on when they hold ``PARTIAL_CELLS``.
+    """
+    key_schema = to_arrow_schema(T.StructType([states.schema[k] for k in keys]))
+    lists = [pa.field(n, pa.list_(pa.float64())) for n in ("count", "sum", "mean", "squares")]
+    schema = pa.schema([*key_schema, pa.field("n", pa.int64()), *lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+
+        def drain() -> pa.RecordBatch:
+            found = list(held.values())
+            columns = [pa.array([f[0] for f in found], pa.int64())]
+            columns += [_lists([f[i] for f in found]) for i in range(1, 5)]
+            out = _typed_rows(list(held), columns, schema)
+            held.clear()
+            return out
+
+        for batch in batches:
+            vectors = batch.column(len(keys))
+            for key, rows in _groups(batch, keys):
+                part = moments_of(_matrix(vectors.take(pa.array(rows))))
+                held[key] = add_moments(held[key], part) if key in held else part
+            if len(held) > 1 and sum(4 * len(h[1]) for h in held.values()) > PARTIAL_CELLS:
+                yield drain()
+        if held:
+            yield drain()
+
+    rows = states.filter(F.col(vector).isNotNull()).select(*keys, vector)
+    kinds = [T.StructField("n", T.LongType())]
+    kinds += [T.StructField(f.name, T.ArrayType(T.DoubleType())) for f in lists]
+    return rows.mapInArrow(run, T.StructType([states.schema[k] for k in keys] + kinds))
+
+
+def moments_of(x: np.ndarray) -> tuple:
+    finite = np.isfinite(x)
+    with np.errstate(invalid="ignore", over="ignore"):
+        mean = x.mean(axis=0)
+        squares = ((x - mean) ** 2).sum(axis=0)
+    return (
+        len(x), finite.sum(axis=0).astype(float), np.where(finite, x, 0.0).sum(axis=0), mean, squares
+    )
+
+
+def add_moments(a: tuple, b: tuple) -> tuple:
+    """Moments of two parts together."""
+    if len(a[1]) != len(b[1]):
+        raise ValueError("vectors differ in length")
+    n = a[0] + b[0]
+    with np.errstate(invalid="ignore", over="ignore"):
+        gap = b[3] - a[3]
+        mean = a[3] + gap * (b[0] / n)
+        squares = a[4] + b[4] + gap * gap * (a[0] * b[0] / n)
+    return n, a[1] + b[1], a[2] + b[2], mean, squares
+
+
+def merged_moments(
+    parts: DataFrame, keys: list[str], fields: list[str], finish: Callable[[tuple], list]
+) -> DataFrame:
+    """One row per group from the partial moments of all tasks: ``finish`` gives its vectors."""
+    schema = T.StructType(
+        [parts.schema[k] for k in keys]
+        + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields]
+    )
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        names = ("count", "sum", "mean", "squares")
+        rows = [(r["n"], *(np.asarray(r[c], float) for c in names)) for _, r in group.iterrows()]
+        out = group[keys].head(1).copy()
+        for f, v in zip(fields, finish(reduce(add_moments, rows)), strict=True):
+            out[f] = [v]
+        return out
+
+    return parts.groupBy(*keys).applyInPandas(run, schema)
+
+
+def finite_mean(m: tuple) -> np.ndarray:
+    return np.divide(m[2], m[1], out=np.full(len(m[1]), np.nan), where=m[1] > 0)
+
+
 def vector_stats(states: DataFrame, keys: list[str], std: bool = False) -> DataFrame:
     """Mean per coordinate over the finite values, and on demand the (n-1) deviation.
 
-    Coordinates are exploded and combined map-side, so a group of any size arrives at the
-    reducers as one partial row per task and coordinate; each group ends as one vector.
-    The deviation is that of the centred data, so one non-finite value makes it NaN.
+    Tasks add up whole vectors and send one partial row per group, so neither vectors nor
+    coordinates are shuffled and a group of any size arrives as a row per task. The deviation is
+    that of the centred data, so one non-finite value makes it NaN; of one vector it is NULL. A
+    coordinate without a finite value has no mean.
     """
-    x = F.col("_x")
-    long = states.select(*keys, F.posexplode("vec").alias("_i", "_x"))
-    aggregates = [F.avg(F.when(is_finite(x), x)).alias("_mean")]
-    if std:
-        aggregates.append(F.stddev_samp(x).alias("_std"))
-    cells = long.groupBy(*keys, "_i").agg(*aggregates)
-    names = ["_mean", "_std"] if std else ["_mean"]
-    entry = F.struct("_i", *names)
-    grouped = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_v"))
-    out = [F.col(f"_v.{n}").alias(n[1:]) for n in names]
-    return grouped.select(*keys, *out)
+
+    def finish(m: tuple) -> list:
+        found = [finite_mean(m)]
+        if std:
+            spread = np.full(len(m[1]), np.nan) if m[0] < 2 else np.sqrt(m[4] / (m[0] - 1))
+            found.append(spread)
+        return found
+
+    names = ["mean", "std"] if std else ["mean"]
+    stats = merged_moments(moments(states, keys), keys, names, finish)
+    return stats
 
 
 def mean_difference(states: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of the true sides minus mean of the false sides, and its length."""
     labelled = states.filter(F.col("y").isNotNull())
     tagged = labelled.withColumn("_true", F.col("side") == F.col("y"))
-    x = F.col("_x")
-    cells = (
-        tagged.select(*keys, "_true", F.posexplode("vec").alias("_i", "_x"))
-        .groupBy(*keys, "_i")
-        .agg(
-            (F.avg(F.when(F.col("_true"), x)) - F.avg(F.when(~F.col("_true"), x))).alias("_d"),
-        )
-    )
-    grouped = cells.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_d"))).alias("_v"),
-        F.sqrt(F.sum(F.col("_d") * F.col("_d"))).alias("length"),
+    means = vector_stats(tagged, [*keys, "_true"])
+    both = means.groupBy(*keys).agg(
+        F.max(F.when(F.col("_true"), F.col("mean"))).alias("_t"),
+        F.max(F.when(~F.col("_true"), F.col("mean"))).alias("_f"),
     )
-    return grouped.select(*keys, F.col("_v._d").alias("direction"), "length")
+    direction = F.zip_with("_t", "_f", lambda t, f: t - f)
+    found = both.select(*keys, direction.alias("direction"))
+    return found.withColumn("length", norm("direction"))
 
 
 def gram(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """Rows ``(keys, i, row)`` of the matrix leftᵀ·right summed over each group, plus ``n``.
 
-    Tasks add up outer products in numpy and emit one partial matrix per group; the partials are
-    summed by Spark cell by cell, so no group and no matrix passes through a single task whole.
+    Tasks add up outer products in numpy and emit one partial matrix per group, row by row; equal
+    rows of the partials meet in a task, so no group and no matrix passes through one whole. A task
+    holds ``PARTIAL_CELLS`` numbers or one matrix. Rows of one group should lie together, or open
+    matrices alternate.
     """
     schema = T.StructType(
         [rows.schema[k] for k in keys]
@@ -197,21 +319,25 @@ def gram(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
             for key, part in batch.groupby(keys, sort=False, dropna=False):
                 a, b = np.stack(part[left].to_list()), np.stack(part[right].to_list())
                 product = a.T @ b
-                sums[key] = sums[key] + product if key in sums else product
+                if key in sums:
+                    sums[key] += product
+                else:
+                    if sums and sum(m.size for m in sums.values()) + product.size > PARTIAL_CELLS:
+                        yield from drain()
+                    sums[key] = product
                 counts[key] = counts.get(key, 0) + len(part)
-                if sum(m.size for m in sums.values()) > PARTIAL_CELLS:
-                    yield from drain()
         yield from drain()
 
     wanted = list(dict.fromkeys([left, right]))
     parts = rows.select(*keys, *wanted).mapInPandas(partial, schema)
-    cells = (
-        parts.select(*keys, "n", "i", F.posexplode("row").alias("_j", "_x"))
-        .groupBy(*keys, "i", "_j")
-        .agg(F.sum("_x").alias("_x"), F.sum("n").alias("n"))
-    )
-    entry = F.array_sort(F.collect_list(F.struct("_j", "_x")))
-    return cells.groupBy(*keys, "i").agg(F.max("n").alias("n"), entry["_x"].alias("row"))
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        out = group.head(1).copy()
+        out["n"] = group["n"].sum()
+        out["row"] = [np.sum(np.stack(group["row"].to_list()), axis=0)]
+        return out
+
+    return parts.groupBy(*keys, "i").applyInPandas(add, schema).select(*keys, "i", "n", "row")
 
 
 def class_covariance(states: DataFrame, keys: list[str]) -> DataFrame:

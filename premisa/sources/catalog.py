@@ -83,6 +83,12 @@ TEMPLATES = {
         "correct",
     ),
     "pic-hypothesis_only": ('The statement "{hypothesis}" is', "incorrect", "correct"),
+    # every premise with its mark, see ``premisa.operators.prompts.marked``
+    "truth-question-v3": (
+        '{marked_premises}Question: "{question}" The answer "{answer}" is',
+        "incorrect",
+        "correct",
+    ),
     "question-answer": ('Question: "{question}" Is "{answer}" right?', "No", "Yes"),
 }
 
