@@ -226,27 +226,31 @@ def add_moments(a: tuple, b: tuple) -> tuple:
 
 
 def merged_moments(
-    parts: DataFrame, keys: list[str], fields: list[str], finish: Callable[[tuple], list]
+    parts: DataFrame, keys: list[str], fields: list[str], finish: Callable[[tuple], list[pa.Array]]
 ) -> DataFrame:
     """One row per group from the partial moments of all tasks: ``finish`` gives its vectors."""
-    schema = T.StructType(
-        [parts.schema[k] for k in keys]
-        + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields]
-    )
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        names = ("count", "sum", "mean", "squares")
-        rows = [(r["n"], *(np.asarray(r[c], float) for c in names)) for _, r in group.iterrows()]
-        out = group[keys].head(1).copy()
-        for f, v in zip(fields, finish(reduce(add_moments, rows)), strict=True):
-            out[f] = [v]
-        return out
+    head = [parts.schema[k] for k in keys]
+    schema = T.StructType([*head, *(T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields)])
+    arrow = to_arrow_schema(T.StructType(head))
+
+    def run(group: pa.Table) -> pa.Table:
+        vectors = [group.column(c).to_pylist() for c in ("count", "sum", "mean", "squares")]
+        rows = [
+            (n, *(np.array(v, float) for v in row))
+            for n, *row in zip(group.column("n").to_pylist(), *vectors, strict=True)
+        ]
+        found = finish(reduce(add_moments, rows))
+        columns = [group.column(k).slice(0, 1).cast(arrow.field(k).type) for k in keys]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in found]
+        return pa.table(columns, names=[*keys, *fields])
 
-    return parts.groupBy(*keys).applyInPandas(run, schema)
+    return parts.groupBy(*keys).applyInArrow(run, schema)
 
 
-def finite_mean(m: tuple) -> np.ndarray:
-    return np.divide(m[2], m[1], out=np.full(len(m[1]), np.nan), where=m[1] > 0)
+def finite_mean(m: tuple) -> pa.Array:
+    """Means of the finite values; NULL where there is none."""
+    means = np.divide(m[2], m[1], out=np.zeros(len(m[1])), where=m[1] > 0)
+    return pa.array(means, mask=m[1] == 0)
 
 
 def vector_stats(states: DataFrame, keys: list[str], std: bool = False) -> DataFrame:
@@ -258,16 +262,15 @@ def vector_stats(states: DataFrame, keys: list[str], std: bool = False) -> DataF
     coordinate without a finite value has no mean.
     """
 
-    def finish(m: tuple) -> list:
+    def finish(m: tuple) -> list[pa.Array]:
         found = [finite_mean(m)]
         if std:
-            spread = np.full(len(m[1]), np.nan) if m[0] < 2 else np.sqrt(m[4] / (m[0] - 1))
-            found.append(spread)
+            spread = np.sqrt(m[4] / max(m[0] - 1, 1))
+            found.append(pa.array(spread, mask=np.full(len(spread), m[0] < 2)))
         return found
 
     names = ["mean", "std"] if std else ["mean"]
-    stats = merged_moments(moments(states, keys), keys, names, finish)
-    return stats
+    return merged_moments(moments(states, keys), keys, names, finish)
 
 
 def mean_difference(states: DataFrame, keys: list[str]) -> DataFrame:

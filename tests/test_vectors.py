@@ -151,3 +151,49 @@ def test_check_labels(spark):
     df = spark.createDataFrame(rows, "dataset string, sample_id long, label int")
     got = {r["dataset"]: (r["samples"], r["consistent"]) for r in vectors.check_labels(df, ["dataset"]).collect()}
     assert got == {"d": (2, True), "e": (1, False)}
+
+
+def test_wide_vectors_are_summed_without_exploding(spark):
+    """Width 2,048 on few rows: equal to numpy, and neither vectors nor coordinates are shuffled."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (12, 2048))
+    rows = [("d", "m", "v", 1, i // 2, i % 2, (i // 4) % 2, "train", x[i].tolist()) for i in range(12)]
+    states = spark.createDataFrame(
+        rows,
+        "dataset string, model string, variant string, layer int, sample_id long, side int, y int, "
+        "split string, vec array<double>",
+    ).repartition(3)
+    centred = vectors.center(states)
+    text = centred._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in text
+    got = {(r["sample_id"], r["side"]): r["vec"] for r in centred.collect()}
+    for side in (0, 1):
+        want = x[side::2] - x[side::2].mean(axis=0)
+        for s in range(6):
+            np.testing.assert_allclose(got[s, side], want[s], atol=1e-12)
+    stats = vectors.vector_stats(states, ["layer"], std=True).first()
+    np.testing.assert_allclose(stats["std"], x.std(axis=0, ddof=1), rtol=1e-10)
+    y, side = np.array([(i // 4) % 2 for i in range(12)]), np.arange(12) % 2
+    difference = vectors.mean_difference(states, ["layer"]).first()
+    want = x[side == y].mean(axis=0) - x[side != y].mean(axis=0)
+    np.testing.assert_allclose(difference["direction"], want, atol=1e-12)
+    gram = vectors.gram(states, ["layer"], "vec", "vec").orderBy("i").collect()
+    np.testing.assert_allclose([r["row"][:5] for r in gram[:5]], (x.T @ x)[:5, :5], atol=1e-10)
+    assert gram[0]["n"] == 12 and len(gram) == 2048
+
+
+def test_moments_with_nulls_and_infinity(spark):
+    rows = [(None, [1.0, float("inf")]), (None, [3.0, 4.0]), ("b", [5.0, NAN])]
+    states = spark.createDataFrame(rows, "k string, vec array<double>")
+    got = {r["k"]: r["mean"] for r in vectors.vector_stats(states, ["k"]).collect()}
+    assert got == {None: [2.0, 4.0], "b": [5.0, None]}
+    two = spark.createDataFrame([("b", [5.0, NAN]), ("b", [7.0, 1.0])], "k string, vec array<double>")
+    std = vectors.vector_stats(two, ["k"], std=True).first()["std"]
+    assert std[0] == pytest.approx(2**0.5) and np.isnan(std[1])
+
+
+def test_a_side_met_twice_fails(spark):
+    rows = [("v", 1, 0, 1, [1.0]), ("v", 1, 1, 1, [2.0]), ("v", 1, 1, 1, [3.0])]
+    states = spark.createDataFrame(rows, "variant string, sample_id int, side int, y int, vec array<double>")
+    with pytest.raises(Exception, match="side met twice"):
+        vectors.sides(states).collect()
