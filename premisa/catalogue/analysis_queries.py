@@ -191,13 +191,18 @@ def e10(spark, sf):
 
 @query(
     "u3_group_keys",
-    f"SELECT run_id, 7 AS l0_keys, 4 AS l1_keys, 1 AS l2_keys FROM ({_RUNS})",
+    f"""SELECT run_id, 7 + CAST(layer = 2 AS INT) AS l0_keys, 4 + CAST(layer = 2 AS INT) AS l1_keys,
+  1 + CAST(layer = 2 AS INT) AS l2_keys FROM ({_RUNS})""",
     "pred",
 )
 def u3(spark, sf):
-    sizes = [
-        F.size(results.group_keys(F.col("params"), n)).alias(f"l{n}_keys") for n in (0, 1, 2)
-    ]
+    """Runs of layer 2 have one more parameter, all others one that never counts."""
+    p = F.col("params")
+    more = F.create_map(F.lit("eval_Other_option"), F.lit("1"))
+    probe = F.create_map(F.lit("PROBE_option"), F.lit("1"))
+    second = p["eval_CreateSplits_layer_index"] == "2"
+    p = F.when(second, F.map_concat(p, more)).otherwise(F.map_concat(p, probe))
+    sizes = [F.size(results.group_keys(p, n)).alias(f"l{n}_keys") for n in (0, 1, 2)]
     return params(spark, sf).select("run_id", *sizes)
 
 

@@ -843,6 +843,12 @@ def p31(spark, sf):
 # --- agreement of variants -----------------------------------------------------------------
 
 
+def conflicting(rows):
+    """The label of a third of the samples is turned round in one variant."""
+    turned = (F.col("sample_id") % 3 == 1) & (F.col("variant") == "no_prem")
+    return rows.withColumn("label", F.when(turned, 1 - F.col("label")).otherwise(F.col("label")))
+
+
 def variant_rows(spark, sf):
     """Every sentence pair in each of its seven premise variants."""
     each = F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant")
@@ -853,11 +859,12 @@ def variant_rows(spark, sf):
 
 @query(
     "j10_variant_zip",
-    """SELECT pair_id AS sample_id, 7 AS variants, label AS lowest, label AS highest FROM coded""",
+    """SELECT pair_id AS sample_id, 7 AS variants, CASE WHEN pair_id % 3 = 1 THEN 0 ELSE label END
+  AS lowest, CASE WHEN pair_id % 3 = 1 THEN 1 ELSE label END AS highest FROM coded""",
     "coded",
 )
 def j10(spark, sf):
-    return variant_rows(spark, sf).groupBy("sample_id").agg(
+    return conflicting(variant_rows(spark, sf)).groupBy("sample_id").agg(
         F.count("*").cast("int").alias("variants"),
         F.min("label").alias("lowest"),
         F.max("label").alias("highest"),
@@ -866,24 +873,32 @@ def j10(spark, sf):
 
 @query(
     "a19_label_agreement",
-    "SELECT dataset, count(DISTINCT sample_id) AS samples, true AS consistent FROM pred GROUP BY 1",
+    """SELECT dataset, count(DISTINCT sample_id) AS samples,
+  NOT bool_or(sample_id % 3 = 1 AND dataset = 'ds1') AS consistent FROM pred GROUP BY 1""",
     "pred",
 )
 def a19(spark, sf):
+    """One dataset has samples whose label differs in one variant."""
     from premisa.operators.vectors import check_labels
 
-    return check_labels(fx.predictions(spark, sf), ["dataset"])
+    rows = fx.predictions(spark, sf)
+    other = conflicting(rows).filter("dataset = 'ds1'")
+    return check_labels(other.unionByName(rows.filter("dataset <> 'ds1'")), ["dataset"])
 
 
 @query(
     "d5_check_labels",
-    "SELECT 'snli' AS dataset, count(*) AS samples, true AS consistent FROM coded",
+    """SELECT 'snli-' || (pair_id % 3) AS dataset, count(*) AS samples,
+  NOT bool_or(pair_id % 3 = 1) AS consistent FROM coded GROUP BY 1""",
     "coded",
 )
 def d5(spark, sf):
+    """Three parts of the dataset, one of which has labels that differ between the variants."""
     from premisa.operators.vectors import check_labels
 
-    return check_labels(variant_rows(spark, sf), ["dataset"])
+    part = F.concat(F.lit("snli-"), (F.col("sample_id") % 3).cast("string"))
+    rows = conflicting(variant_rows(spark, sf)).withColumn("dataset", part)
+    return check_labels(rows, ["dataset"])
 
 
 @query(

@@ -725,6 +725,18 @@ def e4(spark, sf):
     return df.select("layer", "train_variant", r6("length"))
 
 
+# variants whose probe is turned round, so that both signs are met
+_TURNED = VARIANTS[1::2]
+_TURNED_SQL = "(" + ", ".join(f"'{v}'" for v in _TURNED) + ")"
+
+
+def turned(probes: DataFrame) -> DataFrame:
+    """Every second variant's direction turned round; the calibration must turn it back."""
+    back = F.transform("direction", lambda x: -x)
+    other = F.when(F.col("train_variant").isin(_TURNED), back).otherwise(F.col("direction"))
+    return settle(probes.withColumn("direction", other), "turned")
+
+
 def _fixed_probes(states: DataFrame) -> DataFrame:
     """The no-premise mean difference as the direction of every training set."""
     probes = mean_probes(states)
@@ -735,14 +747,15 @@ def _fixed_probes(states: DataFrame) -> DataFrame:
 
 @query(
     "e5_sign",
-    """SELECT a.layer, a.train_variant, CAST(sign(sum(a.d * b.d)) AS INT) AS sign
+    f"""SELECT a.layer, a.train_variant, CAST(sign(sum(a.d * b.d)) AS INT)
+  * CASE WHEN a.train_variant IN {_TURNED_SQL} THEN -1 ELSE 1 END AS sign
 FROM mm a JOIN mm b ON a.layer = b.layer AND a.i = b.i AND b.train_variant = 'no_prem'
-GROUP BY ALL""",
+GROUP BY a.layer, a.train_variant""",
     "mm",
 )
 def e5(spark, sf):
     states = centred(spark, sf)
-    probes = calibrated_probes(states, _fixed_probes(states))
+    probes = calibrated_probes(states, turned(_fixed_probes(states)))
     return probes.select("layer", "train_variant", "sign")
 
 
@@ -761,7 +774,7 @@ WHERE split = 'eval' AND (train_variant IN ('original_pos_prem', 'no_prem')
 )
 def e6(spark, sf):
     states = centred(spark, sf)
-    probes = calibrated_probes(states, mean_probes(states))
+    probes = calibrated_probes(states, turned(mean_probes(states)))
     predicted = score.evaluate(states, probes)
     p = F.col("prediction")
     return predicted.groupBy("layer", "train_variant", "variant").agg(
@@ -777,7 +790,7 @@ def e6(spark, sf):
 )
 def e7(spark, sf):
     states = centred(spark, sf)
-    probes = calibrated_probes(states, mean_probes(states))
+    probes = calibrated_probes(states, turned(mean_probes(states)))
     return score.evaluate(states, probes).select(
         "layer", "train_variant", "variant", "sample_id", "y", r6("prediction")
     )
@@ -785,13 +798,14 @@ def e7(spark, sf):
 
 @query(
     "e8_train_probes",
-    """SELECT s.layer, s.train_variant, 1 AS sign, round(scale, 6) AS scale, round(length, 6) AS length
+    f"""SELECT s.layer, s.train_variant, CASE WHEN s.train_variant IN {_TURNED_SQL} THEN -1 ELSE 1 END
+  AS sign, round(scale, 6) AS scale, round(length, 6) AS length
 FROM scales s JOIN mm_len USING (layer, train_variant)""",
     "scales mm_len",
 )
 def e8(spark, sf):
     states = centred(spark, sf)
-    probes = calibrated_probes(states, mean_probes(states))
+    probes = calibrated_probes(states, turned(mean_probes(states)))
     return probes.select("layer", "train_variant", "sign", r6("scale"), r6("length"))
 
 
