@@ -308,8 +308,9 @@ def learn(
     kept = pairs.select(F.expr(f"cast(floor(pair / {size}) as int)").alias("a"), q)
     kept = kept.where(F.col("q") >= filter_.lowest).groupBy("a", "q").count().toPandas()
     mass, kinds = np.zeros(size), np.zeros(size)
-    np.add.at(mass, kept["a"].to_numpy(int), (kept["count"] * bigram_mean[kept["q"].to_numpy(int)]).to_numpy(float))
-    np.add.at(kinds, kept["a"].to_numpy(int), kept["count"].to_numpy(float))
+    first, many = kept["a"].to_numpy(int), kept["count"].to_numpy(float)
+    np.add.at(mass, first, many * bigram_mean[kept["q"].to_numpy(int)])
+    np.add.at(kinds, first, many)
     number = np.full(len(hashes), -1, np.int64)
     number[is_context] = np.arange(is_context.sum())
     context_total = np.maximum(np.concatenate([exact[is_context], np.ones(size - is_context.sum())]), mass)

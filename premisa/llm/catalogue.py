@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from premisa.llm import (
+    bloom_lm,
+    chaining,
+    fuzzy_lines,
+    packing,
+    repetition,
+    setsketch,
+    toxicity,
+    trie_counts,
+    wrapper,
+)
 from premisa.llm import decontaminate as dc
-from premisa.llm import bloom_lm, chaining, fuzzy_lines, packing, repetition, setsketch, toxicity, trie_counts, wrapper
 from premisa.llm.common import remainder, session, table
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -76,8 +76,9 @@ class Encoder:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         get = self.words.get
         found = [get(w) for w in words]
-        if None in found:
-            found = [f if f is not None else self.word(w) if w else b"" for f, w in zip(found, words, strict=True)]
+        for i in [i for i, f in enumerate(found) if f is None]:
+            again = get(words[i]) if words[i] else b""
+            found[i] = self.word(words[i]) if again is None else again
         return b"".join(found)
 
 

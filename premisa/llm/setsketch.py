@@ -320,8 +320,8 @@ def near_duplicates(
     registers; classes that agree in a whole band are candidates. A bucket's classes are first compared
     with its first one, and links joined to components. Then, in buckets that hold several components,
     those outside the largest are compared with all, block by block (see ``across``). So every candidate
-    pair is compared or connected already. Before shingle sets are compared, sizes and the joint likelihood of both
-    sketches must allow the similarity. A pair at the threshold shares a band with a chance of
+    pair is compared or connected already. Before shingle sets are compared, sizes and the joint
+    likelihood of both sketches must allow the similarity. A pair at the threshold shares a band with a chance of
     1 - (1 - 0.75^5)^36, all but 6 in 100,000, and closer pairs more surely.
 
     A NULL or empty text, or one without words, is linked with nothing and kept. Fewer than ``words``

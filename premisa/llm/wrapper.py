@@ -23,7 +23,9 @@ from premisa.llm.common import BROADCAST_BYTES, fresh, text_bytes, with_result
 from premisa.sources.staging import settle
 
 MARKUP = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)[\"']?[^>]*>|[!?][^>]*>)",
+    r"<(?:!--.*?(?:-->|\Z)"
+    r"|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)[\"']?[^>]*>"
+    r"|[!?][^>]*>)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -290,10 +292,10 @@ def masses(root: Node, left_out: set[int] | frozenset[int] = frozenset()) -> dic
     return found
 
 
-def dump(node: Node, number: dict[int, int], fixed: dict[int, str], slot: Node) -> list:
+def dump(node: Node, fixed: dict[int, str], slot: Node) -> list:
     return [
         node.tag, int(node.barred), fixed.get(id(node), ""), int(node is slot),
-        [dump(k, number, fixed, slot) for k in node.kids],
+        [dump(k, fixed, slot) for k in node.kids],
     ]
 
 
@@ -361,7 +363,7 @@ def induce(pages: list[str], constant: float = 0.9, evidence: int = 6) -> str:
     slot = article_slot(reference, mass)
     if len({visible(t) for t in trees}) < min(3, len(trees)):
         fixed = {}  # copies of one page tell nothing about what is fixed
-    return json.dumps(dump(reference, {}, fixed, slot), separators=(",", ":"))
+    return json.dumps(dump(reference, fixed, slot), separators=(",", ":"))
 
 
 def extract(html: str, wrapper: tuple[Node, Node, set[int]] | None) -> str:
