@@ -14,8 +14,6 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +21,10 @@ from pyspark.sql import types as T
 from premisa.functions.exprs import minus, order_key
 from premisa.operators.ranking import hash_rank
 from premisa.operators.vectors import class_covariance, gram, mean_difference, sides
-from premisa.sources.staging import attach, new_path, settle
+from premisa.sources.staging import attach, settle
 
 TASK_CELLS = 8_000_000  # numbers of one side that a task may hold: 64 MB
+CHUNK_CELLS = 65_536  # numbers of a sum that travel in one row
 WAVE_CELLS = 4_000_000  # parameters of large groups that are fitted at the same time
 
 Sums = dict[str, np.ndarray]
@@ -43,6 +42,10 @@ class Method:
     seeds: tuple[int, ...] = (0,)
     batch_size = -1
 
+    def cells(self, d: int) -> int:
+        """Numbers that a step sums up for vectors of width d."""
+        return 2 * d * len(self.seeds)
+
     def batches(self, n: int) -> int:
         """Batches per epoch; rows that do not fill the last one are dropped."""
         return 1 if self.batch_size < 0 else max(n // self.batch_size, 1)
@@ -86,8 +89,9 @@ class GradientMethod(Method):
         done = t >= state["steps"]
         return {**state, "w": w, "m": m, "v": v, "t": t, "loss": sums["loss"] / n, "done": done}
 
-    def result(self, state: dict[str, Any]) -> list[tuple[int, np.ndarray, float]]:
-        return [(s, state["w"][i], float(state["loss"][i])) for i, s in enumerate(self.seeds)]
+    def result(self, state: dict[str, Any]) -> list[tuple[int, np.ndarray, float, bool]]:
+        """A fixed number of steps is all there is to do."""
+        return [(s, state["w"][i], float(state["loss"][i]), True) for i, s in enumerate(self.seeds)]
 
 
 class LogisticDescent(GradientMethod):
@@ -166,6 +170,9 @@ class BalancedLogistic(Method):
     def __init__(self, balanced: bool = True, c: float = 1.0, steps: int = 100, tol: float = 1e-8):
         self.balanced, self.c, self.steps, self.tol = balanced, c, steps, tol
 
+    def cells(self, d):
+        return 2 * d * (d + 1)
+
     def start(self, d, anchor, n):
         return {"w": np.zeros((1, d)), "t": 0, "done": False}
 
@@ -197,12 +204,12 @@ class BalancedLogistic(Method):
         if "loss" in state and loss > state["loss"] + 1e-12 * abs(loss):  # overshoot: go half way
             return {**state, "w": (state["w"] + state["best"]) / 2, "t": state["t"] + 1,
                     "done": state["t"] >= self.steps}
-        done = np.abs(move).max() < self.tol or state["t"] >= self.steps
+        small = bool(np.abs(move).max() < self.tol)
         return {"w": (w - move)[None], "best": w[None], "loss": loss, "t": state["t"] + 1,
-                "done": bool(done)}
+                "done": small or state["t"] >= self.steps, "converged": small}
 
     def result(self, state):
-        return [(0, state["w"][0], float(state["loss"]))]
+        return [(0, state["w"][0], float(state["loss"]), state.get("converged", False))]
 
 
 class TwoClusters(Method):
@@ -248,10 +255,11 @@ class TwoClusters(Method):
             "loss": float(sums["fit"][0] / sums["n"].sum()),
             "t": state["t"] + 1,
             "done": bool(same or state["t"] + 1 >= self.rounds),
+            "converged": bool(same),
         }
 
     def result(self, state):
-        return [(0, state["theta"], state["loss"])]
+        return [(0, state["theta"], state["loss"], state["converged"])]
 
 
 # Extension point: a method is added by giving it a name here.
@@ -274,6 +282,7 @@ def _schema(pairs: DataFrame, keys: list[str]) -> T.StructType:
             T.StructField("seed", T.LongType()),
             T.StructField("direction", T.ArrayType(T.DoubleType())),
             T.StructField("train_loss", T.DoubleType()),
+            T.StructField("converged", T.BooleanType()),
         ]
     )
 
@@ -297,13 +306,17 @@ def _fit_in_tasks(pairs: DataFrame, keys: list[str], method) -> DataFrame:
         out["seed"] = [r[0] for r in rows]
         out["direction"] = [r[1] for r in rows]
         out["train_loss"] = [r[2] for r in rows]
+        out["converged"] = [r[3] for r in rows]
         return out
 
     return pairs.groupBy(*keys).applyInPandas(fit, _schema(pairs, keys))
 
 
 def _spread_totals(data: DataFrame, method, weights: dict[int, np.ndarray]) -> dict[int, Sums]:
-    """Sums of one iteration, added up by Spark over all partitions of all groups in the wave."""
+    """Sums of one iteration, added up by Spark over all partitions of all groups in the wave.
+
+    They travel as arrays of ``CHUNK_CELLS`` numbers, a row per task and chunk.
+    """
     shared = data.sparkSession.sparkContext.broadcast(weights)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,31 +333,34 @@ def _spread_totals(data: DataFrame, method, weights: dict[int, np.ndarray]) -> d
                     got = {k: sums[g][k] + v for k, v in got.items()}
                 sums[g] = got
         for g, entry in sums.items():
-            yield pd.DataFrame(
-                {"_g": g, "name": list(entry), "cells": [v.astype(float) for v in entry.values()]}
-            )
-
-    parts = data.mapInPandas(partial, "_g long, name string, cells array<double>")
-    cells = (
-        parts.select("_g", "name", F.posexplode("cells").alias("i", "x"))
-        .groupBy("_g", "name", "i")
-        .agg(F.sum("x").alias("x"))
-        .toPandas()
-    )
+            for name, cells in entry.items():
+                for at in range(0, len(cells), CHUNK_CELLS):
+                    part = cells[at : at + CHUNK_CELLS].astype(float)
+                    yield pd.DataFrame({"_g": [g], "name": [name], "at": [at], "cells": [part]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        out = group.head(1).copy()
+        out["cells"] = [np.sum(np.stack(group["cells"].to_list()), axis=0)]
+        return out
+
+    kind = "_g long, name string, at long, cells array<double>"
+    parts = data.mapInPandas(partial, kind)
+    cells = parts.groupBy("_g", "name", "at").applyInPandas(add, kind).toPandas()
     shared.unpersist()
     out: dict[int, Sums] = {}
     for (g, name), part in cells.groupby(["_g", "name"]):
-        out.setdefault(int(g), {})[name] = part.sort_values("i")["x"].to_numpy()
+        out.setdefault(int(g), {})[name] = np.concatenate(part.sort_values("at")["cells"].to_list())
     return out
 
 
 def _fit_spread(
-    pairs: DataFrame, large: list[dict[str, Any]], keys: list[str], method, width: int
+    pairs: DataFrame, large: list[dict[str, Any]], keys: list[str], method
 ) -> DataFrame:
     """Large groups in waves: their rows stay distributed, only per-iteration sums are collected."""
     spark = pairs.sparkSession
     schema = _schema(pairs, keys)
-    per_wave = max(1, WAVE_CELLS // max(2 * width * len(method.seeds), 1))
+    width = max(w["_d"] for w in large)
+    per_wave = max(1, WAVE_CELLS // max(method.cells(width), 1))
     fitted: list[DataFrame] = []
     for at in range(0, len(large), per_wave):
         wave = large[at : at + per_wave]
@@ -359,7 +375,7 @@ def _fit_spread(
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         first = rows.groupBy("_g").agg(F.min_by(minus("x1", "x0"), "_k").alias("anchor"))
         states = {
-            r["_g"]: method.start(width, np.array(r["anchor"]), wave[r["_g"]]["_n"])
+            r["_g"]: method.start(wave[r["_g"]]["_d"], np.array(r["anchor"]), wave[r["_g"]]["_n"])
             for r in first.collect()
         }
         while True:
@@ -377,9 +393,9 @@ def _fit_spread(
                 states[g] = method.step(states[g], sums)
         rows.unpersist()
         done = [
-            (*[wave[g][k] for k in keys], seed, [float(x) for x in w], loss)
+            (*[wave[g][k] for k in keys], seed, [float(x) for x in w], loss, converged)
             for g, s in states.items()
-            for seed, w, loss in method.result(s)
+            for seed, w, loss, converged in method.result(s)
         ]
         fitted.append(settle(spark.createDataFrame(done, schema), "fitted"))
     out = fitted[0]
@@ -388,49 +404,14 @@ def _fit_spread(
     return out
 
 
-def _fit_logistic_ml(
-    pairs: DataFrame, large: list[dict[str, Any]], keys: list[str], method: BalancedLogistic
-) -> DataFrame:
-    """Large groups of the balanced logistic fit: Spark ML's distributed L-BFGS, one per group.
-
-    The groups are stored apart, so each fit scans its own rows only.
-
-    Spark ML minimises the weighted mean loss + regParam·|w|²/2; regParam = 1 / (C · Σ weights)
-    makes that the same objective as in ``BalancedLogistic``.
-    """
-    spark = pairs.sparkSession
-    ids = spark.createDataFrame(
-        [(*[w[k] for k in keys], g) for g, w in enumerate(large)],
-        T.StructType([pairs.schema[k] for k in keys] + [T.StructField("_g", T.LongType())]),
-    )
-    path = new_path(spark, "large-groups")
-    stored = pairs.join(F.broadcast(ids), keys).select("_g", "y", minus("x0", "x1").alias("x"))
-    stored.write.partitionBy("_g").parquet(path)
-    done = []
-    for g, group in enumerate(large):
-        rows = spark.read.parquet(path).filter(F.col("_g") == g)
-        rows = rows.select("y", array_to_vector("x").alias("x"))
-        sizes = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
-        n = sum(sizes.values())
-        weight = F.lit(1.0)
-        if method.balanced:
-            for label, size in sizes.items():
-                weight = F.when(F.col("y") == label, n / (2 * size)).otherwise(weight)
-        model = LogisticRegression(
-            featuresCol="x", labelCol="y", weightCol="w", fitIntercept=False,
-            standardization=False, regParam=1.0 / (method.c * n), maxIter=method.steps,
-            tol=method.tol,
-        ).fit(rows.withColumn("w", weight))
-        loss = model.summary.objectiveHistory[-1] * n * method.c
-        direction = [float(x) for x in model.coefficients.toArray()]
-        done.append((*[group[k] for k in keys], 0, direction, float(loss)))
-    return settle(spark.createDataFrame(done, _schema(pairs, keys)), "fitted")
-
-
 def fit_pairs(
     pairs: DataFrame, keys: list[str], method, task_cells: int = TASK_CELLS
 ) -> DataFrame:
-    """``keys, seed, direction, train_loss`` for every group of ``(sample_id, y, x0, x1)`` rows."""
+    """``keys, seed, direction, train_loss, converged`` for every group of ``(sample_id, y, x0, x1)`` rows.
+
+    Both ways run the same steps, so a group's size decides nothing but where it is fitted.
+    ``converged`` tells whether a method with a stop rule met it before its last round.
+    """
     if method.supervised:
         pairs = pairs.filter("y is not null")
     rows = pairs.select(
@@ -445,10 +426,7 @@ def fit_pairs(
     if not large:
         return _fit_in_tasks(rows, keys, method)
     small = attach(rows, sizes.filter(~is_large).select(*keys), keys, ["_k"])
-    if isinstance(method, BalancedLogistic):
-        spread = _fit_logistic_ml(rows, large, keys, method)
-    else:
-        spread = _fit_spread(rows, large, keys, method, max(r["_d"] for r in large))
+    spread = _fit_spread(rows, large, keys, method)
     return _fit_in_tasks(small, keys, method).unionByName(spread)
 
 
@@ -498,13 +476,16 @@ def fit_ccs_linear(states: DataFrame, keys: list[str], priority: float = 5.0) ->
     schema = T.StructType(
         [pairs.schema[k] for k in keys]
         + [T.StructField("direction", T.ArrayType(T.DoubleType()))]
+        + [T.StructField("converged", T.BooleanType())]
     )
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
         h, v = consistency_form(np.stack(group["r0"].to_list()), np.stack(group["r1"].to_list()), priority)
         out = group[keys].head(1).copy()
-        out["direction"] = [_smallest_above_one(h) @ v.T]
+        z, converged = _smallest_above_one(h)
+        out["direction"] = [z @ v.T]
+        out["converged"] = [converged]
         return out
 
     return products.groupBy(*keys).applyInPandas(solve, schema)
@@ -528,8 +509,8 @@ def consistency_form(
     return c.T @ c, v
 
 
-def _smallest_above_one(h: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Coordinate descent for the least z·H·z with every z at least one."""
+def _smallest_above_one(h: np.ndarray, rounds: int = 2000) -> tuple[np.ndarray, bool]:
+    """Coordinate descent for the least z·H·z with every z at least one, and whether it settled."""
     z = np.ones(len(h))
     for _ in range(rounds):
         before = z.copy()
@@ -537,8 +518,8 @@ def _smallest_above_one(h: np.ndarray, rounds: int = 2000) -> np.ndarray:
             if h[i, i] > 0:
                 z[i] = max(1.0, z[i] - (h[i] @ z) / h[i, i])
         if np.abs(z - before).max() < 1e-12:
-            break
-    return z
+            return z, True
+    return z, False
 
 
 def select_best(probes: DataFrame, keys: list[str]) -> DataFrame:
@@ -558,6 +539,7 @@ def train(states: DataFrame, method: str, keys: list[str], **params) -> DataFram
         found = found.withColumn("seed", F.lit(0).cast("bigint")).withColumn(
             "train_loss", F.lit(None).cast("double")
         )
+        found = found.withColumn("converged", F.lit(True))
     elif method == "ccs_linear":
         found = fit_ccs_linear(states, keys, **params)
         found = found.withColumn("seed", F.lit(0).cast("bigint")).withColumn(

@@ -76,9 +76,25 @@ def test_spread_groups_give_the_same_fit(spark, method, params):
     spread = sorted(fit.fit(states, KEYS, method, task_cells=1, **params).collect(), key=key)
     assert [key(r) for r in inside] == [key(r) for r in spread]
     for a, b in zip(inside, spread):
-        tolerance = 1e-4 if method == "lr_sklearn" else 1e-9
-        np.testing.assert_allclose(a["direction"], b["direction"], rtol=tolerance, atol=tolerance)
-        np.testing.assert_allclose(a["train_loss"], b["train_loss"], rtol=1e-4)
+        np.testing.assert_allclose(a["direction"], b["direction"], rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(a["train_loss"], b["train_loss"], rtol=1e-9)
+        assert a["converged"] and b["converged"]
+
+
+@pytest.mark.parametrize("task_cells", [10**9, 1])
+def test_a_fit_that_stops_early_says_so(spark, task_cells):
+    states, _ = planted(spark, n=60)
+    rows = fit.fit(states, KEYS, "lr_sklearn", steps=1, task_cells=task_cells).collect()
+    assert rows and not any(r["converged"] for r in rows)
+
+
+def test_large_groups_of_different_width(spark):
+    wide, _ = planted(spark, n=40, groups=("wide",))
+    narrow, _ = planted(spark, n=40, groups=("narrow",))
+    narrow = narrow.withColumn("vec", F.slice("vec", 1, 2))
+    rows = fit.fit(wide.unionByName(narrow), KEYS, "lr_gd", epochs=3, task_cells=1).collect()
+    width = wide.select(F.size("vec")).first()[0]
+    assert {r["variant"]: len(r["direction"]) for r in rows} == {"wide": width, "narrow": 2}
 
 
 def test_mixed_sizes_use_both_modes(spark):
