@@ -278,3 +278,22 @@ def test_tree_matching_size():
     # root, ul, the first li and its text, and the li with the b and its text
     assert size == len(list(wrapper.aligned(a, b)))
     assert size == 7
+
+
+def test_single_seeds_reach_no_passage():
+    places = np.array([500, 3, 100, 112, 900, 905])
+    got = chaining.crowded(places, chaining.K + chaining.WINDOW - 2, chaining.LEAST_WORDS - chaining.K)
+    assert got.tolist() == [False, False, True, True, True, True]
+    assert not len(chaining.crowded(np.zeros(0, int), 20, 44))
+
+
+def test_every_long_run_is_crowded():
+    """A run of fifty equal words has seeds far enough apart, whatever lies around it."""
+    r = random.Random(6)
+    known = WordHash()
+    for _ in range(300):
+        words = [f"c{r.randrange(10**6)}".encode() for _ in range(r.randrange(50, 70))]
+        at, _ = chaining.seeds_of(
+            chaining.word_hashes(words, known), chaining.K, chaining.WINDOW
+        )
+        assert chaining.crowded(at, chaining.K + chaining.WINDOW - 2, 50 - chaining.K).all()
