@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +49,10 @@ def bigram_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(mixed(first * STEP + np.uint64(7)) + second)
 
 
+def context_key(words: np.ndarray) -> np.ndarray:
+    return mixed(words * STEP + np.uint64(13))
+
+
 def salt(turn: int) -> np.uint64:
     return np.uint64(turn * int(STEP) % (1 << 64))
 
@@ -102,11 +106,12 @@ class Model:
     unseen: float
     hot: np.ndarray  # hashes of words with at least total / HOT tokens, sorted
     hot_counts: np.ndarray
-    contexts: np.ndarray  # numbers of the hot words that are contexts, or -1
+    contexts: np.ndarray  # numbers of the hot words that are exact contexts, or -1
     context_total: np.ndarray
     context_rest: np.ndarray
     unigram_mean: np.ndarray  # mean count of each level
     bigram_mean: np.ndarray
+    kinds_mean: np.ndarray  # mean number of different words after a context, of each level
     filter: Filter
 
 
@@ -154,20 +159,24 @@ def lookup(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == values, at, -1)
 
 
-def count_pairs(docs: DataFrame, text: str, contexts: np.ndarray) -> DataFrame:
-    """Counts of neighbouring words that are both contexts, as numbers ``a * size + b``."""
-    sent = docs.sparkSession.sparkContext.broadcast(contexts)
-    size = max(1, len(contexts))
+def count_pairs(docs: DataFrame, text: str) -> DataFrame:
+    """Counts of all neighbouring words: hash of the first, key of both, count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        words, numbers = Words(), np.zeros(0, np.int64)
+        words, hashes = Words(), np.zeros(0, np.uint64)
         waiting, held = [], 0
 
         def rows() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            codes, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            first = hashes[codes >> 32]
+            keys = bigram_key(first, hashes[codes & 0xFFFFFFFF])
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(counts.astype(np.int64))], ["pair", "c"]
+                [
+                    pa.array(first.view(np.int64)),
+                    pa.array(keys.view(np.int64)),
+                    pa.array(counts.astype(np.int64)),
+                ],
+                ["a", "key", "c"],
             )
 
         for batch in batches:
@@ -176,25 +185,20 @@ def count_pairs(docs: DataFrame, text: str, contexts: np.ndarray) -> DataFrame:
                 stream += tokens(t)
             ids = np.fromiter(map(words.__getitem__, stream), np.int64, len(stream))
             if words.new:
-                numbers = np.concatenate(
-                    [numbers, lookup(own, np.array(words.new, np.uint64))]
-                )
+                hashes = np.concatenate([hashes, np.array(words.new, np.uint64)])
                 words.new = []
-            at = numbers[ids]
-            both = (at[:-1] >= 0) & (at[1:] >= 0)
-            waiting.append(at[:-1][both] * size + at[1:][both])
-            held += int(both.sum())
-            if held > FLUSH_PAIRS:
+            waiting.append((ids[:-1] << 32) | ids[1:])
+            held += len(ids) - 1
+            if held > FLUSH_PAIRS or len(words) > FLUSH_WORDS:
                 yield rows()
                 waiting, held = [], 0
             if len(words) > FLUSH_WORDS:
-                words, numbers = Words(), np.zeros(0, np.int64)
+                words, hashes = Words(), np.zeros(0, np.uint64)
         if waiting:
             yield rows()
 
-    partial = docs.select(text).mapInArrow(run, "pair bigint, c bigint")
-    pairs = partial.groupBy("pair").agg(F.sum("c").alias("c")).where("c > 1")
-    return settle(pairs, "pair-counts")
+    partial = docs.select(text).mapInArrow(run, "a bigint, key bigint, c bigint")
+    return settle(partial.groupBy("a", "key").agg(F.sum("c").alias("c")), "pair-counts")
 
 
 def level_column() -> Column:
@@ -259,8 +263,9 @@ def learn(
     """Count the training texts and build the model; also the table of word counts, ``h`` and ``c``.
 
     Words that make up a ``hot``-th of all tokens are at most ``hot`` many, so their exact counts can
-    be sent to the tasks; in the same way bigrams are counted between at most ``contexts`` words,
-    and kept from a count of two. All quantised counts are in the filter of ``max_bits`` at most.
+    be sent to the tasks; in the same way what follows ``contexts`` words at most is sent. All words
+    are contexts: the filter of ``max_bits`` at most holds the quantised counts of all words and all
+    neighbouring words, and how many different words follow each word.
     """
     chosen = docs.where(F.coalesce(training, F.lit(False)))
     counts = count_words(chosen, text)
@@ -272,56 +277,70 @@ def learn(
     order = np.argsort(hashes)
     hashes, exact = hashes[order], frequent.column("c").to_numpy()[order]
     is_context = exact * contexts >= total
-    context_hashes = hashes[is_context]
-    size = max(1, len(context_hashes))
-    pairs = count_pairs(chosen, text, context_hashes)
-
-    sent = docs.sparkSession.sparkContext.broadcast(context_hashes)
-
-    def unigram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = unigram_key(b.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], ["key", "q"])
-
-    def bigram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pair = b.column(0).to_numpy()
-            if len(pair):
-                keys = bigram_key(sent.value[pair // size], sent.value[pair % size])
+    size = max(1, int(is_context.sum()))
+    pairs = count_pairs(chosen, text)
+    kinds = settle(pairs.groupBy("a").agg(F.count("*").alias("c")), "context-kinds")
+
+    def keyed(key: Callable[[np.ndarray], np.ndarray]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = key(b.column(0).to_numpy().view(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), b.column(1)], ["key", "q"]
                 )
 
-    entries = counts.select("h", level_column().alias("q")).mapInArrow(unigram_keys, "key bigint, q int")
-    entries = entries.union(
-        pairs.select("pair", level_column().alias("q")).mapInArrow(bigram_keys, "key bigint, q int")
-    )
+        return run
+
+    q = level_column().alias("q")
+    entries = counts.select("h", q).mapInArrow(keyed(unigram_key), "key bigint, q int")
+    entries = entries.union(pairs.select("key", q))
+    # a context that is not in the filter is followed by one kind of word
+    several = kinds.where("c > 1").select("a", q)
+    entries = entries.union(several.mapInArrow(keyed(context_key), "key bigint, q int"))
     filter_ = build_filter(entries, max_bits)
-    unigram_mean, bigram_mean = mean_counts(counts), mean_counts(pairs)
+    unigram_mean, bigram_mean, kinds_mean = map(mean_counts, (counts, pairs, kinds))
     dropped = 0
     if filter_.lowest > 1:
         rare = counts.where(level_column() < filter_.lowest)
         dropped = rare.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
-    # of each context: what its bigrams count together as quantised, and how many there are
-    q = level_column().alias("q")
-    kept = pairs.select(F.expr(f"cast(floor(pair / {size}) as int)").alias("a"), q)
-    kept = kept.where(F.col("q") >= filter_.lowest).groupBy("a", "q").count().toPandas()
-    mass, kinds = np.zeros(size), np.zeros(size)
-    first, many = kept["a"].to_numpy(int), kept["count"].to_numpy(float)
-    np.add.at(mass, first, many * bigram_mean[kept["q"].to_numpy(int)])
-    np.add.at(kinds, first, many)
+    # of each exact context: what its bigrams count together as quantised, and how many there are
+    sent = F.broadcast(counts.where(F.col("c") * contexts >= total).select(F.col("h").alias("a")))
+    kept = pairs.join(sent, "a", "left_semi").select("a", q)
+    kept = kept.where(F.col("q") >= filter_.lowest).groupBy("a", "q").count().toArrow()
+    mass, many = np.zeros(size), np.zeros(size)
+    first = lookup(hashes[is_context], kept.column("a").to_numpy().view(np.uint64))
+    n = kept.column("count").to_numpy().astype(float)
+    np.add.at(mass, first, n * bigram_mean[kept.column("q").to_numpy()])
+    np.add.at(many, first, n)
     number = np.full(len(hashes), -1, np.int64)
     number[is_context] = np.arange(is_context.sum())
     context_total = np.maximum(np.concatenate([exact[is_context], np.ones(size - is_context.sum())]), mass)
-    rest = 1 - (mass - DISCOUNT * kinds) / context_total
+    rest = 1 - (mass - DISCOUNT * many) / context_total
     unseen = (single + dropped + 1) / (total + 2)
     model = Model(
-        total, types, unseen, hashes, exact, number, context_total, rest, unigram_mean, bigram_mean, filter_
-    )
+        total, types, unseen, hashes, exact, number, context_total, rest,
+        unigram_mean, bigram_mean, kinds_mean, filter_,
+    )
     return model, counts
 
 
+def word_figures(m: Model, words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of words by hash: probability as a unigram, count as a context, and the share left to unigrams.
+
+    Words that are no exact context take both from quantised counts; a word not seen leaves all.
+    """
+    q = probe(m.filter, unigram_key(words))
+    uni = np.where(q > 0, (1 - m.unseen) * m.unigram_mean[q] / max(1, m.total), m.unseen)
+    total = np.where(q > 0, np.maximum(m.unigram_mean[q], 1.0), 1.0)
+    kinds = np.maximum(m.kinds_mean[probe(m.filter, context_key(words))], 1.0)
+    rest = np.where(q > 0, np.minimum(DISCOUNT * kinds / total, 1.0), 1.0)
+    number = np.where(places >= 0, m.contexts[places] if len(m.contexts) else -1, -1)
+    known = number >= 0
+    total[known], rest[known] = m.context_total[number[known]], m.context_rest[number[known]]
+    return np.stack([uni, total, rest, q > 0])
+
+
 def score(
     docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -343,13 +362,11 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         row = TaskContext.get().partitionId() << 40
-        size = len(m.context_total)
-        context_words = m.hot[m.contexts >= 0]
 
         def empty() -> tuple:
-            return Words(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+            return Words(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((4, 0))
 
-        words, hashes, places, uni = empty()
+        words, hashes, places, figures = empty()
         for batch in batches:
             stream, ends = [END], []
             for t in batch.column(1).to_pylist():
@@ -361,23 +378,19 @@ def score(
             if words.new:
                 new = np.array(words.new, np.uint64)
                 words.new = []
-                q = probe(m.filter, unigram_key(new))
-                p = np.where(q > 0, (1 - m.unseen) * m.unigram_mean[q] / max(1, m.total), m.unseen)
+                at = lookup(m.hot, new)
                 hashes = np.concatenate([hashes, new])
-                places = np.concatenate([places, lookup(m.hot, new)])
-                uni = np.concatenate([uni, p])
+                places = np.concatenate([places, at])
+                figures = np.concatenate([figures, word_figures(m, new, at)], axis=1)
             at = places[ids]
-            context = np.where(at >= 0, m.contexts[at] if len(m.contexts) else -1, -1)
-            p = uni[ids[1:]]
-            before, after = context[:-1], context[1:]
-            held = before >= 0
-            p[held] *= m.context_rest[before[held]]
-            both = np.flatnonzero(held & (after >= 0))
-            if len(both):
-                unique, back = np.unique(before[both] * size + after[both], return_inverse=True)
-                q = probe(m.filter, bigram_key(context_words[unique // size], context_words[unique % size]))
-                gain = np.where(q > 1, np.maximum(m.bigram_mean[q] - DISCOUNT, 0), 0.0)[back]
-                p[both] += gain / m.context_total[before[both]]
+            codes, back = np.unique((ids[:-1] << 32) | ids[1:], return_inverse=True)
+            before, after = codes >> 32, codes & 0xFFFFFFFF
+            uni, (_, whole, rest, seen) = figures[0][after], figures[:, before]
+            p = uni * rest
+            both = np.flatnonzero((seen > 0) & (figures[3][after] > 0))
+            q = probe(m.filter, bigram_key(hashes[before[both]], hashes[after[both]]))
+            p[both] += np.where(q > 0, np.maximum(m.bigram_mean[q] - DISCOUNT, 0), 0.0) / whole[both]
+            p = p[back]
             ends_ = np.array(ends)
             starts = np.concatenate([[0], ends_[:-1]])
             logs = np.add.reduceat(np.log10(np.clip(p, 1e-300, 1.0)), starts)
@@ -417,7 +430,7 @@ def score(
             )
             row += len(n)
             if len(words) > FLUSH_WORDS:
-                words, hashes, places, uni = empty()
+                words, hashes, places, figures = empty()
 
     schema = (
         f"_row bigint, doc_id {kind}, n_tokens bigint, n_hot bigint, base double, score double, "

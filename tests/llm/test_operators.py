@@ -413,3 +413,19 @@ def test_pipeline_takes_effect(spark, sf):
     text = " ".join(r.text for r in frames[2].collect())
     assert len(text) < sum(len(r.text) for r in frames[1].collect())
     assert ids[-1] == ids[-2]
+
+
+def test_lm_keeps_every_pair_of_words(spark):
+    """Pairs of rare words, also those met once, raise the score; so do rare contexts beyond `contexts`."""
+    texts = [f"left{i} right{i}" for i in range(300)] + [f"twice{i} after{i}" for i in range(100)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lm, counts = bloom_lm.learn(docs, F.lit(True), contexts=2)
+    ask = [x for i in range(100) for x in (texts[i], f"left{i} right{i + 1}", texts[300 + i], f"twice{i} after{(i + 1) % 100}")]
+    asked = spark.createDataFrame(list(enumerate(ask)), "doc_id bigint, text string")
+    got = {x.doc_id: x.score for x in bloom_lm.score(asked, lm, counts).collect()}
+    gains = [got[i] - got[i + 1] for i in range(0, 400, 2)]
+    assert sum(x > 1 for x in gains) >= 190
+    # a count of one, discounted, and what is left to the unigram
+    keys = np.array([bloom_lm.xxhash.xxh3_64_intdigest(w) for w in (b"left7", b"right7")], np.uint64)
+    uni, total, rest, _ = bloom_lm.word_figures(lm, keys, bloom_lm.lookup(lm.hot, keys))
+    assert total[0] == 1 and rest[0] == 0.75 and lm.bigram_mean[1] == 1
