@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -113,6 +113,7 @@ class Model:
     bigram_mean: np.ndarray
     kinds_mean: np.ndarray  # mean number of different words after a context, of each level
     filter: Filter
+    below: tuple[DataFrame, DataFrame] | None  # words and pairs below the filter's lowest level
 
 
 class Words(dict):
@@ -201,16 +202,16 @@ def count_pairs(docs: DataFrame, text: str) -> DataFrame:
     return settle(partial.groupBy("a", "key").agg(F.sum("c").alias("c")), "pair-counts")
 
 
-def level_column() -> Column:
-    return (F.floor(F.log2("c") + 1e-12) + 1).cast("int")
+def level_column(count: str = "c") -> Column:
+    return (F.floor(F.log2(count) + 1e-12) + 1).cast("int")
 
 
 def build_filter(entries: DataFrame, max_bits: int) -> Filter:
     """The filter of rows ``key`` (a hash) and ``q`` (the level of its count).
 
     A key is set at each level from the lowest kept one up to its own. The filter takes
-    ``BITS_PER_KEY`` bits for each, up to ``max_bits``; if all do not fit, the lowest levels are left
-    out, that is, the rarest n-grams. Its segments are filled side by side.
+    ``BITS_PER_KEY`` bits for each, up to ``max_bits``; if all do not fit, it starts at a higher level,
+    and the n-grams below are joined (``settled``). Its segments are filled side by side.
     """
     histogram = {r["q"]: r["k"] for r in entries.groupBy("q").agg(F.count("*").alias("k")).collect()}
     lowest = 1
@@ -265,7 +266,8 @@ def learn(
     Words that make up a ``hot``-th of all tokens are at most ``hot`` many, so their exact counts can
     be sent to the tasks; in the same way what follows ``contexts`` words at most is sent. All words
     are contexts: the filter of ``max_bits`` at most holds the quantised counts of all words and all
-    neighbouring words, and how many different words follow each word.
+    neighbouring words, and how many different words follow each word. What is too rare for the filter
+    stays in distributed tables with the same quantised counts, so the bound moves no score.
     """
     chosen = docs.where(F.coalesce(training, F.lit(False)))
     counts = count_words(chosen, text)
@@ -299,15 +301,17 @@ def learn(
     entries = entries.union(several.mapInArrow(keyed(context_key), "key bigint, q int"))
     filter_ = build_filter(entries, max_bits)
     unigram_mean, bigram_mean, kinds_mean = map(mean_counts, (counts, pairs, kinds))
-    dropped = 0
+    below = None
     if filter_.lowest > 1:
-        rare = counts.where(level_column() < filter_.lowest)
-        dropped = rare.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        few = 1 << (filter_.lowest - 1)
+        figures = counts.join(kinds.select(F.col("a").alias("h"), F.col("c").alias("k")), "h", "left")
+        rare = figures.where((F.col("c") < few) | (F.coalesce("k", F.lit(1)) < few))
+        below = rare, pairs.where(F.col("c") < few).select("key", "c")
 
     # of each exact context: what its bigrams count together as quantised, and how many there are
     sent = F.broadcast(counts.where(F.col("c") * contexts >= total).select(F.col("h").alias("a")))
     kept = pairs.join(sent, "a", "left_semi").select("a", q)
-    kept = kept.where(F.col("q") >= filter_.lowest).groupBy("a", "q").count().toArrow()
+    kept = kept.groupBy("a", "q").count().toArrow()
     mass, many = np.zeros(size), np.zeros(size)
     first = lookup(hashes[is_context], kept.column("a").to_numpy().view(np.uint64))
     n = kept.column("count").to_numpy().astype(float)
@@ -317,10 +321,10 @@ def learn(
     number[is_context] = np.arange(is_context.sum())
     context_total = np.maximum(np.concatenate([exact[is_context], np.ones(size - is_context.sum())]), mass)
     rest = 1 - (mass - DISCOUNT * many) / context_total
-    unseen = (single + dropped + 1) / (total + 2)
+    unseen = (single + 1) / (total + 2)
     model = Model(
         total, types, unseen, hashes, exact, number, context_total, rest,
-        unigram_mean, bigram_mean, kinds_mean, filter_,
+        unigram_mean, bigram_mean, kinds_mean, filter_, below,
     )
     return model, counts
 
@@ -328,17 +332,51 @@ def learn(
 def word_figures(m: Model, words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Of words by hash: probability as a unigram, count as a context, and the share left to unigrams.
 
-    Words that are no exact context take both from quantised counts; a word not seen leaves all.
+    Words that are no exact context take both from quantised counts; a word not seen leaves all. The
+    last two rows tell which words the filter has, and which are contexts with figures known for sure.
     """
     q = probe(m.filter, unigram_key(words))
     uni = np.where(q > 0, (1 - m.unseen) * m.unigram_mean[q] / max(1, m.total), m.unseen)
     total = np.where(q > 0, np.maximum(m.unigram_mean[q], 1.0), 1.0)
-    kinds = np.maximum(m.kinds_mean[probe(m.filter, context_key(words))], 1.0)
-    rest = np.where(q > 0, np.minimum(DISCOUNT * kinds / total, 1.0), 1.0)
+    k = probe(m.filter, context_key(words))
+    rest = np.where(q > 0, np.minimum(DISCOUNT * np.maximum(m.kinds_mean[k], 1.0) / total, 1.0), 1.0)
     number = np.where(places >= 0, m.contexts[places] if len(m.contexts) else -1, -1)
     known = number >= 0
     total[known], rest[known] = m.context_total[number[known]], m.context_rest[number[known]]
-    return np.stack([uni, total, rest, q > 0])
+    # a context with fewer kinds than the lowest level has one kind if that level starts at two
+    sure = known | ((q > 0) & ((k > 0) | (m.filter.lowest <= 2)))
+    return np.stack([uni, total, rest, q > 0, sure])
+
+
+def settled(scored: DataFrame, m: Model) -> DataFrame:
+    """The log10 probabilities, summed by ``_row``, of the places that the filter leaves open.
+
+    Rare words and pairs are joined by hash, each place where it needs it; a place with both words
+    known is moved once.
+    """
+    words, pairs = m.below
+
+    def mean(means: np.ndarray, count: str) -> Column:
+        return F.get(F.array(*map(F.lit, means.tolist())), F.coalesce(level_column(count), F.lit(0)))
+
+    def found(rows: DataFrame, key: str, table: DataFrame, **new: Column) -> DataFrame:
+        ready = rows.where(F.col(key).isNull())
+        joined = rows.where(F.col(key).isNotNull()).join(table.withColumnRenamed(table.columns[0], key), key, "left")
+        return joined.withColumns(new).select(*rows.columns).union(ready.select(*rows.columns))
+
+    rows = scored.select("_row", F.inline("open"))
+    seen = F.col("c").isNotNull()
+    uni = F.lit(float((1 - m.unseen) / max(1, m.total))) * mean(m.unigram_mean, "c")
+    rows = found(rows, "v", words, uni=F.when(seen, uni).otherwise(float(m.unseen)))
+    whole = F.when(seen, F.greatest(mean(m.unigram_mean, "c"), F.lit(1.0))).otherwise(1.0)
+    kinds = F.greatest(mean(m.kinds_mean, "k"), F.lit(1.0))
+    rest = F.when(seen, F.least(DISCOUNT * kinds / whole, F.lit(1.0))).otherwise(1.0)
+    rows = found(rows, "u", words, whole=whole, rest=rest)
+    rows = rows.select("_row", "key", "gain", (F.col("uni") * F.col("rest")).alias("back"), "whole")
+    rows = found(rows, "key", pairs, gain=F.greatest(mean(m.bigram_mean, "c") - DISCOUNT, F.lit(0.0)))
+    p = F.col("back") + F.col("gain") / F.col("whole")
+    p = F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300))
+    return rows.groupBy("_row").agg(F.sum(F.log10(p)).alias("_open"))
 
 
 def score(
@@ -355,16 +393,22 @@ def score(
     A NULL or empty text is its end alone. Repeated rows are scored each, a NULL id stays NULL.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, below=None))
     unit = np.log10(model.total + model.types + 1)
     pairs = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
+    open_type = pa.list_(
+        pa.struct(
+            [(c, pa.int64()) for c in ("key", "u", "v")]
+            + [(c, pa.float64()) for c in ("gain", "uni", "whole", "rest")]
+        )
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         row = TaskContext.get().partitionId() << 40
 
         def empty() -> tuple:
-            return Words(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((4, 0))
+            return Words(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((5, 0))
 
         words, hashes, places, figures = empty()
         for batch in batches:
@@ -385,11 +429,30 @@ def score(
             at = places[ids]
             codes, back = np.unique((ids[:-1] << 32) | ids[1:], return_inverse=True)
             before, after = codes >> 32, codes & 0xFFFFFFFF
-            uni, (_, whole, rest, seen) = figures[0][after], figures[:, before]
+            uni, (_, whole, rest, seen, sure) = figures[0][after], figures[:, before]
             p = uni * rest
             both = np.flatnonzero((seen > 0) & (figures[3][after] > 0))
             q = probe(m.filter, bigram_key(hashes[before[both]], hashes[after[both]]))
-            p[both] += np.where(q > 0, np.maximum(m.bigram_mean[q] - DISCOUNT, 0), 0.0) / whole[both]
+            gain = np.zeros(len(codes))
+            gain[both] = np.where(q > 0, np.maximum(m.bigram_mean[q] - DISCOUNT, 0), 0.0)
+            p += gain / whole
+            if m.filter.lowest > 1:
+                hit = np.zeros(len(codes), bool)
+                hit[both] = q > 0
+                v_open, u_open = figures[3][after] == 0, sure == 0
+                left = v_open | u_open | ~hit
+                p[left] = 1.0  # left to the joins
+                at_open = np.flatnonzero(left[back])
+                which = back[at_open]
+                first, second = hashes[before[which]], hashes[after[which]]
+                columns = [
+                    pa.array(bigram_key(first, second).view(np.int64), mask=hit[which]),
+                    pa.array(first.view(np.int64), mask=~u_open[which]),
+                    pa.array(second.view(np.int64), mask=~v_open[which]),
+                    *(pa.array(x[which]) for x in (gain, uni, whole, rest)),
+                ]
+            else:
+                at_open, columns = np.zeros(0, np.int64), [pa.array([], f.type) for f in open_type.value_type]
             p = p[back]
             ends_ = np.array(ends)
             starts = np.concatenate([[0], ends_[:-1]])
@@ -400,6 +463,11 @@ def score(
             base = np.add.reduceat(np.where(hot, np.log10(exact + 1.0) - unit, 0.0), starts)
             n_hot = np.add.reduceat(hot.astype(np.int64), starts)
             n = ends_ - starts
+            offsets = np.searchsorted(np.searchsorted(ends_, at_open + 1), np.arange(len(n) + 1))
+            open_ = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()),
+                pa.StructArray.from_arrays(columns, [f.name for f in open_type.value_type]),
+            ).cast(open_type)
             rest = np.flatnonzero(~hot)
             doc = np.searchsorted(ends_, rest + 1)
             h = hashes[ids[1:][rest]]
@@ -425,8 +493,9 @@ def score(
                     pa.array(base),
                     pa.array(logs),
                     tail,
+                    open_,
                 ],
-                ["_row", "doc_id", "n_tokens", "n_hot", "base", "score", "tail"],
+                ["_row", "doc_id", "n_tokens", "n_hot", "base", "score", "tail", "open"],
             )
             row += len(n)
             if len(words) > FLUSH_WORDS:
@@ -434,7 +503,8 @@ def score(
 
     schema = (
         f"_row bigint, doc_id {kind}, n_tokens bigint, n_hot bigint, base double, score double, "
-        "tail array<struct<h:bigint,n:int>>"
+        "tail array<struct<h:bigint,n:int>>, open array<struct<key:bigint,u:bigint,v:bigint,gain:double,"
+        "uni:double,whole:double,rest:double>>"
     )
     scored = settle(docs.select(doc_id, text).mapInArrow(run, schema), "scored")
     tails = scored.select("_row", F.inline("tail")).join(counts, "h")
@@ -442,7 +512,11 @@ def score(
         F.sum("n").alias("_known"),
         F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - float(unit))).alias("_sum"),
     )
-    rest = scored.drop("tail").join(tails, "_row", "left")
+    rest = scored.drop("tail", "open").join(tails, "_row", "left")
+    total = F.col("score")
+    if model.below is not None:
+        rest = rest.join(settled(scored, model), "_row", "left")
+        total = total + F.coalesce("_open", F.lit(0.0))
     known = F.col("n_hot") + F.coalesce("_known", F.lit(0))
     return rest.select(
         "doc_id",
@@ -451,5 +525,5 @@ def score(
         (
             F.col("base") + F.coalesce("_sum", F.lit(0.0)) - (F.col("n_tokens") - known) * float(unit)
         ).alias("base_score"),
-        "score",
+        total.alias("score"),
     )

@@ -427,5 +427,22 @@ def test_lm_keeps_every_pair_of_words(spark):
     assert sum(x > 1 for x in gains) >= 190
     # a count of one, discounted, and what is left to the unigram
     keys = np.array([bloom_lm.xxhash.xxh3_64_intdigest(w) for w in (b"left7", b"right7")], np.uint64)
-    uni, total, rest, _ = bloom_lm.word_figures(lm, keys, bloom_lm.lookup(lm.hot, keys))
+    _, total, rest, *_ = bloom_lm.word_figures(lm, keys, bloom_lm.lookup(lm.hot, keys))
     assert total[0] == 1 and rest[0] == 0.75 and lm.bigram_mean[1] == 1
+
+
+def test_lm_score_does_not_depend_on_the_filter_bound(spark):
+    """What does not fit the filter is joined, so rare words and pairs count as they do within it."""
+    r = random.Random(21)
+    texts = [" ".join(f"v{int(r.paretovariate(0.5))}" for _ in range(r.randrange(1, 60))) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate([*texts, None, ""])], "doc_id bigint, text string")
+    scores, lowest = [], []
+    for bits in (1 << 28, 1 << 15, 1 << 12):
+        lm, counts = bloom_lm.learn(docs, remainder("doc_id", 7) != 2, contexts=50, max_bits=bits)
+        lowest.append(lm.filter.lowest)
+        scores.append({x.doc_id: x.score for x in bloom_lm.score(docs, lm, counts).collect()})
+    assert lowest[0] == 1 and 1 < lowest[1] < lowest[2] and lowest[2] > 2
+    for other in scores[1:]:
+        # a probe errs now and then, which moves a score a little
+        assert np.mean([abs(other[i] - x) < 1e-9 for i, x in scores[0].items()]) > 0.8
+        assert max(abs(other[i] - x) / max(1, abs(x)) for i, x in scores[0].items()) < 0.05
