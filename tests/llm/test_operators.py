@@ -446,3 +446,20 @@ def test_lm_score_does_not_depend_on_the_filter_bound(spark):
         # a probe errs now and then, which moves a score a little
         assert np.mean([abs(other[i] - x) < 1e-9 for i, x in scores[0].items()]) > 0.8
         assert max(abs(other[i] - x) / max(1, abs(x)) for i, x in scores[0].items()) < 0.05
+
+
+@pytest.mark.parametrize("step", [8, 9, 10, 11, 12])
+def test_passages_with_regular_edits(spark, step):
+    """Copies of 60 words with every 8th to 12th word replaced: brute force is that each is a passage."""
+    r = random.Random(100 + step)
+    rows = []
+    for i in range(60):
+        passage = [f"p{i}_{j}" for j in range(60)]
+        copy = [f"e{r.random()}" if j % step == step - 1 else w for j, w in enumerate(passage)]
+        for side, body in enumerate((passage, copy)):
+            around = [[f"u{side}_{i}_{r.random()}" for _ in range(r.randrange(30))] for _ in range(2)]
+            rows.append((2 * i + side, " ".join(around[0] + body + around[1])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = chaining.repeated_passages(docs).collect()
+    assert all(x.other_id == x.doc_id - 1 and x.doc_id % 2 for x in got)
+    assert len({x.doc_id for x in got}) >= 58
