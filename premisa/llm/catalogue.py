@@ -196,7 +196,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    marked = fuzzy_lines.dedupe_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    marked = fuzzy_lines.dedupe_lines(docs, width=fuzzy_lines.SHORT, every=True)
     return marked.select(
         "doc_id",
         "lines.n_lines",

@@ -463,3 +463,25 @@ def test_passages_with_regular_edits(spark, step):
     got = chaining.repeated_passages(docs).collect()
     assert all(x.other_id == x.doc_id - 1 and x.doc_id % 2 for x in got)
     assert len({x.doc_id for x in got}) >= 58
+
+
+def test_near_lines_with_one_letter_changed(spark, tmp_path):
+    """Short lines with one letter changed, against brute force on all 5-character shingles."""
+    r = random.Random(31)
+    rows = []
+    for n in (6, 8, 10, 15):
+        for i in range(40):
+            line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(n))
+            at = r.choice([j for j, c in enumerate(line) if c != " "])
+            rows += [line, line[:at] + "z" + line[at + 1 :]]
+    # on either side of one blank in twelve characters
+    rows += ["aaaabbbbccccdddd eeeeffff gggg", "aaaabbbbccccddddxxeeeeffff gggg", "日本語の長い行です" * 5, "日本語の長い行です" * 5 + "ね"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    found = QUERIES["op7_line_dedup"](spark, folder).collect()
+    got = {x.doc_id: [int(n) for n in x.dropped.split(",") if n] for x in found}
+    sets = {i: {t[j : j + 5] for j in range(max(1, len(t) - 4))} for i, t in enumerate(rows)}
+    want = jaccard_components(sets, 75)
+    linked = [i for i in range(1, 320, 2) if want[i] == i - 1]
+    assert len(linked) > 130 and got == {i: [] if want[i] == i else [0] for i in want}
