@@ -18,10 +18,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """All letters lowered, sigma in one form, as the final one depends on what follows the word."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def folded_words(text: Column) -> Column:
     """As ``words``, but all letters are lowered, which is faster. The bounds are the same, and
-    equal words stay equal, so it can only add candidates."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    equal words stay equal, so against words that are ``folded`` too it can only add candidates."""
+    return F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def grams(tokens: Column, k: int) -> Column:
@@ -67,7 +72,8 @@ def winnowed(tokens: Column, span: int, k: int) -> Column:
 def _hints(docs: DataFrame, items: DataFrame, span: int, gram: int, limit: int) -> DataFrame:
     """Where items may occur in documents: id, item and the place of the item's first word."""
     k = max(1, min(gram, (span + 1) // 2))
-    all_grams = F.transform(grams(F.col("_words"), k), lambda x: F.shiftright(x, 4))
+    item_words = F.transform(F.col("_words"), folded)
+    all_grams = F.transform(let(item_words, lambda w: grams(w, k)), lambda x: F.shiftright(x, 4))
     known = items.select("_item", F.posexplode(all_grams).alias("q", "f"))
     known = settle(known, "benchmark-grams")
     kept = let(folded_words(F.col("_text")), lambda w: winnowed(w, span, k))

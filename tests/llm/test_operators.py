@@ -485,3 +485,17 @@ def test_near_lines_with_one_letter_changed(spark, tmp_path):
     want = jaccard_components(sets, 75)
     linked = [i for i in range(1, 320, 2) if want[i] == i - 1]
     assert len(linked) > 130 and got == {i: [] if want[i] == i else [0] for i in want}
+
+
+def test_shared_windows_with_capitals_beyond_ascii(spark):
+    """A quote of one window and a short item, all of whose words hold capitals beyond A-Z."""
+    r = random.Random(41)
+    quote = " ".join(f"É{r.choice('ÑÜЖΩ')}x{i}" for i in range(13))
+    short = "École ПРИВЕТ ΟΔΟΣ"
+    bench = spark.createDataFrame([(1, quote), (2, short)], "item_id bigint, text string")
+    rows = [(1, f"before {quote} after"), (2, f"so {short}.Β end"), (3, quote.lower()), (4, short.lower())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: x.shared for x in decontaminate.decontaminate(docs, bench).collect()}
+    # only A-Z is compared without regard to case
+    assert {i: [x.item_id for x in got[i]["items"]] for i in got} == {1: [1], 2: [2], 3: [], 4: []}
+    assert (got[1].n_hit, got[2].n_hit) == (13, 3)
