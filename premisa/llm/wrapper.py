@@ -15,13 +15,18 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from premisa.llm.common import BROADCAST_BYTES, fresh, text_bytes, with_result
+from premisa.llm.common import BROADCAST_BYTES, fresh, look_up, text_bytes, with_result
 from premisa.sources.staging import settle
 
+CONSTANT = 0.9
+EVIDENCE = 6
+FLUSH_NODES = 400_000
+
 MARKUP = re.compile(
     r"<(?:!--.*?(?:-->|\Z)"
     r"|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)[\"']?[^>]*>"
@@ -329,7 +334,7 @@ def clip(root: Node, depth: int = 50) -> None:
     measure(root)
 
 
-def induce(pages: list[str], constant: float = 0.9, evidence: int = 6) -> str:
+def induce(pages: list[str], constant: float = CONSTANT, evidence: int = EVIDENCE) -> str:
     """The wrapper of some pages of one host, as JSON.
 
     The page of median size is the reference. A text node is template if it is aligned on at least
@@ -366,22 +371,86 @@ def induce(pages: list[str], constant: float = 0.9, evidence: int = 6) -> str:
     return json.dumps(dump(reference, fixed, slot), separators=(",", ":"))
 
 
-def extract(html: str, wrapper: tuple[Node, Node, set[int]] | None) -> str:
-    """The text at the wrapper's slot, or at the page's own best slot if the page has none there."""
+def text_keys(root: Node) -> Iterator[tuple[Node, int]]:
+    """The unbarred text nodes of a page, each with a hash of its tags from the root and its text."""
+    stack = [(root, xxhash.xxh3_64_intdigest(b""))]
+    while stack:
+        x, path = stack.pop()
+        if x.tag == "#":
+            text = tidy(x.text)
+            if text:
+                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path)
+                yield x, key - (1 << 63)
+        elif not x.barred:
+            path = xxhash.xxh3_64_intdigest(x.tag.encode("utf-8", "surrogatepass"), path)
+            stack.extend((k, path) for k in x.kids)
+
+
+def template_keys(pages: DataFrame, limit: int) -> DataFrame:
+    """Of each host: the keys of the text nodes on ``CONSTANT`` of its different pages, ``EVIDENCE`` at least.
+
+    ``pages`` has ``_host``, ``_html`` and ``_h``, a hash of the page. Nodes are counted per task, then
+    summed; rows with one page count as one page together.
+    """
+    copies = settle(pages.groupBy("_host", "_h").agg(F.count("*").alias("_n")), "page-copies")
+    size = copies.groupBy("_host").agg(F.count("*").alias("_size")).where(F.col("_size") >= EVIDENCE)
+    size = settle(size.withColumnRenamed("_host", "_of"), "host-sizes")
+    many = copies.where("_n > 1").select(F.col("_host").alias("_of"), F.col("_h").alias("_g"), "_n")
+    on = (F.col("_host") == F.col("_of")) & (F.col("_h") == F.col("_g"))
+    shared = look_up(pages, many, on, "left", limit)
+    shared = shared.select("_host", "_html", (1 / F.coalesce("_n", F.lit(1))).alias("_share"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], float] = {}
+
+        def rows() -> pa.RecordBatch:
+            hosts, keys = [h for h, _ in seen], [k for _, k in seen]
+            columns = [pa.array(hosts, pa.string()), pa.array(keys, pa.int64())]
+            columns.append(pa.array(list(seen.values()), pa.float64()))
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, ["_host", "_key", "_share"])
+
+        for batch in batches:
+            for host, page, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key in {k for _, k in text_keys(parse(page))}:
+                    seen[host, key] = seen.get((host, key), 0.0) + share
+                if len(seen) > FLUSH_NODES:
+                    yield rows()
+        yield rows()
+
+    counted = shared.mapInArrow(run, "_host string, _key bigint, _share double")
+    counted = counted.groupBy("_host", "_key").agg(F.sum("_share").alias("_share"))
+    counted = counted.where(F.col("_share") > EVIDENCE - 0.5)
+    often = look_up(counted, size, F.expr("_host = _of"), limit=limit)
+    often = often.where(F.col("_share") > CONSTANT * F.col("_size") - 1e-6)
+    return often.groupBy("_host").agg(F.collect_list("_key").alias("_keys"))
+
+
+def extract(
+    html: str,
+    wrapper: tuple[Node, Node, set[int]] | None,
+    template: frozenset[int] | None = None,
+) -> str:
+    """The text at the wrapper's slot, or at the page's own best slot if the page has none there.
+
+    Text nodes with a key in ``template`` are left out; without it, the wrapper's fixed nodes are.
+    """
     tree = parse(html)
+    common = {id(x) for x, k in text_keys(tree) if k in template} if template else set()
     if wrapper is not None:
         reference, slot, fixed = wrapper
-        place, left_out = None, set()
+        place, left_out = None, common
         for x, y in aligned(reference, tree):
             if x is slot:
                 place = y
-            elif id(x) in fixed and x.text == tidy(y.text):
+            elif template is None and id(x) in fixed and x.text == tidy(y.text):
                 left_out.add(id(y))
         if place is not None:
             text = visible(place, left_out)
             if text:
                 return text
-    return visible(article_slot(tree, masses(tree)))
+    own = article_slot(tree, masses(tree))
+    return (visible(own, common) if template else "") or visible(own)
 
 
 def main_text(
@@ -394,19 +463,20 @@ def main_text(
 ) -> DataFrame:
     """Add the article text of every page as column ``into``.
 
-    A host's wrapper is learnt from ``per_host`` pages at most, the first different ones in the order
-    of a hash; it is applied to all of its pages. Wrappers are sent to the tasks while they measure
+    A host's tree and slot are learnt from ``per_host`` pages at most, the first different ones in the
+    order of a hash. What text is template is counted over all pages of the host: nodes with the same
+    tags above and the same text on nine in ten of its different pages. Wrappers are sent to the tasks while they measure
     below ``limit``, and joined by host beyond. A NULL or empty page gives an empty text; a NULL url is
     a host of its own. Repeated rows are extracted each, a column named like ``into`` is replaced.
     """
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[^/?#]*//)?([^/?#]*)", 1)), F.lit(""))
     keyed = pages.select(
-        host.alias("_host"), F.col(html).alias("_html"), F.xxhash64(url, html).alias("_h")
+        host.alias("_host"), F.col(html).alias("_html"), F.xxhash64(html).alias("_h")
     ).where("_html is not null and _html <> ''")
     first = Window.partitionBy("_host").orderBy("_h")
-    chosen = keyed.select("_host", "_h").withColumn("_r", F.row_number().over(first))
-    chosen = settle(chosen.where(F.col("_r") <= per_host).select("_host", "_h").distinct(), "sample")
+    chosen = keyed.select("_host", "_h").distinct().withColumn("_r", F.row_number().over(first))
+    chosen = settle(chosen.where(F.col("_r") <= per_host).select("_host", "_h"), "sample")
     small = F.broadcast(chosen) if text_bytes(chosen) <= limit else chosen
     sample = keyed.join(small, ["_host", "_h"]).dropDuplicates(["_host", "_h"])
 
@@ -415,6 +485,10 @@ def main_text(
         return pd.DataFrame({"_host": [group["_host"].iloc[0]], "_wrapper": [wrapper]})
 
     wrappers = sample.groupBy("_host").applyInPandas(learn, "_host string, _wrapper string")
+    # a JSON text has no line feed: the keys follow one
+    keys = F.array_join(F.coalesce(F.col("_keys").cast("array<string>"), F.array()), ",")
+    wrappers = wrappers.join(template_keys(keyed, limit), "_host", "left")
+    wrappers = wrappers.select("_host", F.concat_ws("\n", "_wrapper", keys).alias("_wrapper"))
     wrappers = settle(wrappers, "wrappers")
     key, given = fresh(pages, "host"), fresh(pages, "wrapper")
     rows = pages.withColumn(key, host)
@@ -426,7 +500,7 @@ def main_text(
         rows = rows.join(wrappers.toDF(key, given), key, "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-        loaded: dict[str, tuple | None] = {}
+        loaded: dict[str, tuple] = {}
         for batch in batches:
             hosts = batch.column(key).to_pylist()
             texts = []
@@ -435,8 +509,10 @@ def main_text(
                     if len(loaded) > 500:
                         loaded.clear()
                     data = sent.value.get(h) if sent else batch.column(given)[i].as_py()
-                    loaded[h] = load(json.loads(data)) if data else None
-                texts.append(extract(page, loaded[h]) if page else "")
+                    tree, _, own = (data or "").partition("\n")
+                    known = frozenset(map(int, own.split(","))) if own else frozenset()
+                    loaded[h] = (load(json.loads(tree)), known) if data else (None, known)
+                texts.append(extract(page, *loaded[h]) if page else "")
             yield batch, pa.array(texts, pa.string())
 
     return with_result(rows, into, T.StringType(), read).drop(key, given)

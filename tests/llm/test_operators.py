@@ -499,3 +499,28 @@ def test_shared_windows_with_capitals_beyond_ascii(spark):
     # only A-Z is compared without regard to case
     assert {i: [x.item_id for x in got[i]["items"]] for i in got} == {1: [1], 2: [2], 3: [], 4: []}
     assert (got[1].n_hit, got[2].n_hit) == (13, 3)
+
+
+def test_template_is_counted_over_all_pages(spark):
+    """A notice on most pages of a host that the reference page lacks, and a page repeated many times."""
+    r = random.Random(51)
+
+    def text(n):
+        return " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+    bodies = [[text(r.randrange(20, 40)) for _ in range(r.randrange(2, 5))] for _ in range(200)]
+    notice = "<div><b>Please read our rules</b></div>"
+    pages = [
+        f"<html><body><div><h1>T{i}</h1>{''.join(f'<p>{p}</p>' for p in b)}{notice if i % 20 else ''}</div></body></html>"
+        for i, b in enumerate(bodies)
+    ]
+    want = [" ".join([f"T{i}", *b]) for i, b in enumerate(bodies)]
+    rows = [(i, f"http://h/{i}", p) for i, p in enumerate(pages)]
+    # a host each of whose pages has 40 equal rows and more
+    rows += [(1000 + i, f"http://g/{i % 40}", p) for i, p in enumerate(pages[:40])]
+    rows += [(2000 + 40 * i + k, f"http://g/{i}", pages[i]) for i in range(40) for k in range(40)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for limit in (0, 1 << 25):
+        got = {x.page_id: x.main_text for x in wrapper.main_text(frame, per_host=1, limit=limit).collect()}
+        assert [got[i] for i in range(200)] == want
+        assert [got[1000 + i] for i in range(40)] == want[:40]
