@@ -524,3 +524,20 @@ def test_template_is_counted_over_all_pages(spark):
         got = {x.page_id: x.main_text for x in wrapper.main_text(frame, per_host=1, limit=limit).collect()}
         assert [got[i] for i in range(200)] == want
         assert [got[1000 + i] for i in range(40)] == want[:40]
+
+
+def test_passages_made_of_frequent_pieces(spark):
+    """Two documents share a passage all of whose short pieces, and their joints, occur earlier one by one."""
+    r = random.Random(61)
+    rows = []
+    for i in range(40):
+        passage = [f"q{i}_{j}" for j in range(62)]
+        # overlapping pieces of 18 words, each in an earlier document of its own
+        pieces = [passage[at : at + 18] for at in range(0, 62, 4)]
+        for body in [*pieces, passage, passage]:
+            around = [[f"u{r.random()}" for _ in range(10)] for _ in range(2)]
+            rows.append((len(rows), " ".join(around[0] + body + around[1])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = chaining.repeated_passages(docs).collect()
+    last = set(range(17, len(rows), 18))
+    assert {x.doc_id for x in got if x.other_id == x.doc_id - 1} == last == {x.doc_id for x in got}
