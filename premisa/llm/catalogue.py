@@ -13,6 +13,7 @@ from premisa.llm import (
     fuzzy_lines,
     packing,
     repetition,
+    residue_mining,
     setsketch,
     toxicity,
     trie_counts,
@@ -231,3 +232,36 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_repeated_passages")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return chaining.repeated_passages(table(spark, sf, "documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    r"""
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (
+      SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same,
+        list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+    p AS (
+      SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, br) <= 5),
+    n AS (
+      SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+        s.score AS negative_score, row_number() OVER (
+          PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+      FROM p JOIN s ON s.ar = p.ar AND NOT s.same
+        AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+    FROM n WHERE rank <= 3
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return residue_mining.hard_negatives(rows, F.col("id") % 50 == 0)
