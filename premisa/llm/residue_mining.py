@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from premisa.llm.common import look_up, quoted
 from premisa.sources.staging import settle
@@ -174,7 +176,26 @@ def hard_negatives(
     """
     vectors, primes, n = prepared(rows, vec_id, vector, label, scale)
     asked = vectors.where(anchors)
-    kind, tag = (vectors.schema[c].dataType.simpleString() for c in ("id", "label"))
+    number = T.LongType()
+    kind = vectors.schema["id"].dataType
+    one_schema = T.StructType(
+        [
+            T.StructField("row", number),
+            T.StructField("positive_row", number),
+            T.StructField("positive_id", kind),
+            T.StructField("positive_score", number),
+        ]
+    )
+    pair_schema = T.StructType(
+        [
+            T.StructField("row", number),
+            T.StructField("anchor_id", kind),
+            *one_schema.fields[1:],
+            T.StructField("negative_id", kind),
+            T.StructField("negative_score", number),
+        ]
+    )
+    one_each, pairs_of = to_arrow_schema(one_schema), to_arrow_schema(pair_schema)
 
     # positives: blocks within a label
     sizes = vectors.groupBy("label").agg(
@@ -190,6 +211,8 @@ def hard_negatives(
     far = _dealt(look_up(vectors, sizes, F.col("label") == F.col("of")), "j", "r_blocks", 2, "i", "a_blocks")
 
     def same(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (len(left) and len(right)):  # a block may be empty
+            return one_each.empty_table()
         right = _by_id(right)
         a, b = _matrix(left), _matrix(right)
         names, others = left.column("row").to_numpy(), right.column("row").to_numpy()
@@ -216,9 +239,7 @@ def hard_negatives(
         near.select(*keys, "row", "x")
         .groupBy(*keys)
         .cogroup(far.select(*keys, "row", "id", "x").groupBy(*keys))
-        .applyInArrow(
-            same, f"row bigint, positive_row bigint, positive_id {kind}, positive_score bigint"
-        )
+        .applyInArrow(same, one_schema)
     )
     order = Window.partitionBy("row").orderBy(
         F.desc("positive_score"), F.asc_nulls_last("positive_id"), "positive_row"
@@ -236,6 +257,8 @@ def hard_negatives(
     far = _dealt(vectors, "j", r_blocks, 2, "i", a_blocks)
 
     def other(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (len(left) and len(right)):
+            return pairs_of.empty_table()
         right = _by_id(right)
         a, b = _matrix(left), _matrix(right)
         labels = pa.concat_arrays([*left.column("label").chunks, *right.column("label").chunks])
@@ -283,11 +306,7 @@ def hard_negatives(
         near.select(*keys, "row", "id", "label", "x", "p")
         .groupBy(*keys)
         .cogroup(far.select(*keys, "row", "id", "label", "x").groupBy(*keys))
-        .applyInArrow(
-            other,
-            f"row bigint, anchor_id {kind}, positive_row bigint, positive_id {kind}, "
-            f"positive_score bigint, negative_id {kind}, negative_score bigint",
-        )
+        .applyInArrow(other, pair_schema)
     )
     order = Window.partitionBy("row", "positive_row").orderBy(
         F.desc("negative_score"), F.asc_nulls_last("negative_id")
