@@ -15,6 +15,7 @@ from premisa.llm import (
     repetition,
     residue_mining,
     setsketch,
+    spectral_whitening,
     toxicity,
     trie_counts,
     wrapper,
@@ -265,3 +266,9 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", moved.alias("label"))
     return residue_mining.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+@query("op12_whiten")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    whitened = spectral_whitening.whiten(table(spark, sf, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").cast("bigint"))

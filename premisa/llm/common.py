@@ -59,6 +59,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def finite_entries(vector: Column) -> Column:
+    """Is every entry of the list a finite number?"""
+
+    def sound(c: Column) -> Column:
+        return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+    return F.forall(vector, sound)
+
+
 def with_result(
     df: DataFrame,
     into: str,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from premisa.llm.common import look_up, quoted
+from premisa.llm.common import finite_entries, look_up, quoted
 from premisa.sources.staging import settle
 
 CHUNK = 64  # dimensions that one float32 product adds up
@@ -107,8 +107,7 @@ def prepared(
 ) -> tuple[DataFrame, list[int], int]:
     """The rows that take part as ``row``, ``id``, ``label`` and ``x``, the primes, and how many rows."""
     x = F.transform(quoted(vector), lambda c: c.cast("double") * scale)
-    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    taken = rows.where(quoted(label).isNotNull() & quoted(vector).isNotNull()).where(sound)
+    taken = rows.where(quoted(label).isNotNull() & quoted(vector).isNotNull()).where(finite_entries(x))
     taken = taken.select(quoted(vec_id).alias("id"), quoted(label).alias("label"), x.alias("x"))
     # a floor is at most one larger in size than its number
     size = F.aggregate("x", F.lit(0.0), lambda s, c: s + (F.abs(c) + 1) * (F.abs(c) + 1))
