@@ -16,6 +16,7 @@ from premisa.llm import (
     residue_mining,
     setsketch,
     spectral_whitening,
+    suffix_dedup,
     toxicity,
     trie_counts,
     wrapper,
@@ -272,3 +273,45 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     whitened = spectral_whitening.whiten(table(spark, sf, "embeddings"))
     return whitened.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query(
+    "op13_repeated_bytes",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x,
+        octet_length(encode(coalesce(text, ''))) AS n
+      FROM documents),
+    w AS (
+      SELECT r, i, md5(array_slice(x, i + 1, i + 200)) AS m
+      FROM (SELECT r, x, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+    twice AS (SELECT r, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+    cut AS (
+      SELECT r, i, CASE WHEN i > lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END
+        AS new FROM twice),
+    spans AS (
+      SELECT r, min(i) AS a, max(i) + 200 AS b
+      FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM cut) GROUP BY r, k),
+    kept AS (
+      SELECT r, a, b, hex(array_slice(x, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) + 1, a)) AS piece
+      FROM spans JOIN d USING (r)),
+    s AS (
+      SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS z,
+        string_agg(piece, '' ORDER BY a) AS head FROM kept GROUP BY r)
+    SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+      coalesce(n_spans, 0)::BIGINT AS n_spans,
+      sha256(unhex(coalesce(head, '') || hex(array_slice(x, coalesce(z, 0) + 1, n)))) AS kept_sha256
+    FROM d LEFT JOIN s USING (r)
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    marked = suffix_dedup.repeated_bytes(docs)
+    removed = F.aggregate("repeats.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return marked.select(
+        "doc_id",
+        "repeats.n_bytes",
+        removed.alias("n_removed"),
+        F.size("repeats.spans").cast("bigint").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
