@@ -20,14 +20,15 @@ from pyspark.sql import types as T
 from premisa.llm.common import fresh, quoted, with_result
 from premisa.llm.lyndon_groups import suffix_array
 from premisa.llm.shingles import STEP, mixed
-from premisa.sources.staging import BROADCAST_BYTES, attach, settle
+from premisa.sources.staging import settle
 
 SPAN = 200
 GRAM = 64
-CHUNK = 1 << 20  # windows looked at together
-PLACE = np.uint64((1 << 21) - 1)  # bits of a place within a chunk
+CHUNK = 1 << 16  # windows looked at together: their hashes stay in a processor's cache
+PLACE = np.uint64((1 << 17) - 1)  # bits of a place within a chunk
 FILTER_WORDS = 1 << 21  # 64-bit words of the filter of repeated grams, 16 MB at any input size
-BUCKET = 1 << 18  # bytes of the stretches that are sorted together
+BUCKET = 1 << 18  # bytes of the stretches of a group
+SORTED = 1 << 14  # bytes of a group that are sorted together, if no key has more; the lists stay in the cache
 LIMIT = 4096  # different stretches of one key that are sorted together
 STRETCH = "key bigint, d bigint, w bigint, t binary, first int, last int, gram int, low int, high int, s binary"
 FIELDS = [field.split()[0] for field in STRETCH.split(", ")]
@@ -212,35 +213,34 @@ def with_text_id(docs: DataFrame, text: str, into: str) -> DataFrame:
     return with_result(docs, into, T.BinaryType(), run)
 
 
-def stretch_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, span: int, gram: int, limit: int):
-    """The wanted stretches with their bytes; copies of a text give one row for each task at most."""
-    lists = wanted.groupBy("t").agg(
-        F.collect_list(F.struct("h", "d", "w", "first", "last", "gram")).alias("list")
-    )
-    lists = settle(lists, "wanted")
-    named = with_text_id(docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text")), "text", "t")
-    rows = attach(named, lists, ["t"], ["id"], limit=limit).select("t", "text", "list")
+def stretch_texts(docs: DataFrame, text: str, wanted: DataFrame, span: int, gram: int) -> DataFrame:
+    """The wanted stretches with their bytes; a task takes a text's copies once."""
+    fields = ["h", "d", "w", "first", "last", "gram"]
+    lists = wanted.groupBy("t").agg(F.collect_list(F.struct(*fields)).alias("x"))
+    lists = settle(lists.select("t", *(F.col(f"x.{f}").alias(f) for f in fields)), "wanted")
+    named = with_text_id(docs.select(quoted(text).alias("text")), "text", "t")
+    rows = named.join(lists, "t").select("t", "text", *fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for batch in batches:
             data, starts, _ = texts_of(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            new = [i for i, t in enumerate(ids) if t not in met and ids.index(t) == i]
-            met.update(ids)
+            new = []
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                if t not in met:
+                    met.add(t)
+                    new.append(i)
             if len(met) > 1_000_000:
                 met.clear()
-            part = batch.column(2).take(pa.array(new, pa.int64()))
-            flat = part.flatten()
-            row = np.repeat(new, part.value_lengths().to_numpy()).astype(np.int64)
-            first, last = (flat.field(c).to_numpy() for c in ("first", "last"))
-            shift, view = starts[row], memoryview(data)
-            pieces = zip((first + shift).tolist(), (last + shift + span).tolist(), strict=True)
-            n = len(flat)
-            columns = [flat.field(c) for c in ("h", "d", "w")] + [batch.column(0).take(pa.array(row))]
-            columns += [flat.field(c) for c in ("first", "last", "gram")]
-            columns += [pa.array(np.full(n, c, np.int32)) for c in (0, span - gram)]
-            columns.append(pa.array([bytes(view[a:b]) for a, b in pieces], pa.binary()))
+            lists = [batch.column(i).take(pa.array(new, pa.int64())) for i in range(2, 8)]
+            row = np.repeat(np.array(new, np.int64), lists[0].value_lengths().to_numpy())
+            h, d, w, first, last, at = (c.flatten() for c in lists)
+            shift, view, n = starts[row], memoryview(data), len(row)
+            begins, ends = first.to_numpy() + shift, last.to_numpy() + shift + span
+            pieces = [bytes(view[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            whole = [pa.array(np.full(n, c, np.int32)) for c in (0, span - gram)]
+            owner = batch.column(0).take(pa.array(row))
+            columns = [h, d, w, owner, first, last, at, *whole, pa.array(pieces, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, FIELDS)
 
     return one_each(rows.mapInArrow(run, STRETCH))
@@ -282,7 +282,7 @@ def halves(stretches: DataFrame, span: int) -> DataFrame:
     return stretches.mapInArrow(run, STRETCH)
 
 
-def crowded_apart(stretches: DataFrame, span: int, most: int, limit: int) -> tuple[DataFrame, list[DataFrame]]:
+def crowded_apart(stretches: DataFrame, span: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
     """Stretches of which a key has ``most`` at the most, and the windows found to repeat on the way.
 
     A key with more is cut in halves until that holds: after a few rounds its windows are equal. Equal halves are
@@ -293,7 +293,7 @@ def crowded_apart(stretches: DataFrame, span: int, most: int, limit: int) -> tup
         sizes = stretches.groupBy("key").agg(F.count("*").alias("k"), F.min("w").alias("least"))
         # a key with one stretch, or with known repeats only, has nothing to show
         sizes = settle(sizes.where("k > 1 and least = 1").select("key", "k"), "sizes")
-        open_ = attach(stretches, sizes, ["key"], ["d"], limit=limit)
+        open_ = stretches.join(sizes, "key")
         ready.append(open_.where(F.col("k") <= most).select(*FIELDS))
         crowd = sizes.where(F.col("k") > most)
         if crowd.isEmpty():
@@ -301,7 +301,7 @@ def crowded_apart(stretches: DataFrame, span: int, most: int, limit: int) -> tup
         parts = settle(halves(open_.where(F.col("k") > most).select(*FIELDS), span), "halves")
         equal = parts.groupBy("key", "d").agg(F.sum("w").alias("sum"), F.count("*").alias("k"))
         equal = settle(equal.where("k > 1").select("key", "d", "sum"), "equal")
-        again = attach(parts, equal, ["key", "d"], ["t", "first"], "left", limit)
+        again = parts.join(equal, ["key", "d"], "left")
         found.append(again.where("sum is not null and w = 1").select("t", "first", "last"))
         again = again.withColumn("w", F.coalesce("sum", "w")).select(*FIELDS)
         stretches = settle(one_each(again), "stretches")
@@ -339,28 +339,41 @@ def repeated_starts(pieces: list[bytes], span: int) -> np.ndarray:
     return marks
 
 
+def key_blocks(keys: np.ndarray, sizes: list[int], most: int) -> Iterator[range]:
+    """Neighbouring rows of ``most`` bytes, or of one key; equal keys lie together."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and keys[i] != keys[i - 1] and total + size > most:
+            yield range(start, i)
+            start, total = i, 0
+        total += size
+    if len(sizes) > start:
+        yield range(start, len(sizes))
+
+
 def sorted_buckets(stretches: DataFrame, span: int, bucket: int) -> DataFrame:
     """Runs of windows of lone stretches that occur in another stretch of the bucket: ``t``, ``first``, ``last``."""
     size = stretches.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]
     deal = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-size // bucket)))).alias("bucket")
+    none = np.zeros(0, np.int64)
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key")
         pieces = group.column("s").to_pylist()
-        marks = repeated_starts(pieces, span)
-        lone = group.column("w").to_numpy() == 1
+        key, lone = group.column("key").to_numpy(), group.column("w").to_numpy() == 1
         begin = group.column("first").to_numpy()
         row, first, last = [], [], []
-        at = 0
-        for i, piece in enumerate(pieces):
-            if lone[i]:
-                own = np.flatnonzero(marks[at : at + len(piece)])
+        for some in key_blocks(key, [len(p) for p in pieces], SORTED):
+            marks = repeated_starts([pieces[i] for i in some], span)
+            at = 0
+            for i in some:
+                own = np.flatnonzero(marks[at : at + len(pieces[i])]) if lone[i] else none
                 if len(own):
                     cut = np.flatnonzero(np.diff(own) > 1)
                     first.append(begin[i] + own[np.append(0, cut + 1)])
                     last.append(begin[i] + own[np.append(cut, len(own) - 1)])
                     row.append(np.full(len(cut) + 1, i))
-            at += len(piece) + 1
-        none = np.zeros(0, np.int64)
+                at += len(pieces[i]) + 1
         row, first, last = (np.concatenate(c) if c else none for c in (row, first, last))
         return pa.table(
             {
@@ -370,19 +383,12 @@ def sorted_buckets(stretches: DataFrame, span: int, bucket: int) -> DataFrame:
             }
         )
 
-    dealt = stretches.select(deal, "w", "t", "first", "s")
+    dealt = stretches.select(deal, "key", "w", "t", "first", "s")
     return dealt.groupBy("bucket").applyInArrow(run, "t binary, first int, last int")
 
 
 def repeated_windows(
-    docs: DataFrame,
-    doc_id: str,
-    text: str,
-    span: int,
-    gram: int,
-    bucket: int,
-    most: int,
-    limit: int,
+    docs: DataFrame, text: str, span: int, gram: int, bucket: int, most: int
 ) -> DataFrame:
     """Windows of ``span`` bytes that start elsewhere too: ``t``, a text's digest, ``first`` and ``last`` start."""
     spark = docs.sparkSession
@@ -392,8 +398,7 @@ def repeated_windows(
     keys = counts.where("n > 1").select("h", (F.col("least") != F.col("most")).alias("several"))
     keys = settle(keys, "grams")
     words = spark.sparkContext.broadcast(gram_filter(keys))
-    rows = attach(stretch_rows(docs, text, span, gram, words), keys, ["h"], ["t", "first"], limit=limit)
-    rows = settle(rows, "stretches")
+    rows = settle(stretch_rows(docs, text, span, gram, words).join(keys, "h"), "stretches")
     place = ["t", "first", "last"]
     found = [rows.where("not several").select(*place)]
 
@@ -403,11 +408,11 @@ def repeated_windows(
     )
     pairs = settle(pairs.select("h", "d", "w", "x.*"), "pairs")
     more = settle(pairs.where("w > 1").select("h", "d"), "equal")
-    found.append(attach(several, more, ["h", "d"], ["t", "first"], limit=limit).select(*place))
+    found.append(several.join(more, ["h", "d"]).select(*place))
     lone = settle(pairs.where("w = 1").select("h").distinct(), "lone")
-    wanted = attach(pairs, lone, ["h"], ["d"], limit=limit)
-    stretches = settle(stretch_texts(docs, doc_id, text, wanted, span, gram, limit), "stretches")
-    ready, early = crowded_apart(stretches, span, most, limit)
+    wanted = pairs.join(lone, "h")
+    stretches = settle(stretch_texts(docs, text, wanted, span, gram), "stretches")
+    ready, early = crowded_apart(stretches, span, most)
     found += [*early, sorted_buckets(ready, span, bucket)]
     whole = found[0]
     for part in found[1:]:
@@ -417,14 +422,12 @@ def repeated_windows(
 
 def repeated_bytes(
     docs: DataFrame,
-    doc_id: str = "doc_id",
     text: str = "text",
     into: str = "repeats",
     span: int = SPAN,
     gram: int = GRAM,
     bucket: int = BUCKET,
     most: int = LIMIT,
-    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """All rows and columns, and ``into``: ``n_bytes``, ``spans`` (``start`` and ``end``) and ``kept``, the other bytes.
 
@@ -434,25 +437,23 @@ def repeated_bytes(
     id are rows of their own, so equal texts of ``span`` bytes or more are removed in whole.
 
     Windows are found by rolling hashes; a text is known by its 128-bit digest, equal stretches by two 64-bit
-    ones. A gram met in many different stretches is cut apart (``crowded_apart``), so buckets stay bounded.
+    ones. A gram met in many different stretches is cut apart (``crowded_apart``), so buckets stay bounded. All
+    joins are equi-joins of tables that grow with the input; only the filter of a fixed size is broadcast.
     """
-    own, ranges = fresh(docs, "text_id"), fresh(docs, "ranges")
-    windows = repeated_windows(docs, doc_id, text, span, gram, bucket, most, limit)
-    lists = windows.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias(ranges))
-    lists = settle(lists.withColumnRenamed("t", own), "ranges")
-    named = with_text_id(docs, text, own)
-    joined = attach(named, lists, [own], [doc_id], "left", limit)
+    own, one, two = (fresh(docs, name) for name in ("text_id", "firsts", "lasts"))
+    windows = repeated_windows(docs, text, span, gram, bucket, most)
+    lists = windows.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("x"))
+    lists = lists.select(F.col("t").alias(own), F.col("x.first").alias(one), F.col("x.last").alias(two))
+    joined = with_text_id(docs, text, own).join(settle(lists, "ranges"), own, "left")
     rest = [f.name for f in joined.schema.fields if f.name.lower() != into.lower()]
-    words, marked = rest.index(text), rest.index(ranges)
+    words, places = rest.index(text), (rest.index(one), rest.index(two))
     kind = T.StructType.fromDDL("n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         for batch in batches:
             data, starts, ends = texts_of(batch.column(words))
-            found = batch.column(marked)
-            flat = found.flatten()
-            first, last = (flat.field(c).to_numpy() for c in ("first", "last"))
-            size = found.value_lengths().fill_null(0).to_numpy()
+            first, last = (batch.column(i).flatten().to_numpy() for i in places)
+            size = batch.column(places[0]).value_lengths().fill_null(0).to_numpy()
             until = np.cumsum(size)
             kept, counts, start, end = [], [], [], []
             for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
@@ -478,4 +479,4 @@ def repeated_bytes(
             ]
             yield batch, pa.StructArray.from_arrays(columns, ["n_bytes", "spans", "kept"])
 
-    return with_result(joined, into, kind, run).drop(own, ranges)
+    return with_result(joined, into, kind, run).drop(own, one, two)

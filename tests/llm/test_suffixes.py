@@ -87,17 +87,22 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize(
-    ("bucket", "most", "limit"), [(1 << 18, 4096, 1 << 25), (500, 4, 1 << 25), (4000, 2, 0), (1 << 18, 4096, 0)]
-)
-def test_repeated_bytes_equal_a_plain_search(spark, bucket, most, limit):
-    """With whole and crowded keys, one and many buckets, broadcast and shuffled joins."""
+def test_key_blocks():
+    keys, sizes = np.array([1, 1, 2, 3, 3, 3, 4]), [5, 5, 4, 9, 9, 9, 1]
+    assert [list(x) for x in sd.key_blocks(keys, sizes, 14)] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert [list(x) for x in sd.key_blocks(keys, sizes, 100)] == [list(range(7))]
+    assert list(sd.key_blocks(keys[:0], [], 14)) == []
+
+
+@pytest.mark.parametrize(("bucket", "most"), [(1 << 18, 4096), (500, 4), (4000, 2)])
+def test_repeated_bytes_equal_a_plain_search(spark, bucket, most):
+    """With whole and crowded keys, one and many buckets."""
     session(spark)
     texts = corpus()
     rows = [(i if i != 9 else None, t, "t", 1, 2, 3, "r") for i, t in enumerate(texts)]
     rows[12] = (11, *rows[12][1:])
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = sd.repeated_bytes(docs, span=40, gram=16, bucket=bucket, most=most, limit=limit)
+    got = sd.repeated_bytes(docs, span=40, gram=16, bucket=bucket, most=most)
     assert sorted(got.columns) == sorted(docs.columns)
     got = got.select("text", "`a.b`", "repeats.*").collect()
     want = dict(zip(texts, plain(texts, 40), strict=True))
