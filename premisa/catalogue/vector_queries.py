@@ -29,12 +29,12 @@ KEYS = ["dataset", "model", "layer", "train_variant"]
 
 
 def split_states(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.half_split(fx.states(spark, sf))
+    return vectors.half_split(vectors.cluster(fx.states(spark, sf)))
 
 
 def centred(spark: SparkSession, sf: str) -> DataFrame:
-    """Centred states, staged because fitting, calibration and scoring all read them."""
-    return settle(vectors.center(split_states(spark, sf)), "centred")
+    """Centred states, stored by sample because fitting, calibration and scoring all read them."""
+    return vectors.cluster(vectors.center(split_states(spark, sf)), "centred", spread=False)
 
 
 def train_rows(states: DataFrame) -> DataFrame:

@@ -28,11 +28,12 @@ from premisa.functions.exprs import (
 )
 from premisa.operators.prompts import WINDOW_LIMIT
 from premisa.operators.ranking import hash_rank, number_rank
-from premisa.sources.staging import attach, settle
+from premisa.sources.staging import attach, in_waves, settle, settle_clustered
 
 SAMPLES = ["dataset", "model", "variant"]
 RUN = [*SAMPLES, "layer"]
 PARTIAL_CELLS = 4_000_000  # numbers a task keeps before it hands its partial sums on
+LOTS = 256  # groups of tasks whose partial sums are merged first
 
 
 # --- ingest --------------------------------------------------------------------------------
@@ -48,6 +49,16 @@ def ingest_states(batches: list[DataFrame], layer: int | None = None) -> DataFra
     return df.withColumn("vec", doubles("vec", through_float=True))
 
 
+def cluster(
+    states: DataFrame, name: str = "states", buckets: int | None = None, spread: bool = True
+) -> DataFrame:
+    """The vector table stored by sample: whatever brings a sample's rows together, ``sides``, ``half_split``,
+    ``center`` and ``combine`` among it, then leaves the vectors where they are. ``spread`` is for rows
+    that do not come from such a table."""
+    by = [*SAMPLES, "sample_id"]
+    return settle_clustered(states, name, by, ["dataset", "model", "layer"], buckets, spread)
+
+
 def split_clean(states: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clean rows, quarantined rows): a vector with a NaN is set aside."""
     bad = F.coalesce(has_nan("vec"), F.lit(True))
@@ -102,16 +113,18 @@ def answer_logits(
 def sides(states: DataFrame) -> DataFrame:
     """One row per sample with both vectors: ``x0`` negative, ``x1`` positive.
 
-    One aggregation; samples that lack a side are left out. A side met twice is an error.
+    One aggregation, without an exchange on a clustered table. Samples that lack a side or its vector are left
+    out, as after ``split_clean``. A side met twice is an error.
     """
     keys = [c for c in states.columns if c not in ("side", "vec", "y")]
     vec = F.col("vec")
     found = [F.max(F.when(F.col("side") == i, vec)).alias(f"x{i}") for i in (0, 1)]
     y = [F.max(F.when(F.col("side") == 0, F.col("y"))).alias("y")] if "y" in states.columns else []
-    pairs = states.groupBy(*keys).agg(*y, *found, F.count("*").alias("_rows"))
-    pairs = pairs.filter("x0 is not null and x1 is not null")
-    once = F.assert_true(F.col("_rows") == 2, F.lit("side met twice"))
-    return pairs.filter(once.isNull()).drop("_rows")
+    most = F.greatest(*(F.count_if(F.col("side") == i) for i in (0, 1))).alias("_most")
+    pairs = states.groupBy(*keys).agg(*y, *found, most)
+    once = F.assert_true(F.col("_most") <= 1, F.lit("side met twice")).isNull()
+    both = F.col("x0").isNotNull() & F.col("x1").isNotNull()
+    return pairs.filter(once & both).drop("_most")
 
 
 def true_side(states: DataFrame) -> DataFrame:
@@ -137,11 +150,24 @@ def side_combination(pairs: DataFrame, kind: str) -> DataFrame:
 
 def _groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
     """Row numbers of each key of a batch; a NULL key is a group like any other."""
-    found: dict[tuple, list[int]] = {}
-    for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
-        found.setdefault(key, []).append(i)
-    for key, rows in found.items():
-        yield key, np.array(rows)
+    if not batch.num_rows:
+        return
+    code = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        column = batch.column(k).dictionary_encode("encode")
+        # codes stay dense, so their products can't overflow
+        code = code * (len(column.dictionary) + 1) + column.indices.to_numpy()
+        code = np.unique(code, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        yield tuple(batch.column(k)[int(rows[0])].as_py() for k in keys), rows
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    """The vectors of a column, of any widths."""
+    offsets = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -225,26 +251,91 @@ def add_moments(a: tuple, b: tuple) -> tuple:
     return n, a[1] + b[1], a[2] + b[2], mean, squares
 
 
+def merge_partials(
+    parts: DataFrame,
+    keys: list[str],
+    lists: list[str],
+    add: Callable[[tuple, tuple], tuple],
+    finish: Callable[[tuple], list[pa.Array]],
+    kind: T.StructType,
+) -> DataFrame:
+    """One row per group from partial rows ``(keys, n, lists)`` of all tasks, whatever their number.
+
+    In two levels: first the partials of a group and a lot of tasks, then those of a group. Tasks read
+    partials as they come and keep a sum per group, up to ``PARTIAL_CELLS`` numbers or one group; the
+    second level reads group after group. ``add`` joins two partials, ``finish`` gives the columns of
+    ``kind`` behind the keys.
+    """
+    heads = T.StructType([parts.schema[k] for k in keys])
+    between = T.StructType([*heads.fields, parts.schema["n"], *(parts.schema[c] for c in lists)])
+    between_arrow, final = to_arrow_schema(between), to_arrow_schema(kind)
+
+    def summed(held: dict[tuple, tuple], batch: pa.RecordBatch) -> tuple | None:
+        """Adds a batch's partials and returns the key of its last row."""
+        last = None
+        n = batch.column("n").to_pylist()
+        columns = [_vectors(batch.column(c)) for c in lists]
+        for key, rows in _groups(batch, keys):
+            for i in rows.tolist():
+                part = (n[i], *(c[i] for c in columns))
+                held[key] = add(held[key], part) if key in held else part
+            if rows[-1] == batch.num_rows - 1:
+                last = key
+        return last
+
+    def lot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+
+        def drain() -> pa.RecordBatch:
+            found = list(held.values())
+            columns = [pa.array([f[0] for f in found], pa.int64())]
+            columns += [_lists([f[i + 1] for f in found]) for i in range(len(lists))]
+            out = _typed_rows(list(held), columns, between_arrow)
+            held.clear()
+            return out
+
+        for batch in batches:
+            summed(held, batch)
+            if len(held) > 1 and sum(len(h[1]) * len(lists) for h in held.values()) > PARTIAL_CELLS:
+                yield drain()
+        if held:
+            yield drain()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+
+        def close(but: tuple | None) -> Iterator[pa.RecordBatch]:
+            done = [k for k in held if k != but]
+            if done:
+                found = [finish(held.pop(k)) for k in done]
+                columns = [pa.concat_arrays(c) for c in zip(*found, strict=True)]
+                yield _typed_rows(done, columns, final)
+
+        for batch in batches:
+            last = summed(held, batch)
+            yield from close(last)
+        yield from close(None)
+
+    numbered = parts.withColumn("_lot", F.pmod(F.spark_partition_id(), F.lit(LOTS)))
+    dealt = numbered.repartition(*keys, "_lot").drop("_lot").mapInArrow(lot, between)
+    # without keys all lots meet in one task, which still reads them one after the other
+    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys) if keys else dealt.coalesce(1)
+    return ordered.mapInArrow(whole, kind)
+
+
 def merged_moments(
     parts: DataFrame, keys: list[str], fields: list[str], finish: Callable[[tuple], list[pa.Array]]
 ) -> DataFrame:
     """One row per group from the partial moments of all tasks: ``finish`` gives its vectors."""
-    head = [parts.schema[k] for k in keys]
-    schema = T.StructType([*head, *(T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields)])
-    arrow = to_arrow_schema(T.StructType(head))
-
-    def run(group: pa.Table) -> pa.Table:
-        vectors = [group.column(c).to_pylist() for c in ("count", "sum", "mean", "squares")]
-        rows = [
-            (n, *(np.array(v, float) for v in row))
-            for n, *row in zip(group.column("n").to_pylist(), *vectors, strict=True)
-        ]
-        found = finish(reduce(add_moments, rows))
-        columns = [group.column(k).slice(0, 1).cast(arrow.field(k).type) for k in keys]
-        columns += [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in found]
-        return pa.table(columns, names=[*keys, *fields])
+    kind = T.StructType([parts.schema[k] for k in keys])
+    for field in fields:
+        kind = kind.add(field, T.ArrayType(T.DoubleType()))
 
-    return parts.groupBy(*keys).applyInArrow(run, schema)
+    def columns(state: tuple) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in finish(state)]
+
+    lists = ["count", "sum", "mean", "squares"]
+    return merge_partials(parts, keys, lists, add_moments, columns, kind)
 
 
 def finite_mean(m: tuple) -> pa.Array:
@@ -257,7 +348,7 @@ def vector_stats(states: DataFrame, keys: list[str], std: bool = False) -> DataF
     """Mean per coordinate over the finite values, and on demand the (n-1) deviation.
 
     Tasks add up whole vectors and send one partial row per group, so neither vectors nor
-    coordinates are shuffled and a group of any size arrives as a row per task. The deviation is
+    coordinates are shuffled; the rows are merged in two levels (see ``merge_partials``). The deviation is
     that of the centred data, so one non-finite value makes it NaN; of one vector it is NULL. A
     coordinate without a finite value has no mean.
     """
@@ -291,9 +382,9 @@ def gram(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """Rows ``(keys, i, row)`` of the matrix leftᵀ·right summed over each group, plus ``n``.
 
     Tasks add up outer products in numpy and emit one partial matrix per group, row by row; equal
-    rows of the partials meet in a task, so no group and no matrix passes through one whole. A task
-    holds ``PARTIAL_CELLS`` numbers or one matrix. Rows of one group should lie together, or open
-    matrices alternate.
+    rows of the partials are merged in two levels, one owner each, so neither a group nor a matrix passes
+    through one task whole. A task holds ``PARTIAL_CELLS`` numbers or one matrix. Rows of one group should
+    lie together, or open matrices alternate.
     """
     schema = T.StructType(
         [rows.schema[k] for k in keys]
@@ -334,13 +425,14 @@ def gram(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     wanted = list(dict.fromkeys([left, right]))
     parts = rows.select(*keys, *wanted).mapInPandas(partial, schema)
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        out = group.head(1).copy()
-        out["n"] = group["n"].sum()
-        out["row"] = [np.sum(np.stack(group["row"].to_list()), axis=0)]
-        return out
+    def add(a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], a[1] + b[1]
 
-    return parts.groupBy(*keys, "i").applyInPandas(add, schema).select(*keys, "i", "n", "row")
+    def line(state: tuple) -> list[pa.Array]:
+        return [pa.array([state[0]], pa.int64()), _lists([state[1]])]
+
+    kind = T.StructType([*(schema[c] for c in (*keys, "i", "n", "row"))])
+    return merge_partials(parts, [*keys, "i"], ["row"], add, line, kind)
 
 
 def class_covariance(states: DataFrame, keys: list[str]) -> DataFrame:
@@ -412,7 +504,8 @@ def center(
 ) -> DataFrame:
     """Subtract the mean per group, split and side; divide by the deviation if ``scale``.
 
-    ``fit_on='own'`` uses each split's own statistics, ``'train'`` the train split's for both.
+    ``fit_on='own'`` uses each split's own statistics, ``'train'`` the train split's for both. The statistics
+    go to the vectors, in waves if they are many (see ``in_waves``); the vectors are not moved.
     """
     by = [*keys, "split", "side"]
     source = states if fit_on == "own" else states.filter("split = 'train'")
@@ -420,7 +513,7 @@ def center(
     if fit_on != "own":
         by = [k for k in by if k != "split"]
         stats = stats.drop("split")
-    joined = attach(states, settle(stats, "vector-stats"), by, ["sample_id"])
+    joined = in_waves(states, settle(stats, "vector-stats"), by, ["dataset", "model", "layer"])
     vec = minus("vec", "mean")
     if scale:
         vec = F.zip_with(vec, "std", lambda x, s: _ieee(x, s))
@@ -466,9 +559,12 @@ def combine(
         samples, ["dataset", "model", "layer"], "variant", sizes, ["sample_id"], seed
     )
     supervised = [name for name, (_, keep) in quotas.items() if keep]
-    return train.join(drawn, [*RUN, "sample_id"]).withColumn(
-        "y", F.when(F.col("variant").isin(supervised), F.col("y"))
-    )
+    # a sample's layers in one row: the join is on what the vectors are clustered by
+    by = [*SAMPLES, "sample_id"]
+    layers = drawn.groupBy(*by).agg(F.collect_set("layer").alias("_layers"))
+    chosen = train.join(layers, by).filter(F.array_contains("_layers", F.col("layer")))
+    y = F.when(F.col("variant").isin(supervised), F.col("y"))
+    return chosen.select(*train.columns).withColumn("y", y)
 
 
 def steer(

@@ -19,8 +19,12 @@ LOGIT_BASELINE = "lm_head"
 
 
 def prepared(states: DataFrame) -> DataFrame:
-    """Split and centred states, staged because fitting, calibration and scoring read them."""
-    return settle(vectors.center(vectors.half_split(states)), "prepared")
+    """Split and centred states, staged because fitting, calibration and scoring read them.
+
+    Stored by sample from the start: no later step but the gathering of a group for its fit moves a vector.
+    """
+    stored = vectors.cluster(states)
+    return vectors.cluster(vectors.center(vectors.half_split(stored)), "prepared", spread=False)
 
 
 def combined_set(states: DataFrame, quotas: dict[str, tuple[int, bool]], seed: int = 0) -> DataFrame:

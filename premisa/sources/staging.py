@@ -9,9 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,61 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_clustered(
+    df: DataFrame,
+    name: str,
+    by: list[str],
+    order: list[str],
+    buckets: int | None = None,
+    spread: bool = True,
+) -> DataFrame:
+    """Write ``df`` in buckets of the columns ``by`` and return a scan that knows them.
+
+    An aggregation on ``by`` and more columns, or a join on ``by``, then reads each bucket where it lies: only
+    the other side of the join is exchanged. ``spread`` deals the rows out first, so that a bucket is one file;
+    leave it out for rows read from such buckets. Files are sorted by ``order``: a filter on it skips row
+    groups. As many buckets as the session has shuffle partitions, if ``buckets`` is not given; a bucket is
+    read by one task, so large tables want more.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, *by) if spread else df
+    table, path = f"{name.replace('-', '_')}_{uuid.uuid4().hex}", new_path(spark, name)
+    writer = df.write.bucketBy(n, *by).sortBy(*order).format("parquet").option("path", path)
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
+def in_waves(
+    big: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    place: list[str],
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Join a staged ``small`` table to ``big`` on ``keys`` without moving ``big``, whatever the sizes.
+
+    Below ``limit`` it is one broadcast join. Beyond it ``small`` goes in waves of at most ``limit`` bytes (a
+    place at least), and each wave reads the rows of its places only. ``place`` are some of the keys, and
+    ``big`` is best clustered by them. A NULL key meets a NULL key.
+    """
+    if table_bytes(small) <= limit:
+        return attach(big, small, keys, [], limit=limit, size=0)
+    sizes = small.groupBy(*place).agg(bytes_column(small).alias("_bytes"))
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    # the sum runs over a row per place, not over the table
+    wave = F.floor(F.coalesce(F.sum("_bytes").over(before), F.lit(0)) / max(limit, 1))
+    parts = []
+    waves = sizes.select(*place, wave.alias("_wave")).orderBy("_wave").collect()
+    for number in dict.fromkeys(r["_wave"] for r in waves):
+        own = [r for r in waves if r["_wave"] == number]
+        here = reduce(
+            or_, (reduce(and_, (F.col(k).eqNullSafe(F.lit(r[k])) for k in place)) for r in own)
+        )
+        parts.append(attach(big.filter(here), small.filter(here), keys, [], limit=limit, size=0))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bytes_column(df: DataFrame) -> Column:
     """In-memory size of a table as an aggregate: numbers by eight bytes, the rest by length.
 

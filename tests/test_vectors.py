@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from premisa.operators import vectors
+from premisa.operators import fit, score, vectors
 from premisa.sources.staging import settle
 
 NAN, INF = float("nan"), float("inf")
@@ -60,12 +60,13 @@ def test_centre_fitted_on_train(spark):
 
 
 def test_centre_the_same_when_the_statistics_are_not_broadcast(spark, monkeypatch):
-    df = vectors.half_split(make(spark, 10, ("a", "b")))
-    order = ["variant", "sample_id", "side"]
+    df = vectors.half_split(make(spark, 10, ("a", "b"), (1, 2, 3)))
+    order = ["variant", "layer", "sample_id", "side"]
     want = vectors.center(df).orderBy(*order).collect()
-    real = vectors.attach
-    monkeypatch.setattr(vectors, "attach", lambda *a, **k: real(*a, **{**k, "limit": 0}))
-    assert vectors.center(df).select(*want[0].asDict()).orderBy(*order).collect() == want
+    real = vectors.in_waves
+    for limit in (0, 500):  # a wave per layer, then fewer
+        monkeypatch.setattr(vectors, "in_waves", lambda *a, limit=limit: real(*a, limit=limit))
+        assert vectors.center(df).select(*want[0].asDict()).orderBy(*order).collect() == want
 
 
 def test_quota(spark):
@@ -197,3 +198,92 @@ def test_a_side_met_twice_fails(spark):
     states = spark.createDataFrame(rows, "variant string, sample_id int, side int, y int, vec array<double>")
     with pytest.raises(Exception, match="side met twice"):
         vectors.sides(states).collect()
+
+
+def moved_columns(df):
+    """Columns of all shuffles of a plan, with their types."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, open_ = [], [plan.initialPlan() if hasattr(plan, "initialPlan") else plan]
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            out = node.output()
+            found += [(out.apply(i).name(), out.apply(i).dataType().catalogString()) for i in range(out.size())]
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def moves_vectors(df):
+    return any(kind == "array<double>" for _, kind in moved_columns(df))
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_a_clustered_table_leaves_its_vectors_where_they_are(spark, broadcast):
+    """From ingest on, no exchange of split, centring, sides, evaluation or mixing carries a vector."""
+    plain = make(spark, 40, ("a", "b"), (1, 2))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        assert moves_vectors(vectors.sides(plain)) and moves_vectors(vectors.half_split(plain).repartition(2))
+        stored = vectors.cluster(plain)
+        split = vectors.half_split(stored)
+        centred = vectors.center(split)
+        again = vectors.cluster(centred, "centred", spread=False)
+        pairs = vectors.sides(again.filter("split = 'eval'"))
+        mixed = vectors.combine(again, {"a": (9, True), "b": (9, False)})
+        assert not any(moves_vectors(x) for x in (split, centred, pairs, mixed))
+        assert broadcast == "10MB" or "sample_id" in dict(moved_columns(split))
+        want = vectors.sides(vectors.center(vectors.half_split(plain)).filter("split = 'eval'"))
+        order = ["variant", "layer", "sample_id"]
+        assert pairs.orderBy(*order).collect() == want.select(*pairs.columns).orderBy(*order).collect()
+        assert mixed.count() == 9 * 2 * 2 * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_lone_side_is_left_out(spark):
+    """As after a quarantine: the whole chain goes on with the samples that are left."""
+    rng = np.random.default_rng(3)
+    rows = [r.asDict() for r in make(spark, 12, ("original_pos_prem", "no_prem")).collect()]
+    for r in rows:
+        r["vec"] = (rng.normal(0, 1, 2) + [3.0 * (r["side"] == r["y"]), 0.0]).tolist()
+    rows[3]["vec"] = [NAN, 1.0]  # sample 1, positive
+    rows[8]["vec"] = None  # sample 4, negative
+    clean, bad = vectors.split_clean(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA))
+    assert bad.count() == 2
+    pairs = vectors.sides(clean).filter("variant = 'original_pos_prem'").collect()
+    assert sorted(r["sample_id"] for r in pairs) == [0, 2, 3, *range(5, 12)]
+    split = settle(vectors.center(vectors.half_split(clean)), "clean")
+    train = split.filter("split = 'train'")
+    probes = settle(fit.train(train, "lr_sklearn", KEYS), "probes")
+    params = score.calibration_params(
+        probes, train.withColumnRenamed("variant", "train_variant"), train.filter("variant = 'no_prem'")
+    )
+    scored = score.evaluate(split, settle(params, "params"))
+    assert {r["sample_id"] for r in scored.collect()} == set(range(6, 12))
+    assert all(0 <= r["prediction"] <= 1 for r in scored.collect())
+
+
+def test_partial_sums_of_many_tasks(spark, monkeypatch):
+    """2,000 partitions and few open groups: the merged moments and products are those of all rows."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(3, 1, (400, 5))
+    rows = [(i % 3 if i % 3 else None, x[i].tolist()) for i in range(400)]
+    states = spark.createDataFrame(rows, "k int, vec array<double>").repartition(2000)
+    monkeypatch.setattr(vectors, "PARTIAL_CELLS", 30)
+    stats = {r["k"]: r for r in vectors.vector_stats(states, ["k"], std=True).collect()}
+    products = {}
+    for r in vectors.gram(states.coalesce(100), ["k"], "vec", "vec").collect():
+        products.setdefault(r["k"], {})[r["i"]] = (r["n"], r["row"])
+    assert set(stats) == set(products) == {None, 1, 2}
+    for k in stats:
+        own = x[[i for i in range(400) if (i % 3 or None) == k]]
+        np.testing.assert_allclose(stats[k]["mean"], own.mean(0), rtol=1e-12)
+        np.testing.assert_allclose(stats[k]["std"], own.std(0, ddof=1), rtol=1e-12)
+        np.testing.assert_allclose([products[k][i][1] for i in range(5)], own.T @ own, rtol=1e-12)
+        assert {n for n, _ in products[k].values()} == {len(own)}
+
+
+def test_partial_sums_without_keys(spark):
+    states = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "vec array<double>").repartition(2)
+    assert vectors.vector_stats(states, []).first()["mean"] == [2.0, 3.0]
