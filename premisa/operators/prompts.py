@@ -264,6 +264,14 @@ def sample_pairs(
     ``ids`` name an example within its group. The order is found on ids and lengths alone; texts are
     only joined to what is kept.
     """
+    kept = sampled_ids(pairs, ids, keys, num_examples, max_len, seed)
+    return attach(pairs.drop("_n"), kept, [*keys, *ids], ids)
+
+
+def sampled_ids(
+    pairs: DataFrame, ids: list[str], keys: list[str], num_examples: int, max_len: int, seed: int
+) -> DataFrame:
+    """The kept ids of ``sample_pairs``, staged; only ids and lengths of the pairs are read."""
     narrow = settle(pairs.select(*keys, *ids, "_n"), "lengths")
     kept = sample_short(narrow, keys, ids, "_n", max_len, num_examples, seed).drop("_n")
     cap = length_cap(narrow, keys, ids, "_n", max_len, num_examples, seed)
@@ -271,7 +279,7 @@ def sample_pairs(
         kept = attach(kept, settle(cap, "length-caps"), keys, ids)
     else:
         kept = kept.withColumn("max_length", F.lit(cap.first()["max_length"]).cast("int"))
-    return attach(pairs.drop("_n"), settle(kept, "kept"), [*keys, *ids], ids)
+    return settle(kept, "kept")
 
 
 def load_pairs(
@@ -284,9 +292,14 @@ def load_pairs(
     max_len: int = 2048,
     seed: int = 0,
 ) -> DataFrame:
-    """Render, drop what is too long, keep a random ``num_examples`` per group, and pair up."""
-    pairs = rendered(examples, prompt_name, add_period)
-    return sample_pairs(pairs, ids, keys or [], num_examples, max_len, seed)
+    """Render, drop what is too long, keep a random ``num_examples`` per group, and pair up.
+
+    All examples are rendered once, for the guards and their lengths; after that only the kept ones.
+    """
+    by, pairs = keys or [], rendered(examples, prompt_name, add_period)
+    kept = sampled_ids(pairs, ids, by, num_examples, max_len, seed)
+    chosen = contrast_pairs(attach(examples, kept, [*by, *ids], ids), prompt_name)
+    return chosen.select(*(c for c in pairs.columns if c != "_n"), "position", "max_length")
 
 
 def sample_listing(pairs: DataFrame, id_col: str, rows: int = 10) -> DataFrame:

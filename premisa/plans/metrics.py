@@ -6,13 +6,16 @@ r = random letters, s = shuffled premise (r and s asserted or negated), pe = o -
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from premisa.functions.exprs import above_half, clip_zero, safe_div
 from premisa.operators.ranking import order_statistics
 from premisa.sources.catalog import VARIANTS
-from premisa.sources.staging import attach, settle
+from premisa.sources.staging import BROADCAST_BYTES, attach, settle, table_bytes
 
 RUN = ["dataset", "model", "layer", "method"]
 GROUP = [*RUN, "subgroup"]
@@ -41,16 +44,28 @@ def with_subgroups(predictions: DataFrame) -> DataFrame:
     """Tag each prediction with its subgroups: by training set, and ``same`` if trained on itself.
 
     A probe has a ``same`` subgroup only with more than two runs, i.e. evaluated variants. Counting
-    them takes a pass over the predictions' keys; it is done while the plan is built.
+    them takes a pass over the predictions' keys; it is done while the plan is built. Only a row scored on
+    its own training set has a key to look up, and its subgroups are one of a few constant lists.
     """
-    named = F.lit(None).cast("string")
-    for train, name in SUBGROUPS.items():
-        named = F.when(F.col("train_variant") == train, name).otherwise(named)
+
+    def names(*more: str) -> Column:
+        found = F.lit(list(more)).cast("array<string>")
+        for train, name in SUBGROUPS.items():
+            found = F.when(F.col("train_variant") == train, F.lit([name, *more])).otherwise(found)
+        return found
+
     runs = settle(self_trained(predictions), "self-trained")
-    flagged = attach(predictions, runs, RUN, ["sample_id"], "left")
-    same = F.col("_own").isNotNull() & (F.col("train_variant") == F.col("variant"))
-    found = F.array_compact(F.array(named, F.when(same, F.lit("same"))))
-    return flagged.withColumn("subgroup", F.explode(found)).drop("_own")
+    if table_bytes(runs) <= BROADCAST_BYTES:
+        probes = runs.select(F.xxhash64(*RUN).alias("_run"), *(F.col(k).alias(f"_{k}") for k in RUN), "_own")
+        own = F.when(F.col("train_variant") == F.col("variant"), F.xxhash64(*RUN))
+        met = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in RUN), own == F.col("_run"))
+        flagged = predictions.join(F.broadcast(probes), met, "left")
+        same = F.col("_own").isNotNull()
+    else:
+        flagged = attach(predictions, runs, RUN, ["sample_id"], "left")
+        same = F.col("_own").isNotNull() & (F.col("train_variant") == F.col("variant"))
+    listed = F.when(same, names("same")).otherwise(names())
+    return flagged.select(*predictions.columns, F.explode(listed).alias("subgroup"))
 
 
 def variant_pivot(predictions: DataFrame, keys: list[str] = GROUP) -> DataFrame:
