@@ -268,7 +268,10 @@ def m8(spark, sf):
     "mm",
 )
 def m10(spark, sf):
-    """The coefficients are at least one, and the objective falls in none of the allowed moves."""
+    """The coefficients are at least one, and the objective falls in none of the allowed moves.
+
+    The objective is built anew here, from sums of products of the rows and their eigenvectors.
+    """
     states = _train_states(spark, sf)
     pairs = vectors.sides(states).withColumn("_d", minus("x1", "x0"))
     probes = fit.train(states, "ccs_linear", RUN).withColumnRenamed("train_variant", "variant")
@@ -285,7 +288,14 @@ def m10(spark, sf):
     def judge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
         m0, m1 = (np.stack(group[c].to_list()) for c in ("r0", "r1"))
-        h, v = fit.consistency_form(m0, m1)
+        square = m1 - m0  # the products of x1 - x0 with itself
+        values, v = np.linalg.eigh((square + square.T) / 2)
+        v = v[:, values > values.max() * (len(values) * np.finfo(np.float32).eps) ** 2]
+        one, other = ((v.T @ m @ v) / np.sqrt((v.T @ square @ v).diagonal())[:, None] for m in (m1, m0))
+        lengths = np.sqrt((one**2).sum(1)) + np.sqrt((other**2).sum(1))
+        angle = (one * other).sum(1) / (np.sqrt((one**2).sum(1)) * np.sqrt((other**2).sum(1)))
+        form = (one + other) * (lengths ** (-5.0 * angle))[:, None]
+        h = form.T @ form
         direction = np.asarray(group["direction"].iloc[0])
         z = direction @ v
         turn = np.sign(z)  # a basis vector may come out turned round

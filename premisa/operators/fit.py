@@ -13,6 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,13 @@ from pyspark.sql import types as T
 
 from premisa.functions.exprs import minus, order_key
 from premisa.operators.ranking import hash_rank
-from premisa.operators.vectors import class_covariance, gram, mean_difference, sides
+from premisa.operators.vectors import class_centred, mean_difference, sides, triangular_factor
 from premisa.sources.staging import attach, settle
 
 TASK_CELLS = 8_000_000  # numbers of one side that a task may hold: 64 MB
 CHUNK_CELLS = 65_536  # numbers of a sum that travel in one row
 WAVE_CELLS = 4_000_000  # parameters of large groups that are fitted at the same time
+SMALL_EIGENVALUE = 1e-3  # smaller ones of the class covariance are not inverted
 
 Sums = dict[str, np.ndarray]
 
@@ -160,9 +162,12 @@ class Reflection(GradientMethod):
 
 
 class BalancedLogistic(Method):
-    """Newton's method for L2-regularised logistic regression on x0 - x1, classes weighed alike.
+    """L2-regularised logistic regression on x0 - x1, classes weighed alike: Newton steps by conjugate gradients.
 
-    Objective: |w|²/2 + C · sum of weighted losses, weight n / (2 · class size), no intercept.
+    Objective: |w|²/2 + C · sum of weighted losses, weight n / (2 · class size), no intercept. A pass over the
+    rows gives the loss and gradient at ``w`` and the Hessian's product with ``v``, so what is summed is linear
+    in the width. A Newton step takes a pass for the gradient and one per conjugate direction; the
+    residual allowed shrinks with the gradient, which keeps the last steps quadratic.
     """
 
     name, supervised = "lr_sklearn", True
@@ -171,10 +176,10 @@ class BalancedLogistic(Method):
         self.balanced, self.c, self.steps, self.tol = balanced, c, steps, tol
 
     def cells(self, d):
-        return 2 * d * (d + 1)
+        return 4 * d
 
     def start(self, d, anchor, n):
-        return {"w": np.zeros((1, d)), "t": 0, "done": False}
+        return {"w": np.zeros((2, d)), "t": 0, "newton": 0, "done": False}
 
     def totals(self, w, x0, x1, y):
         x = x0 - x1
@@ -186,27 +191,57 @@ class BalancedLogistic(Method):
             out[f"n{k}"] = np.array([len(part)])
             out[f"l{k}"] = np.array([(np.logaddexp(0, z) - k * z).sum()])
             out[f"g{k}"] = (p - k) @ part
-            out[f"h{k}"] = ((part * (p * (1 - p))[:, None]).T @ part).ravel()
+            out[f"h{k}"] = (p * (1 - p) * (part @ w[1])) @ part
         return out
 
     def step(self, state, sums):
-        w = state["w"][0]
+        w, v = state["w"]
         n0, n1 = sums["n0"][0], sums["n1"][0]
+        weights = [1.0, 1.0]
         if self.balanced:
             weights = [(n0 + n1) / (2 * max(n0, 1)), (n0 + n1) / (2 * max(n1, 1))]
-        else:
-            weights = [1.0, 1.0]
         weights = [self.c * x for x in weights]
+        if "residual" in state:
+            curved = v + sum(weights[k] * sums[f"h{k}"] for k in (0, 1))
+            return self._conjugate(state, w, v, curved)
         loss = w @ w / 2 + sum(weights[k] * sums[f"l{k}"][0] for k in (0, 1))
         g = w + sum(weights[k] * sums[f"g{k}"] for k in (0, 1))
-        h = sum(weights[k] * sums[f"h{k}"].reshape(len(w), len(w)) for k in (0, 1))
-        move = np.linalg.solve(h + np.eye(len(w)), g)
         if "loss" in state and loss > state["loss"] + 1e-12 * abs(loss):  # overshoot: go half way
-            return {**state, "w": (state["w"] + state["best"]) / 2, "t": state["t"] + 1,
-                    "done": state["t"] >= self.steps}
+            half = np.stack([(w + state["best"]) / 2, v])
+            return self._next({**state, "w": half})
+        size = float(g @ g)
+        state = {**state, "loss": loss, "best": w}
+        if size == 0:
+            return {**state, "t": state["t"] + 1, "done": True, "converged": True}
+        return {
+            **state,
+            "w": np.stack([w, -g]),
+            "move": np.zeros_like(w),
+            "residual": -g,
+            "size": size,
+            "enough": size * min(0.01, size) ** 2,
+            "left": 2 * len(w) + 10,
+            "t": state["t"] + 1,
+        }
+
+    def _conjugate(self, state, w, v, curved):
+        """One conjugate direction; the Newton step is made when the residual is small enough."""
+        rate = state["size"] / float(v @ curved)
+        move = state["move"] + rate * v
+        residual = state["residual"] - rate * curved
+        size = float(residual @ residual)
+        if size > state["enough"] and state["left"] > 1 and size > 1e-30 * float(move @ move):
+            more = residual + size / state["size"] * v
+            found = {"move": move, "residual": residual, "size": size, "left": state["left"] - 1}
+            return {**state, **found, "w": np.stack([w, more]), "t": state["t"] + 1}
+        rest = {k: x for k, x in state.items() if k not in ("residual", "move", "size")}
         small = bool(np.abs(move).max() < self.tol)
-        return {"w": (w - move)[None], "best": w[None], "loss": loss, "t": state["t"] + 1,
-                "done": small or state["t"] >= self.steps, "converged": small}
+        return self._next({**rest, "w": np.stack([w + move, v]), "converged": small})
+
+    def _next(self, state):
+        newton = state["newton"] + 1
+        done = state.get("converged", False) or newton > self.steps
+        return {**state, "newton": newton, "t": state["t"] + 1, "done": done}
 
     def result(self, state):
         return [(0, state["w"][0], float(state["loss"]), state.get("converged", False))]
@@ -440,69 +475,68 @@ def fit(states: DataFrame, keys: list[str], method: str, **params) -> DataFrame:
 
 
 def fit_mass_mean(states: DataFrame, keys: list[str], iid: bool = False) -> DataFrame:
-    """Mean difference; with ``iid`` tilted by the pseudo-inverse of the class covariance."""
+    """Mean difference; with ``iid`` tilted by the pseudo-inverse of the class covariance.
+
+    The covariance is RᵀR / (n - 1) of the centred vectors' triangular factor, so its eigenvectors and the roots
+    of its eigenvalues are R's singular vectors and values; no covariance is formed.
+    """
     difference = mean_difference(states, keys).select(*keys, "direction")
     if not iid:
         return difference
-    cov = class_covariance(states, keys)
-    schema = T.StructType(
-        [cov.schema[k] for k in keys]
-        + [T.StructField("direction", T.ArrayType(T.DoubleType()))]
-    )
+    listed = T.ArrayType(T.DoubleType())
+    heads = [states.schema[k] for k in keys]
+    factor = T.StructType([*heads, T.StructField("values", listed), T.StructField("basis", listed)])
+
+    def spectrum(n: int, r: np.ndarray) -> list[pa.Array]:
+        _, s, v = np.linalg.svd(r, full_matrices=False)
+        values = s * s / max(n - 1, 1)
+        kept = values > SMALL_EIGENVALUE
+        return [pa.array([x], pa.list_(pa.float64())) for x in (values[kept], v[kept].ravel())]
 
-    def tilt(key: tuple, matrix: pd.DataFrame, mean: pd.DataFrame) -> pd.DataFrame:
-        if not len(mean) or not len(matrix):
+    spectra = triangular_factor(class_centred(states, keys), keys, "vec", spectrum, factor)
+    schema = T.StructType([*heads, T.StructField("direction", listed)])
+
+    def tilt(key: tuple, found: pd.DataFrame, mean: pd.DataFrame) -> pd.DataFrame:
+        if not len(mean) or not len(found):
             return pd.DataFrame(columns=[*keys, "direction"])
-        sigma = np.stack(matrix.sort_values("i")["row"].to_list())
-        values, vectors = np.linalg.eigh((sigma + sigma.T) / 2)
-        kept = np.abs(values) > 1e-3
-        inverse = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
+        values, m = np.asarray(found["values"].iloc[0]), np.asarray(mean["direction"].iloc[0])
+        basis = np.asarray(found["basis"].iloc[0]).reshape(len(values), len(m))
         out = mean[keys].head(1).copy()
-        out["direction"] = [inverse @ np.asarray(mean["direction"].iloc[0])]
+        out["direction"] = [((basis @ m) / values) @ basis]
         return out
 
-    return cov.groupBy(*keys).cogroup(difference.groupBy(*keys)).applyInPandas(tilt, schema)
+    return spectra.groupBy(*keys).cogroup(difference.groupBy(*keys)).applyInPandas(tilt, schema)
 
 
 def fit_ccs_linear(states: DataFrame, keys: list[str], priority: float = 5.0) -> DataFrame:
-    """Linearised contrast consistency from two d x d products, never an n x n factor.
+    """Linearised contrast consistency from one triangular factor, never an n x n one.
 
-    With D = x1 - x0 = U S Vᵀ:  Uᵀ M V = S⁻¹ Vᵀ (Dᵀ M) V for M = x0 and x1.
+    With the factor of the rows (D, x0), D = x1 - x0: its upper left block has D's singular values and right
+    vectors, and its upper right block is the projection of x0 on D's column space.
     """
-    pairs = sides(states).withColumn("_d", minus("x1", "x0"))
-    products = gram(pairs, keys, "_d", "x0").withColumnRenamed("row", "r0").join(
-        gram(pairs, keys, "_d", "x1").select(*keys, "i", F.col("row").alias("r1")), [*keys, "i"]
-    )
-    schema = T.StructType(
-        [pairs.schema[k] for k in keys]
-        + [T.StructField("direction", T.ArrayType(T.DoubleType()))]
-        + [T.StructField("converged", T.BooleanType())]
-    )
+    rows = sides(states).select(*keys, F.concat(minus("x1", "x0"), "x0").alias("_both"))
+    schema = T.StructType([rows.schema[k] for k in keys])
+    schema = schema.add("direction", T.ArrayType(T.DoubleType())).add("converged", T.BooleanType())
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("i")
-        h, v = consistency_form(np.stack(group["r0"].to_list()), np.stack(group["r1"].to_list()), priority)
-        out = group[keys].head(1).copy()
+    def solve(n: int, r: np.ndarray) -> list[pa.Array]:
+        h, v = consistency_form(r, priority)
         z, converged = _smallest_above_one(h)
-        out["direction"] = [z @ v.T]
-        out["converged"] = [converged]
-        return out
+        return [pa.array([z @ v.T], pa.list_(pa.float64())), pa.array([converged])]
 
-    return products.groupBy(*keys).applyInPandas(solve, schema)
-
-
-def consistency_form(
-    m0: np.ndarray, m1: np.ndarray, priority: float = 5.0
-) -> tuple[np.ndarray, np.ndarray]:
-    """The quadratic form over the coefficients of a direction, and the basis they refer to."""
-    square = m1 - m0
-    values, vectors = np.linalg.eigh((square + square.T) / 2)
-    order = np.argsort(values)[::-1]
-    s = np.sqrt(np.clip(values[order], 0, None))
-    rank = int((s >= s.max() * len(s) * np.finfo(np.float32).eps).sum())
-    v, inverse = vectors[:, order[:rank]], 1.0 / s[:rank]
-    a = inverse[:, None] * (v.T @ m1 @ v)
-    b = inverse[:, None] * (v.T @ m0 @ v)
+    return triangular_factor(rows, keys, "_both", solve, schema)
+
+
+def consistency_form(r: np.ndarray, priority: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """The quadratic form over the coefficients of a direction, and the basis they refer to.
+
+    ``r`` has the rows (D, x0), or those of their triangular factor.
+    """
+    d = r.shape[1] // 2
+    u, s, vt = np.linalg.svd(r[:, :d], full_matrices=False)
+    kept = s >= s.max() * d * np.finfo(np.float32).eps
+    u, v = u[:, kept], vt[kept].T
+    b = u.T @ r[:, d:] @ v
+    a = b + u.T @ r[:, :d] @ v
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     closeness = (a * b).sum(1) / (na * nb)
     c = (a + b) / ((na + nb) ** (priority * closeness))[:, None]

@@ -435,14 +435,102 @@ def gram(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     return merge_partials(parts, [*keys, "i"], ["row"], add, line, kind)
 
 
-def class_covariance(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Pooled covariance (n-1) of the true and false vectors, each centred on its class mean."""
+def triangular_factor(
+    rows: DataFrame,
+    keys: list[str],
+    vector: str,
+    finish: Callable[[int, np.ndarray], list[pa.Array]],
+    kind: T.StructType,
+) -> DataFrame:
+    """One row per group from the triangular factor R of the matrix of its vectors: QR of a tall matrix.
+
+    A task reduces the rows of a group to its own factor, at most ``width`` rows, as soon as it holds twice as
+    many. Factors are rows again, so the same step merges them, first those of a lot of tasks, then all.
+    A task holds ``PARTIAL_CELLS`` numbers or the rows of one factor twice. RᵀR is the Gram matrix, but the small
+    singular values of R keep the digits that the Gram matrix loses. ``finish`` gets the number of vectors
+    and R and gives the columns of ``kind`` behind the keys. NULL vectors are left out.
+    """
+    heads = [rows.schema[k] for k in keys]
+    listed = T.ArrayType(T.DoubleType())
+    between = T.StructType([*heads, T.StructField("n", T.LongType()), T.StructField("row", listed)])
+    between_arrow, final = to_arrow_schema(between), to_arrow_schema(kind)
+
+    def reduced(blocks: list[np.ndarray]) -> np.ndarray:
+        whole = np.concatenate(blocks)
+        return np.linalg.qr(whole, mode="r") if len(whole) > whole.shape[1] else whole
+
+    def read(held: dict[tuple, list], batch: pa.RecordBatch) -> tuple | None:
+        """Adds a batch's rows and returns the key of its last one."""
+        last = None
+        counts = batch.column("n").to_numpy()
+        for key, at in _groups(batch, keys):
+            block = _matrix(batch.column("row").take(pa.array(at)))
+            state = held.setdefault(key, [0, [], 0])
+            if state[1] and state[1][0].shape[1] != block.shape[1]:
+                raise ValueError("vectors differ in length")
+            state[0] += int(counts[at].sum())
+            state[1].append(block)
+            state[2] += len(block)
+            if state[2] > 2 * block.shape[1]:
+                state[1] = [reduced(state[1])]
+                state[2] = len(state[1][0])
+            if at[-1] == batch.num_rows - 1:
+                last = key
+        return last
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            for key, (n, blocks, _) in held.items():
+                factor = reduced(blocks)
+                counts = np.zeros(len(factor), np.int64)
+                counts[0] = n  # the first row of a factor carries the number of vectors behind it
+                columns = [pa.array(counts), _lists(list(factor))]
+                yield _typed_rows([key] * len(factor), columns, between_arrow)
+            held.clear()
+
+        for batch in batches:
+            read(held, batch)
+            cells = sum(state[2] * state[1][0].shape[1] for state in held.values())
+            if len(held) > 1 and cells > PARTIAL_CELLS:
+                yield from drain()
+        yield from drain()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def close(but: tuple | None) -> Iterator[pa.RecordBatch]:
+            for key in [k for k in held if k != but]:
+                n, blocks, _ = held.pop(key)
+                yield _typed_rows([key], finish(n, reduced(blocks)), final)
+
+        for batch in batches:
+            last = read(held, batch)
+            yield from close(last)
+        yield from close(None)
+
+    given = rows.filter(F.col(vector).isNotNull())
+    one = F.lit(1).cast("bigint")
+    given = given.select(*keys, one.alias("n"), F.col(vector).cast(listed).alias("row"))
+    numbered = given.mapInArrow(partial, between).withColumn(
+        "_lot", F.pmod(F.spark_partition_id(), F.lit(LOTS))
+    )
+    lots = numbered.repartition(*keys, "_lot").drop("_lot").mapInArrow(partial, between)
+    return lots.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(whole, kind)
+
+
+def class_centred(states: DataFrame, keys: list[str]) -> DataFrame:
+    """True and false vectors, each less the mean of its class."""
     tagged = states.filter("y is not null").withColumn("_true", F.col("side") == F.col("y"))
     means = settle(vector_stats(tagged, [*keys, "_true"]), "class-means")
-    centred = attach(tagged, means, [*keys, "_true"], ["sample_id"]).withColumn(
-        "vec", minus("vec", "mean")
-    )
-    matrix = gram(centred, keys, "vec", "vec")
+    joined = in_waves(tagged, means, [*keys, "_true"], keys)
+    return joined.withColumn("vec", minus("vec", "mean")).drop("mean")
+
+
+def class_covariance(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Pooled covariance (n-1) of the true and false vectors, each centred on its class mean."""
+    matrix = gram(class_centred(states, keys), keys, "vec", "vec")
     return matrix.withColumn(
         "row", F.transform("row", lambda x: x / (F.col("n") - 1).cast("double"))
     )
@@ -451,8 +539,8 @@ def class_covariance(states: DataFrame, keys: list[str]) -> DataFrame:
 def matrix_ranks(states: DataFrame, keys: list[str]) -> DataFrame:
     """Numerical rank of the neg, pos, neg+pos and neg-pos matrices of each group.
 
-    The rank is read off the eigenvalues of the d x d Gram matrix, whose size depends on the
-    width of the vectors only. Tolerance: largest singular value x max(n, d) x 32-bit epsilon.
+    It is the rank of the triangular factor, from its singular values as for the matrix itself.
+    Tolerance: largest singular value x max(n, d) x 32-bit epsilon.
     """
     pairs = sides(states)
     forms = F.array(
@@ -465,16 +553,12 @@ def matrix_ranks(states: DataFrame, keys: list[str]) -> DataFrame:
     by = [*keys, "matrix"]
     schema = T.StructType([rows.schema[k] for k in by] + [T.StructField("rank", T.IntegerType())])
 
-    def rank(group: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(group.sort_values("i")["row"].to_list())
-        values = np.sqrt(np.clip(np.linalg.eigvalsh(matrix), 0, None))
-        n = int(group["n"].iloc[0])
-        floor = values.max() * max(n, len(matrix)) * np.finfo(np.float32).eps
-        out = group[by].head(1).copy()
-        out["rank"] = np.int32((values > floor).sum())
-        return out
+    def rank(n: int, factor: np.ndarray) -> list[pa.Array]:
+        values = np.linalg.svd(factor, compute_uv=False)
+        floor = values.max() * max(n, factor.shape[1]) * np.finfo(np.float32).eps
+        return [pa.array([int((values > floor).sum())], pa.int32())]
 
-    return gram(rows, by, "vec", "vec").groupBy(*by).applyInPandas(rank, schema)
+    return triangular_factor(rows, by, "vec", rank, schema)
 
 
 # --- preparation ---------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Properties of the fits, and agreement of the in-task and the spread mode."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from premisa.operators import fit, score, vectors
 from premisa.sources.staging import settle
@@ -283,3 +285,67 @@ def test_constant_scores_have_no_finite_scale(spark):
 def test_one_score_has_no_scale(spark):
     df = spark.createDataFrame([("k", 0.6)], "k string, p double")
     assert score.logit_scale(df, ["k"]).first()["scale"] is None
+
+
+def test_ranks_of_ill_conditioned_rows(spark):
+    """Singular values over eight orders of magnitude: as numpy finds them, where a Gram matrix fails."""
+    rng = np.random.default_rng(3)
+    u, _ = np.linalg.qr(rng.normal(size=(300, 12)))
+    v, _ = np.linalg.qr(rng.normal(size=(12, 12)))
+    x = (u * np.logspace(0, -8, 12)) @ v.T
+    rows = [(i % 2 if i % 2 else None, r.tolist()) for i, r in enumerate(x)] + [(1, None)]
+    df = spark.createDataFrame(rows, "k int, vec array<double>").repartition(9)
+    kind = T.StructType.fromDDL("k int, n bigint, s array<double>")
+
+    def values(n, factor):
+        s = np.linalg.svd(factor, compute_uv=False)
+        return [pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64()))]
+
+    got = {r["k"]: r for r in vectors.triangular_factor(df, ["k"], "vec", values, kind).collect()}
+    assert set(got) == {None, 1} and got[1]["n"] == got[None]["n"] == 150
+    for k, own in ((None, x[::2]), (1, x[1::2])):
+        np.testing.assert_allclose(got[k]["s"], np.linalg.svd(own, compute_uv=False), rtol=1e-6)
+
+
+def test_wide_triangular_factor(spark, monkeypatch):
+    """Width 2,048 with fewer rows than columns, and partial factors handed on early."""
+    monkeypatch.setattr(vectors, "PARTIAL_CELLS", 5_000)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 2048))
+    x[20:30] = x[:10] + x[10:20]
+    rows = [("ds", "m", f"v{i % 2}", 1, i // 4, i // 2 % 2, 0, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(
+        rows, "dataset string, model string, variant string, layer int, sample_id long, side int, "
+        "y int, vec array<double>"
+    ).repartition(6)
+    got = {(r["variant"], r["matrix"]): r["rank"] for r in vectors.matrix_ranks(df, KEYS).collect()}
+    for k in (0, 1):
+        neg, pos = x[k::2][::2], x[k::2][1::2]
+        for name, m in (("neg", neg), ("pos", pos), ("neg+pos", neg + pos), ("neg-pos", neg - pos)):
+            want = np.linalg.matrix_rank(m.astype(np.float32))
+            assert got[f"v{k}", name] == want, name
+
+
+def test_newton_sums_are_linear_in_the_width(spark):
+    """Width 512: same optimum in a task and spread, gradient zero, and a pass sums a few vectors."""
+    rng = np.random.default_rng(6)
+    d, n = 512, 60
+    x = rng.normal(size=(n, 2, d)) * rng.uniform(0.1, 3, d)
+    y = rng.integers(0, 2, n)
+    rows = [("ds", "m", "v", 1, i, s, int(y[i]), x[i, s].tolist()) for i in range(n) for s in (0, 1)]
+    df = spark.createDataFrame(
+        rows, "dataset string, model string, variant string, layer int, sample_id long, side int, "
+        "y int, vec array<double>"
+    )
+    method = fit.BalancedLogistic()
+    assert method.cells(d) == 4 * d
+    sums = method.totals(np.zeros((2, d)), x[:, 0], x[:, 1], y.astype(float))
+    assert sum(v.size for v in sums.values()) == 4 * d + 4
+    found = [fit.fit(df, KEYS, "lr_sklearn", task_cells=cells).first() for cells in (10**9, 1)]
+    delta = x[:, 0] - x[:, 1]
+    weights = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    for r in found:
+        w = np.array(r["direction"])
+        gradient = w + (weights * (1 / (1 + np.exp(-delta @ w)) - y)) @ delta
+        assert r["converged"] and np.abs(gradient).max() < 1e-7
+    np.testing.assert_allclose(found[0]["direction"], found[1]["direction"], rtol=0, atol=1e-9)
