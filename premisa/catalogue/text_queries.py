@@ -8,7 +8,7 @@ from premisa.catalogue.registry import query
 from premisa.functions.exprs import hash_number, order_key, strip
 from premisa.operators import nli, prompts, qa
 from premisa.operators.ranking import hash_rank
-from premisa.plans import datasets
+from premisa.plans import datasets, results
 from premisa.sources import fixtures as fx
 from premisa.sources import io
 from premisa.sources.catalog import DATASETS, TEMPLATES, VARIANTS, variant_catalog
@@ -92,6 +92,36 @@ def _choice_files(spark, sf) -> tuple[str, str]:
     return nested, flat
 
 
+@query(
+    "s1_bad_lines",
+    """SELECT CAST(pair_id AS VARCHAR) AS pair_id,
+  CASE pair_id % 5 WHEN 1 THEN 'cut' WHEN 2 THEN 'list' WHEN 3 THEN 'text' ELSE 'sound' END AS kind,
+  pair_id % 5 NOT IN (1, 2, 3) AS taken FROM nli""",
+    "nli",
+)
+def s1_bad(spark, sf):
+    """Lines cut short, lists and lines without braces are set aside; all others are read."""
+    path = new_path(spark, "nli-bad")
+    raw = fx.nli(spark, sf).withColumn("pairID", F.col("pair_id").cast("string"))
+    line = F.to_json(F.struct("pairID", "sentence1", "sentence2", "gold_label"))
+    own = F.concat(F.lit('"pairID":"'), "pairID", F.lit('"'))
+    turn = F.col("pair_id") % 5
+    broken = F.when(turn == 1, F.substring(line, F.lit(1), F.length(line) - 1))
+    broken = broken.when(turn == 2, F.concat(F.lit("["), line, F.lit("]"))).when(turn == 3, own)
+    raw.select(broken.otherwise(line).alias("value")).write.text(path)
+    taken = io.read_nli(spark, path, on_bad="skip").select(
+        F.col("pairID").alias("pair_id"), F.lit("sound").alias("kind"), F.lit(True).alias("taken")
+    )
+    text = F.col("line")
+    kind = F.when(F.startswith(text, F.lit("[")), "list").when(F.startswith(text, F.lit('"')), "text")
+    aside = io.bad_lines(spark, path, io.NLI_SCHEMA).select(
+        F.regexp_extract(text, '"pairID":"([0-9]+)"', 1).alias("pair_id"),
+        kind.otherwise("cut").alias("kind"),
+        F.lit(False).alias("taken"),
+    )
+    return taken.unionByName(aside)
+
+
 @query(
     "s3_choices_scan",
     """SELECT CAST(item_id AS VARCHAR) AS id, answer_key, label, text FROM chs""",
@@ -960,6 +990,34 @@ def u4(spark, sf):
     )
 
 
+@query(
+    "u4_merge_params",
+    """SELECT event_id, event_id % 3 AS n, list_sort(map_keys(m)) AS names, element_at(m, 'a')[1] AS a,
+  element_at(m, 'b')[1] AS b
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN MAP {'a': 'step'} WHEN 1 THEN MAP {'a': 'own', 'b': 'run'}
+  ELSE MAP {'a': 'own', 'b': 'own', 'c': 'own'} END AS m FROM events)""",
+)
+def u4_params(spark, sf):
+    """Up to three maps with common names; the last one that has a name decides."""
+    turn = F.col("event_id") % 3
+
+    def some(*pairs: str):
+        return F.create_map(*(F.lit(x) for x in pairs))
+
+    none = F.create_map().cast("map<string,string>")
+    run = F.when(turn >= 1, some("a", "run", "b", "run")).otherwise(none)
+    own = F.when(turn == 1, some("a", "own"))
+    own = own.when(turn == 2, some("a", "own", "b", "own", "c", "own")).otherwise(none)
+    merged = results.merge_params(some("a", "step"), run, own)
+    return fx.table(spark, sf, "events").select(
+        "event_id",
+        turn.alias("n"),
+        F.array_sort(F.map_keys(merged)).alias("names"),
+        merged["a"].alias("a"),
+        F.try_element_at(merged, F.lit("b")).alias("b"),
+    )
+
+
 @query(
     "p7_strip_documents",
     r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS stripped FROM documents",

@@ -253,6 +253,32 @@ def t8(spark, sf):
     return both.groupBy("part").agg(F.count("*").alias("rows"))
 
 
+_BAD_SIDE = "sample_id % 5 = 0 AND side = sample_id // 5 % 2"
+
+
+@query(
+    "t8_quarantine_then_pairs",
+    f"""SELECT variant, layer, count(*) FILTER (NOT bad) AS clean, count(*) FILTER (bad) AS quarantine,
+  count(DISTINCT sample_id) FILTER (whole) AS pairs
+FROM (SELECT variant, layer, sample_id, side, {_BAD_SIDE} AS bad,
+    sample_id % 5 <> 0 AND count(*) OVER (PARTITION BY variant, layer, sample_id) = 2 AS whole
+  FROM (SELECT DISTINCT variant, layer, sample_id, side FROM st)) GROUP BY ALL""",
+    "st",
+)
+def t8_pairs(spark, sf):
+    """A NaN, an unknown number or no vector at all in one side of every fifth sample: that side is set aside
+    and the sample makes no pair."""
+    hurt = F.col("sample_id") % 3
+    number = F.when(hurt == 0, F.lit(float("nan")))  # NULL otherwise
+    broken = F.when(hurt < 2, F.transform("vec", lambda x, i: F.when(i == 3, number).otherwise(x)))
+    vec = F.when(F.expr(_BAD_SIDE.replace("sample_id // 5", "sample_id div 5")), broken).otherwise(F.col("vec"))
+    clean, bad = vectors.split_clean(fx.states(spark, sf).withColumn("vec", vec))
+    keys = ["variant", "layer"]
+    counts = clean.groupBy(*keys).agg(F.count("*").alias("clean"))
+    counts = counts.join(bad.groupBy(*keys).agg(F.count("*").alias("quarantine")), keys)
+    return counts.join(vectors.sides(clean).groupBy(*keys).agg(F.count("*").alias("pairs")), keys)
+
+
 @query(
     "f19_nan_guard",
     """SELECT o_orderkey AS id, false AS before, o_totalprice > 400000 AS after FROM orders""",

@@ -60,8 +60,8 @@ def cluster(
 
 
 def split_clean(states: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, quarantined rows): a vector with a NaN is set aside."""
-    bad = F.coalesce(has_nan("vec"), F.lit(True))
+    """(clean rows, quarantined rows): a missing vector, or one with a NaN or a missing number, is set aside."""
+    bad = F.coalesce(has_nan("vec") | F.exists("vec", lambda x: x.isNull()), F.lit(True))
     return states.filter(~bad), states.filter(bad)
 
 

@@ -235,3 +235,71 @@ def test_tables_round_trip(spark, tmp_path):
     io.save_tables(tables, str(tmp_path / "db"))
     back = io.load_tables(spark, str(tmp_path / "db"), ["a", "b"])
     assert back["a"].count() == 5 and back["b"].columns == ["id", "x"]
+
+
+def test_a_bad_line_fails_with_its_file_or_is_set_aside(spark, tmp_path):
+    good = '{"pairID": "1", "sentence1": "a", "gold_label": "neutral", "more": 3}'
+    lines = [good, "", "  ", '{"pairID": "2", "sentence1": ', "[1]", '{"pairID": "3", "sentence2": {"x": 1}}', "null", "{}"]
+    (tmp_path / "a.jsonl").write_text("\n".join([good, good]))
+    (tmp_path / "b.jsonl").write_text("\n".join(lines))
+    paths = [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")]
+    assert io.read_nli(spark, paths[0]).count() == 2
+    assert io.bad_lines(spark, paths[0], io.NLI_SCHEMA).count() == 0
+    with pytest.raises(Exception, match="bad record in .*b.jsonl"):
+        io.read_json(spark, paths, io.NLI_SCHEMA).collect()
+    with pytest.raises(Exception, match="bad record in"):
+        io.read_json(spark, paths, io.NLI_SCHEMA).select("pairID").filter("pairID = '1'").collect()
+    kept = io.read_json(spark, paths, io.NLI_SCHEMA, on_bad="skip").collect()
+    # an empty object is a record, and an object where text is expected is text
+    assert sorted(str(r["pairID"]) for r in kept) == ["1", "1", "1", "3", "None"]
+    bad = io.bad_lines(spark, paths, io.NLI_SCHEMA).collect()
+    assert sorted(r["line"] for r in bad) == sorted([lines[3], lines[4], "null"]) and {r["file"][-7:] for r in bad} == {"b.jsonl"}
+    with pytest.raises(ValueError, match="fail or skip"):
+        io.read_nli(spark, paths[0], on_bad="drop")
+
+
+def test_bad_records_in_proofs_and_choices(spark, tmp_path):
+    for split in io.SPLITS:
+        (tmp_path / f"{split}.jsonl").write_text('{"id": "x", "meta": {"distractors": ["d"]}}\n')
+    assert io.read_proofs(spark, str(tmp_path)).count() == 3
+    (tmp_path / "dev.jsonl").write_text('{"id": "x", "meta": {"distractors": "d"}}\n')
+    with pytest.raises(Exception, match="bad record in .*dev.jsonl"):
+        io.read_proofs(spark, str(tmp_path)).collect()
+    assert io.read_proofs(spark, str(tmp_path), on_bad="skip").count() == 2
+    (tmp_path / "c.jsonl").write_text('{"id": "x", "question": {"choices": [{"label": "A", "text": "t"}]}}\n{"id"\n')
+    with pytest.raises(Exception, match="bad record in .*c.jsonl"):
+        io.read_choices(spark, [str(tmp_path / "c.jsonl")]).collect()
+    assert io.read_choices(spark, [str(tmp_path / "c.jsonl")], on_bad="skip").count() == 1
+
+
+def test_csv_rows_with_too_few_or_too_many_values(spark, tmp_path):
+    head = "questionID,originalQuestionID,totalPossiblePoint,AnswerKey,isMultipleChoiceQuestion,includesDiagram,question"
+    good = 'q1,1,1,A,1,0,"two\nlines, ""quoted"""'
+    path = tmp_path / "c.csv"
+    path.write_text("\n".join([head, good, "q2,2,1"]) + "\n")
+    with pytest.raises(Exception, match="bad record in .*c.csv: q2,2,1"):
+        io.read_choices_csv(spark, [str(path)]).count()
+    kept = io.read_choices_csv(spark, [str(path)], on_bad="skip").collect()
+    assert [r["question"] for r in kept] == ['two\nlines, "quoted"']
+
+
+def test_a_broken_save_is_refused_and_replaced(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    good = spark.range(5).withColumnRenamed("id", "a")
+    broken = spark.range(100).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("killed")).cast("long")).alias("b"))
+    with pytest.raises(Exception, match="killed"):
+        io.save_tables({"good": good, "broken": broken}, folder)
+    with pytest.raises(FileNotFoundError, match="not written to its end"):
+        io.load_tables(spark, folder, ["good"])
+    io.save_tables({"good": good, "broken": spark.range(3)}, folder)
+    back = io.load_tables(spark, folder, ["good", "broken"])
+    assert back["good"].count() == 5 and back["broken"].count() == 3
+    with pytest.raises(FileExistsError):
+        io.save_tables({"good": good}, folder)
+    with pytest.raises(KeyError):
+        io.load_tables(spark, folder, ["other"])
+    good.write.mode("append").parquet(f"{folder}/good")
+    with pytest.raises(ValueError, match="manifest says 5"):
+        io.load_tables(spark, folder, ["good"])
+    with pytest.raises(ValueError, match="no table to save"):
+        io.save_tables({}, folder)
