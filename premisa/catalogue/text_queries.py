@@ -992,8 +992,7 @@ def u4(spark, sf):
 
 @query(
     "u4_merge_params",
-    """SELECT event_id, event_id % 3 AS n, list_sort(map_keys(m)) AS names, element_at(m, 'a')[1] AS a,
-  element_at(m, 'b')[1] AS b
+    """SELECT event_id, event_id % 3 AS n, array_to_string(list_sort(map_keys(m)), ',') AS names, m['a'] AS a, m['b'] AS b
 FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN MAP {'a': 'step'} WHEN 1 THEN MAP {'a': 'own', 'b': 'run'}
   ELSE MAP {'a': 'own', 'b': 'own', 'c': 'own'} END AS m FROM events)""",
 )
@@ -1012,7 +1011,7 @@ def u4_params(spark, sf):
     return fx.table(spark, sf, "events").select(
         "event_id",
         turn.alias("n"),
-        F.array_sort(F.map_keys(merged)).alias("names"),
+        F.array_join(F.array_sort(F.map_keys(merged)), ",").alias("names"),
         merged["a"].alias("a"),
         F.try_element_at(merged, F.lit("b")).alias("b"),
     )
