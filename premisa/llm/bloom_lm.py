@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from premisa.llm.shingles import STEP, mixed
+from premisa.llm.common import opened, ship
 from premisa.sources.staging import settle
 
 END = b"\n"  # no word holds a line feed
@@ -393,7 +394,7 @@ def score(
     A NULL or empty text is its end alone. Repeated rows are scored each, a NULL id stays NULL.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(replace(model, below=None))
+    sent = ship(docs.sparkSession, replace(model, below=None))
     unit = np.log10(model.total + model.types + 1)
     pairs = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
     open_type = pa.list_(
@@ -404,7 +405,7 @@ def score(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = opened(sent)
         row = TaskContext.get().partitionId() << 40
 
         def empty() -> tuple:

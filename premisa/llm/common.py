@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import pickle
 import re
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +65,29 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def ship(spark: SparkSession, thing: Any) -> Broadcast:
+    """A broadcast of something that holds classes of this package; ``opened`` reads it in a task.
+
+    Its classes travel with it, as a plain broadcast's do not: executors need no copy of the package.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def opened(shipped: Broadcast) -> Any:
+    return pickle.loads(shipped.value)
+
+
+def per_worker(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once per Python worker and key and kept beyond the task, one of each kind.
+
+    Functions that travel to a task have globals of their own there, so it is kept as a module.
+    """
+    kept = sys.modules.setdefault("_premisa_kept", ModuleType("_premisa_kept")).__dict__
+    if kind not in kept or kept[kind][0] != key:
+        kept[kind] = (key, make())
+    return kept[kind][1]
+
+
 def finite_entries(vector: Column) -> Column:
     """Is every entry of the list a finite number?"""
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premisa.llm.common import tokenizer_file
+from premisa.llm.common import per_worker, tokenizer_file
 from premisa.sources.staging import settle
 
 LENGTH = 2048
@@ -82,10 +81,9 @@ class Encoder:
         return b"".join(found)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per Python worker, so that its words last over tasks."""
-    return Encoder(path)
+    return per_worker("encoder", path, lambda: Encoder(path))
 
 
 def cut(

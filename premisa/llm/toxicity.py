@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from premisa.llm.common import with_result
+from premisa.llm.common import opened, ship, with_result
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = ".,;:!?\"'()[]{}|<>*_-–—…«»¿¡"
@@ -72,7 +72,7 @@ def noisy_or(odds: list[float]) -> float:
     total = sum(
         math.exp(z) if z < -30 else (z if z > 30 else math.log1p(math.exp(z))) for z in odds
     )
-    return -math.expm1(-total)
+    return -math.expm1(-total) if odds else 0.0
 
 
 def fit(
@@ -202,7 +202,7 @@ def score(
     The model has a fixed size, so it is sent to the tasks. A NULL or empty text has no sentence and
     scores 0. Repeated rows are scored each; a column named like ``into`` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
     span = [("start", T.IntegerType()), ("end", T.IntegerType()), ("p", T.DoubleType())]
     sentence = T.StructType([T.StructField(*f) for f in span])
     kind = T.StructType(
@@ -216,7 +216,7 @@ def score(
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-        own = sent.value
+        own = opened(sent)
         weight = Weight(own.weights)
         bound = math.log(offending / (1 - offending))
         for batch in batches:

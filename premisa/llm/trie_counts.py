@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from premisa.llm.common import tokenizer_file, with_result
+from premisa.llm.common import per_worker, tokenizer_file, with_result
 
 MARK = "▁"
 TRIE_NODES = 400_000
@@ -128,10 +127,9 @@ class Counts(dict):
         return found
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> Counts:
     """One per Python worker, so that its words last over tasks."""
-    return Counts(Vocabulary.load(path))
+    return per_worker("counter", path, lambda: Counts(Vocabulary.load(path)))
 
 
 def token_counts(
