@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from premisa.functions.exprs import (
     INF,
@@ -25,10 +24,12 @@ from premisa.functions.exprs import (
 )
 from premisa.operators.ranking import order_statistics
 from premisa.operators.vectors import mean_difference, sides
-from premisa.sources.staging import BROADCAST_BYTES, attach, settle, table_bytes
+from premisa.sources.staging import BROADCAST_BYTES, attach, bytes_column, settle, table_bytes
 
 PLACE = ["dataset", "model", "layer"]
-PROBE = [*PLACE, "train_variant", "method", "seed"]
+NAMES = ["train_variant", "method", "seed"]
+PROBE = [*PLACE, *NAMES]
+BLOCK_ROWS = 4096  # pairs of a place that are scored together
 TO_ALL = ["original_pos_prem", "no_prem", "combined"]  # training sets scored on every variant
 
 
@@ -42,86 +43,130 @@ def pair_scores(
     probes: DataFrame,
     any_variant: bool = False,
     limit: int = BROADCAST_BYTES,
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Probability of every probe for every sample of the same dataset, model and layer.
 
     ``pairs`` holds both vectors of a sample in one row, so a score is row-local. ``probes`` is a
     staged table. Its directions are sent to the tasks as one matrix per dataset, model and layer,
     and a batch of rows is scored by two matrix products; the vectors are neither shuffled nor
-    repeated per probe. Directions beyond ``limit`` go in waves: each holds at most ``limit`` bytes
-    (one probe at least) and scores only the rows of its places.
+    repeated per probe. Directions beyond ``limit`` bytes are not sent: the rows of a place are dealt into
+    blocks of about ``block``, and its directions meet each block. So the vectors are read once, whatever
+    the number of probes, and a task holds a block and at most ``limit`` bytes of directions.
     """
     slim = probes.filter("direction is not null").select(
         *PROBE, "direction", F.greatest(norm("direction"), F.lit(NORM_FLOOR)).alias("_norm")
     )
+    kept = [c for c in pairs.columns if c not in ("x0", "x1")]
+    schema = T.StructType(
+        [pairs.schema[c] for c in kept]
+        + [slim.schema[k] for k in NAMES]
+        + [T.StructField("p", T.DoubleType())]
+    )
     if table_bytes(slim) <= limit:
-        return _scores_by_matrix(pairs, slim, any_variant)
-    # the sum runs over narrow rows of the probe catalogue, not over directions
-    before = Window.orderBy(*PROBE).rowsBetween(Window.unboundedPreceding, -1)
-    size = (F.size("direction") * 8 + 64).cast("bigint")
-    narrow = slim.select(*PROBE, size.alias("_size"))
-    wave = F.floor(F.coalesce(F.sum("_size").over(before), F.lit(0)) / max(limit, 1))
-    waves = settle(narrow.select(*PROBE, wave.alias("_wave")), "waves")
-    numbered = settle(attach(slim, waves, PROBE, PROBE), "probe-waves")
-    parts = []
-    for row in waves.select("_wave").distinct().orderBy("_wave").collect():
-        own = numbered.filter(F.col("_wave") == row["_wave"]).drop("_wave")
-        parts.append(_scores_by_matrix(pairs, own, any_variant))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _scores_by_matrix(pairs: DataFrame, slim: DataFrame, any_variant: bool) -> DataFrame:
+        return _scores_by_matrix(pairs, slim, kept, schema, any_variant)
+    return _scores_by_block(pairs, slim, kept, schema, any_variant, limit, block)
+
+
+def _scored(
+    rows: pa.RecordBatch | pa.Table,
+    theta: np.ndarray,
+    names: dict[str, pa.Array],
+    kept: list[str],
+    any_variant: bool,
+) -> list[pa.Array]:
+    """Columns of the result for rows of one place and the unit directions of that place."""
+
+    def probability(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-x))
+
+    x0, x1 = (matrix_of(rows.column(c)) for c in ("x0", "x1"))
+    p = (probability(x1 @ theta.T) + (1.0 - probability(x0 @ theta.T))) / 2.0
+    variant = np.array(rows.column("variant").to_pylist(), object)[:, None]
+    trained = np.array(names["train_variant"].to_pylist(), object)[None, :]
+    scored = np.isin(trained.astype(str), TO_ALL) | (trained == variant) | any_variant
+    row, probe = (pa.array(i) for i in np.nonzero(scored))
+    columns = [rows.column(c).take(row) for c in kept]
+    columns += [names[k].take(probe) for k in NAMES]
+    return [*columns, pa.array(p[scored])]
+
+
+def _scores_by_matrix(
+    pairs: DataFrame, slim: DataFrame, kept: list[str], schema: T.StructType, any_variant: bool
+) -> DataFrame:
     spark = pairs.sparkSession
     found: dict[tuple, list] = {}
     for r in slim.collect():
         found.setdefault(tuple(r[k] for k in PLACE), []).append(r)
+    kinds = {f.name: f.type for f in to_arrow_schema(slim.schema)}
     matrices = spark.sparkContext.broadcast(
         {
             place: (
                 np.array([r["direction"] for r in rows]) / np.array([[r["_norm"]] for r in rows]),
-                {k: [r[k] for r in rows] for k in ("train_variant", "method", "seed")},
+                {k: pa.array([r[k] for r in rows], kinds[k]) for k in NAMES},
             )
             for place, rows in found.items()
         }
     )
-    kept = [c for c in pairs.columns if c not in ("x0", "x1")]
-    schema = T.StructType(
-        [pairs.schema[c] for c in kept]
-        + [slim.schema[k] for k in ("train_variant", "method", "seed")]
-        + [T.StructField("p", T.DoubleType())]
-    )
-
-    def probability(x: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return 1.0 / (1.0 + np.exp(-x))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = pd.DataFrame({k: batch.column(k).to_pylist() for k in PLACE})
             for place, index in places.groupby(PLACE, sort=False).indices.items():
-                if place not in matrices.value:
-                    continue
-                theta, names = matrices.value[place]
-                rows = batch.take(pa.array(index))
-                x0, x1 = (matrix_of(rows.column(c)) for c in ("x0", "x1"))
-                p = (probability(x1 @ theta.T) + (1.0 - probability(x0 @ theta.T))) / 2.0
-                variant = np.array(rows.column("variant").to_pylist())[:, None]
-                trained = np.array(names["train_variant"])[None, :]
-                scored = np.isin(trained, TO_ALL) | (trained == variant) | any_variant
-                row, probe = np.nonzero(scored)
-                columns = [rows.column(c).take(pa.array(row)) for c in kept]
-                columns += [
-                    pa.array([names[k][j] for j in probe])
-                    for k in ("train_variant", "method", "seed")
-                ]
-                columns.append(pa.array(p[row, probe]))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                if place in matrices.value:
+                    rows = batch.take(pa.array(index))
+                    columns = _scored(rows, *matrices.value[place], kept, any_variant)
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return pairs.select(*kept, "x0", "x1").mapInArrow(score, schema)
 
 
-def matrix_of(column: pa.Array) -> np.ndarray:
+def _scores_by_block(
+    pairs: DataFrame,
+    slim: DataFrame,
+    kept: list[str],
+    schema: T.StructType,
+    any_variant: bool,
+    limit: int,
+    block: int,
+) -> DataFrame:
+    """Blocks of a place's rows meet lots of its directions, each of at most ``limit`` bytes."""
+    own = pairs.groupBy(*PLACE).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    size = F.ceil(bytes_column(slim) / max(limit, 1))
+    lots = slim.groupBy(*PLACE).agg(F.least(size, F.count("*")).cast("int").alias("_lots"))
+    places = settle(own.join(lots, PLACE), "places")
+
+    def dealt(df: DataFrame, name: str, count: str, by: list[str], other: str, copies: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(*by), F.col(count)).cast("int").alias(name)
+        copy = F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias(other)
+        return attach(df, places, PLACE, by).select(*df.columns, place, copy)
+
+    rows = dealt(pairs, "_block", "_blocks", ["variant", "sample_id"], "_lot", "_lots")
+    probes = dealt(slim, "_lot", "_lots", [*NAMES], "_block", "_blocks")
+    arrow = to_arrow_schema(schema)
+
+    def score(rows: pa.Table, probes: pa.Table) -> pa.Table:
+        if not (len(rows) and len(probes)):
+            return arrow.empty_table()
+        theta = matrix_of(probes.column("direction")) / probes.column("_norm").to_numpy()[:, None]
+        names = {k: probes.column(k) for k in NAMES}
+        return pa.table(_scored(rows, theta, names, kept, any_variant), schema=arrow)
+
+    by = [*PLACE, "_block", "_lot"]
+    columns = list(dict.fromkeys([*kept, *PLACE]))
+    return (
+        rows.select(*columns, "x0", "x1", "_block", "_lot")
+        .groupBy(*by)
+        .cogroup(probes.select(*PROBE, "direction", "_norm", "_block", "_lot").groupBy(*by))
+        .applyInArrow(score, schema)
+    )
+
+
+def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column as one matrix; all must have the same width."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
     width = len(column[0]) if len(column) else 0
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if flat.size != width * len(column):

@@ -1,8 +1,8 @@
 """Cosine similarity between probe directions.
 
-The table of all pairs is never formed: the four views below are its only readers, and each is an
-equi-join on the keys its pairs share. A direction is unique in (model, dataset, data_variant,
-layer, probe_method), so a pair group is bounded by the number of datasets, layers, methods or
+The table of all pairs is never formed: the four views below are its only readers, and each groups the
+directions by the keys its pairs share. A direction is unique in (model, dataset, data_variant,
+layer, probe_method), so a group is bounded by the number of datasets, layers, methods or
 variants, whatever the number of models and runs.
 """
 
@@ -10,12 +10,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from premisa.functions.exprs import dot, doubles, norm, safe_div, scaled
-from premisa.sources.staging import settle
+from premisa.functions.exprs import doubles, norm, scaled
+from premisa.operators.score import matrix_of
+from premisa.sources.staging import attach, settle
 
+BLOCK = 2048  # directions of a group that meet in one task
 DIMENSIONS = ["dataset", "data_variant", "layer", "probe_method"]
 KEY = ["model", *DIMENSIONS]
 
@@ -36,26 +42,52 @@ def signed_directions(probes: DataFrame) -> DataFrame:
     )
 
 
-def pairs(directions: DataFrame, shared: list[str], condition=None) -> DataFrame:
-    """Pairs of directions of one model that agree on ``shared`` and meet ``condition``."""
-    own = [k for k in DIMENSIONS if k not in shared]
+def pairs(
+    directions: DataFrame, shared: list[str], condition: Column | None = None, block: int = BLOCK
+) -> DataFrame:
+    """Pairs of directions of one model that agree on ``shared`` and meet ``condition``.
 
-    def side(number: int) -> DataFrame:
-        renamed = [F.col(k).alias(f"{k}{number}") for k in own]
-        return directions.select(
-            "model",
-            *shared,
-            *renamed,
-            F.col("direction").alias(f"_v{number}"),
-            F.col("length").alias(f"_l{number}"),
-        )
-
-    joined = side(1).join(side(2), ["model", *shared])
-    if condition is not None:
-        joined = joined.filter(condition)
-    similarity = safe_div(dot("_v1", "_v2"), F.col("_l1") * F.col("_l2"))
-    columns = [f"{k}{i}" for k in own for i in (1, 2)]
-    return joined.select("model", *shared, *columns, similarity.alias("similarity"))
+    The directions of a group meet in one task, and one matrix product gives the similarities of all their
+    pairs: no vector is repeated per pair. A group of more than ``block`` directions is dealt into blocks, and
+    each two blocks meet. Directions of different width are an error.
+    """
+    own = [k for k in DIMENSIONS if k not in shared]
+    group = ["model", *shared]
+    sizes = directions.groupBy(*group).agg(F.count("*").alias("_n"))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= block:
+        rows = directions.withColumn("_blocks", F.lit(1))
+    else:
+        rows = attach(directions, settle(sizes.select(*group, blocks.alias("_blocks")), "groups"), group, own)
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*own), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    names = [f"{k}{i}" for k in own for i in (1, 2)]
+    schema = T.StructType([directions.schema[k] for k in group])
+    for name in names:
+        schema = schema.add(name, directions.schema[name[:-1]].dataType)
+    schema = schema.add("similarity", T.DoubleType())
+    arrow = to_arrow_schema(schema)
+
+    def products(part: pa.Table) -> pa.Table:
+        first, second = part.column("_i")[0].as_py(), part.column("_j")[0].as_py()
+        at = part.column("_b").to_numpy()
+        x = matrix_of(pa.concat_arrays(part.column("direction").chunks))
+        length = part.column("length").to_numpy()
+        left, right = np.flatnonzero(at == first), np.flatnonzero(at == second)
+        out = []
+        for a, b in [(left, right)] if first == second else [(left, right), (right, left)]:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = (x[a] @ x[b].T) / np.outer(length[a], length[b])
+            sides = pa.array(np.repeat(a, len(b))), pa.array(np.tile(b, len(a)))
+            columns = [part.column(k).take(sides[0]) for k in group]
+            columns += [part.column(n[:-1]).take(sides[int(n[-1]) - 1]) for n in names]
+            out.append(pa.table([*columns, pa.array(found.ravel())], schema=arrow))
+        return pa.concat_tables(out)
+
+    needed = rows.select(*group, *own, "direction", "length", "_b", "_i", "_j")
+    found = needed.groupBy(*group, "_i", "_j").applyInArrow(products, schema)
+    return found if condition is None else found.filter(condition)
 
 
 def across_datasets(directions: DataFrame) -> DataFrame:

@@ -261,6 +261,27 @@ def test_scores_in_one_and_in_many_waves_agree(spark, any_variant):
         assert a[:3] == b[:3] and a["p"] == pytest.approx(b["p"], rel=1e-12)
 
 
+@pytest.mark.parametrize("limit", [0, 300, 700])
+def test_many_probes_meet_a_places_rows_in_one_scan(spark, limit):
+    """Blocks of few rows and lots of few probes, over two layers: every score once, one read of the vectors."""
+    states, _ = planted(spark, n=20, groups=("no_prem", "random_pos_prem"))
+    states = states.unionByName(states.withColumn("layer", F.col("layer") + 1))
+    probes = fit.train(states, "mass_mean", KEYS)
+    seeds = probes.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in range(4)))))
+    turned = F.transform("direction", lambda x, i: x + (F.col("seed") * i) % 3)
+    probes = settle(seeds.withColumn("direction", turned), "p")
+    pairs = settle(vectors.sides(states), "pairs")
+    key = ["layer", "train_variant", "seed", "variant", "sample_id"]
+    want = score.pair_scores(pairs, probes, True).select(*key, "p").orderBy(*key).collect()
+    found = score.pair_scores(pairs, probes, True, limit=limit, block=7)
+    got = found.select(*key, "p").orderBy(*key).collect()
+    assert len(want) == len(got) == 2 * 8 * 40
+    for a, b in zip(want, got):
+        assert a[:5] == b[:5] and a["p"] == pytest.approx(b["p"], rel=1e-12)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("x0#") and sum("FileScan" in line and "x0#" in line for line in text.split("\n")) == 1
+
+
 @pytest.mark.parametrize("limit", [1 << 25, 0])
 def test_vectors_of_another_width_fail(spark, limit):
     states, _ = planted(spark, n=20, groups=("no_prem",))

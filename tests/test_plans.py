@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +283,46 @@ def test_flagship_columns(spark, sf):
     final = QUERIES["x14_final_table"](spark, sf)
     assert final.columns[:6] == ["criterion", "dataset", "model", "method", "subgroup", "layer"]
     assert mq.BEST.split()[0] == "accuracy_pos_prem"
+
+
+@pytest.mark.parametrize("block", [1, 3, 2048])
+def test_similarity_by_matrix_products_in_blocks(spark, block):
+    """All four views as pair by pair, with a zero direction and groups of several blocks."""
+    rng = np.random.default_rng(2)
+    keys = [(m, d, v, layer, p) for m in "ab" for d in "xyz" for v in "uv" for layer in range(5) for p in "pq"]
+    rows = [(*k, 1 if i % 3 else -1, rng.normal(size=4).tolist()) for i, k in enumerate(keys)]
+    rows[5] = (*keys[5], 1, [0.0] * 4)
+    df = spark.createDataFrame(rows, "model string, dataset string, data_variant string, layer int, probe_method string, sign int, direction array<double>")
+    directions = compare.signed_directions(df)
+    vec = {r[:5]: np.array(r[6]) * r[5] for r in rows}
+    views = {
+        ("data_variant", "layer", "probe_method"): lambda a, b: a[1] != b[1],
+        ("dataset", "data_variant", "probe_method"): lambda a, b: True,
+        ("dataset", "data_variant", "layer"): lambda a, b: a[4] > b[4],
+    }
+    conditions = [F.col("dataset1") != F.col("dataset2"), None, F.col("probe_method1") > F.col("probe_method2")]
+    names = ["model", *compare.DIMENSIONS]
+    for (shared, chosen), condition in zip(views.items(), conditions):
+        got = compare.pairs(directions, list(shared), condition, block=block).collect()
+        want = {}
+        for a in keys:
+            for b in keys:
+                same = all(a[names.index(k)] == b[names.index(k)] for k in ("model", *shared))
+                if same and chosen(a, b):
+                    with np.errstate(invalid="ignore"):
+                        size = np.linalg.norm(vec[a]) * np.linalg.norm(vec[b])
+                        want[a, b] = vec[a] @ vec[b] / size if size else float("nan")
+        found = {}
+        for r in got:
+            side = [tuple(r[k] if k in ("model", *shared) else r[f"{k}{i}"] for k in names) for i in (1, 2)]
+            found[side[0], side[1]] = r["similarity"]
+        assert len(got) == len(found) and set(found) == set(want)
+        np.testing.assert_allclose([found[k] for k in want], list(want.values()), atol=1e-12)
+    assert plan(compare.across_layers(directions)).count("Join") == 0
+
+
+def test_similarity_rejects_widths_that_differ(spark):
+    rows = [("m", "d", "v", 1, "p", 1, [1.0, 0.0]), ("m", "d", "v", 2, "p", 1, [1.0])]
+    df = spark.createDataFrame(rows, "model string, dataset string, data_variant string, layer int, probe_method string, sign int, direction array<double>")
+    with pytest.raises(Exception, match="vectors differ in length"):
+        compare.across_layers(compare.signed_directions(df)).collect()
