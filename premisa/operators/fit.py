@@ -27,6 +27,7 @@ from premisa.sources.staging import attach, settle
 TASK_CELLS = 8_000_000  # numbers of one side that a task may hold: 64 MB
 CHUNK_CELLS = 65_536  # numbers of a sum that travel in one row
 WAVE_CELLS = 4_000_000  # parameters of large groups that are fitted at the same time
+PLANES = 8  # random planes whose signs sum up a group too large for linkage
 SMALL_EIGENVALUE = 1e-3  # smaller ones of the class covariance are not inverted
 
 Sums = dict[str, np.ndarray]
@@ -37,10 +38,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Method:
-    """What every iterative method has: seeds, a batch size (-1 = all rows), a start."""
+    """What every iterative method has: seeds, a batch size (-1 = all rows), a start.
+
+    A group of at most ``task_rows`` rows is fitted inside a task, however wide its vectors are.
+    """
 
     name = ""
     supervised = False
+    task_rows = 0
     seeds: tuple[int, ...] = (0,)
     batch_size = -1
 
@@ -247,6 +252,117 @@ class BalancedLogistic(Method):
         return [(0, state["w"][0], float(state["loss"]), state.get("converged", False))]
 
 
+class Agglomeration(Method):
+    """Two clusters of x1 - x0 by linkage on cosine distances; the direction is half their means' difference.
+
+    Merges nearest clusters until two are left: exactly, by nearest-neighbour chains, for a group of at most
+    ``exact`` rows, which always fits a task. A larger group is first summed up by the signs of its unit vectors
+    on ``PLANES`` fixed random planes, and the cells' means are merged instead of rows: one pass over the rows,
+    whose sums depend on the width only. The second cluster is the one without the first row in hash
+    order (without the fullest cell). A zero difference is at distance one from all others.
+    """
+
+    name = "unsupervised_mass_mean"
+    task_rows = 2048
+
+    def __init__(self, linkage: str = "complete", exact: int = 2048):
+        if linkage not in ("complete", "average", "single"):
+            raise ValueError("linkage is complete, average or single")
+        if exact < 2:
+            raise ValueError("exact is 2 or more")
+        self.linkage, self.exact = linkage, exact
+        self.task_rows = exact
+
+    def cells(self, d):
+        return 2**PLANES * (2 * d + 1)
+
+    def start(self, d, anchor, n):
+        planes = np.zeros((0, d))
+        if n > self.exact:
+            planes = np.random.default_rng(0).normal(size=(PLANES, d))
+        return {"w": planes, "t": 0, "done": False}
+
+    def totals(self, w, x0, x1, y):
+        delta = x1 - x0
+        length = np.linalg.norm(delta, axis=1, keepdims=True)
+        u = np.divide(delta, length, out=np.zeros_like(delta), where=length > 0)
+        if len(w):
+            place, cells = (u @ w.T > 0) @ (1 << np.arange(len(w))), 1 << len(w)
+        else:
+            place, cells = two_clusters(u, np.ones(len(u)), self.linkage).astype(int), 2
+        n = np.bincount(place, minlength=cells)
+        sums = {"n": n}
+        for name, rows in (("u", u), ("delta", delta)):
+            total = np.zeros((cells, rows.shape[1]))
+            np.add.at(total, place, rows)
+            sums[name] = total.ravel()
+        return sums
+
+    def step(self, state, sums):
+        n = sums["n"]
+        u, delta = (sums[k].reshape(len(n), -1) for k in ("u", "delta"))
+        met = np.flatnonzero(n)
+        u, delta, n = u[met], delta[met], n[met]
+        side = np.arange(len(n)).astype(bool)
+        if len(state["w"]):
+            order = np.argsort(-n, kind="stable")  # the fullest cell counts as the first
+            u, delta, n = u[order], delta[order], n[order]
+            length = np.linalg.norm(u, axis=1, keepdims=True)
+            units = np.divide(u, length, out=np.zeros_like(u), where=length > 0)
+            side = two_clusters(units, n, self.linkage)
+        halves = [~side, side] if side.any() else [~side, ~side]
+        means = [delta[h].sum(0) / n[h].sum() for h in halves]
+        # one minus the mean cosine to the own cluster's mean unit vector
+        loss = 1 - sum(np.linalg.norm(u[h].sum(0)) for h in halves[: 1 + side.any()]) / n.sum()
+        theta = (means[1] - means[0]) / 2
+        return {**state, "theta": theta, "loss": float(loss), "t": state["t"] + 1, "done": True}
+
+    def result(self, state):
+        return [(0, state["theta"], state["loss"], True)]
+
+
+def two_clusters(units: np.ndarray, sizes: np.ndarray, linkage: str) -> np.ndarray:
+    """Which of the unit vectors are not in the cluster of the first, when two clusters are left.
+
+    Follows chains of nearest neighbours; two clusters that are nearest to each other are merged, which for
+    these linkages gives the same tree as always merging the nearest two. Ties go to the earlier row.
+    """
+    n = len(units)
+    if n < 2:
+        return np.zeros(n, bool)
+    far = 1 - units @ units.T
+    np.fill_diagonal(far, np.inf)
+    sizes = sizes.astype(float).copy()
+    owner = np.arange(n)
+    alive = np.ones(n, bool)
+    chain: list[int] = []
+    for _ in range(n - 2):
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            x = chain[-1]
+            y = int(np.argmin(far[x]))
+            if len(chain) > 1 and far[x, chain[-2]] <= far[x, y]:
+                y = chain[-2]
+                break
+            chain.append(y)
+        del chain[-2:]
+        a, b = min(x, y), max(x, y)
+        if linkage == "complete":
+            new = np.maximum(far[a], far[b])
+        elif linkage == "single":
+            new = np.minimum(far[a], far[b])
+        else:
+            new = (sizes[a] * far[a] + sizes[b] * far[b]) / (sizes[a] + sizes[b])
+        alive[b] = False
+        new[~alive] = new[a] = np.inf
+        far[a], far[:, a] = new, new
+        far[b], far[:, b] = np.inf, np.inf
+        sizes[a] += sizes[b]
+        owner[owner == b] = a
+    return owner != owner[0]
+
+
 class TwoClusters(Method):
     """Two opposite clusters of x1 - x0 by cosine; the direction is half their means' difference.
 
@@ -254,7 +370,7 @@ class TwoClusters(Method):
     rows and averaging unit vectors until no row changes.
     """
 
-    name = "unsupervised_mass_mean"
+    name = "two_means"
 
     def __init__(self, rounds: int = 100):
         self.rounds = rounds
@@ -303,7 +419,8 @@ METHODS = {
     "lr_gd": LogisticDescent,
     "ccs_gd": ContrastConsistency,
     "ccr": Reflection,
-    "unsupervised_mass_mean": TwoClusters,
+    "unsupervised_mass_mean": Agglomeration,
+    "two_means": TwoClusters,
 }
 
 
@@ -456,7 +573,7 @@ def fit_pairs(
         rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.size("x0")).alias("_d")),
         "group-sizes",
     )
-    is_large = F.col("_n") * F.col("_d") > task_cells
+    is_large = (F.col("_n") * F.col("_d") > task_cells) & (F.col("_n") > method.task_rows)
     large = [r.asDict() for r in sizes.filter(is_large).collect()]
     if not large:
         return _fit_in_tasks(rows, keys, method)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from premisa.functions.exprs import order_key
 from premisa.operators import fit, score, vectors
 from premisa.sources.staging import settle
 
@@ -67,6 +68,8 @@ def test_finds_the_planted_direction(spark, method, params, least):
         ("ccr", {"epochs": 8, "lr": 0.05}),
         ("lr_gd", {"epochs": 3, "lr": 0.05, "batch_size": 25}),
         ("unsupervised_mass_mean", {}),
+        ("unsupervised_mass_mean", {"exact": 10}),
+        ("two_means", {}),
         ("lr_sklearn", {}),
     ],
 )
@@ -370,3 +373,59 @@ def test_newton_sums_are_linear_in_the_width(spark):
         gradient = w + (weights * (1 / (1 + np.exp(-delta @ w)) - y)) @ delta
         assert r["converged"] and np.abs(gradient).max() < 1e-7
     np.testing.assert_allclose(found[0]["direction"], found[1]["direction"], rtol=0, atol=1e-9)
+
+
+def plain_clusters(units, linkage):
+    """Merges the nearest two clusters until two are left, from the distances of their members."""
+    far = 1 - units @ units.T
+    join = {"complete": np.max, "single": np.min, "average": np.mean}[linkage]
+    clusters = [[i] for i in range(len(units))]
+    between = far.copy()
+    np.fill_diagonal(between, np.inf)
+    while len(clusters) > 2:
+        a, b = sorted(np.unravel_index(between.argmin(), between.shape))
+        clusters[a] += clusters.pop(b)
+        between = np.delete(np.delete(between, b, 0), b, 1)
+        for k, other in enumerate(clusters):
+            if k != a:
+                between[a, k] = between[k, a] = join(far[np.ix_(clusters[a], other)])
+    side = np.zeros(len(units), bool)
+    side[next(c for c in clusters if 0 not in c)] = True
+    return side
+
+
+@pytest.mark.parametrize("linkage", ["complete", "average", "single"])
+@pytest.mark.parametrize("n", [2, 3, 40, 500])
+def test_linkage_equals_brute_force(linkage, n):
+    """Overlapping clusters, where two means and linkage differ."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 6)) + np.outer(rng.choice([-1, 1], n), [0.8, 0.4, 0, 0, 0, 0])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (fit.two_clusters(u, np.ones(n), linkage) == plain_clusters(u, linkage)).all()
+
+
+@pytest.mark.parametrize("linkage", ["complete", "average", "single"])
+def test_clusters_of_a_group(spark, linkage):
+    """Rows meet in hash order, whatever the mode; the direction is half the difference of the means."""
+    states, _ = planted(spark, n=70, groups=("g",), noise=1.5)
+    rows = vectors.sides(states).withColumn("k", order_key(0, "sample_id")).orderBy("k").collect()
+    delta = np.array([r["x1"] for r in rows]) - np.array([r["x0"] for r in rows])
+    side = plain_clusters(delta / np.linalg.norm(delta, axis=1, keepdims=True), linkage)
+    want = (delta[side].mean(0) - delta[~side].mean(0)) / 2
+    for cells in (10**9, 1):
+        got = fit.fit(states, KEYS, "unsupervised_mass_mean", linkage=linkage, task_cells=cells).first()
+        np.testing.assert_allclose(got["direction"], want, atol=1e-12)
+
+
+def test_clusters_beyond_the_exact_size(spark):
+    """Summed up by signs: the same in a task and spread, and the planted direction is found."""
+    states, direction = planted(spark, n=300, groups=("g",), noise=0.2)
+    found = [
+        fit.fit(states, KEYS, "unsupervised_mass_mean", exact=50, task_cells=cells).first()
+        for cells in (10**9, 1)
+    ]
+    np.testing.assert_allclose(found[0]["direction"], found[1]["direction"], atol=1e-12)
+    w = np.array(found[0]["direction"])
+    assert abs(w @ direction) / np.linalg.norm(w) > 0.98
+    with pytest.raises(ValueError, match="linkage is"):
+        fit.Agglomeration(linkage="ward")
