@@ -280,20 +280,16 @@ def test_tree_matching_size():
     assert size == 7
 
 
-def test_single_seeds_reach_no_passage():
-    places = np.array([500, 3, 100, 112, 900, 905])
-    got = chaining.crowded(places, chaining.K + chaining.WINDOW - 2, chaining.LEAST_WORDS - chaining.K)
-    assert got.tolist() == [False, False, True, True, True, True]
-    assert not len(chaining.crowded(np.zeros(0, int), 20, 44))
-
-
-def test_every_long_run_is_crowded():
-    """A run of fifty equal words has seeds far enough apart, whatever lies around it."""
-    r = random.Random(6)
+@pytest.mark.parametrize("window", [1, 2, 4, 16])
+def test_seeds_are_the_last_least_of_each_window(window):
+    r = random.Random(window)
     known = WordHash()
-    for _ in range(300):
-        words = [f"c{r.randrange(10**6)}".encode() for _ in range(r.randrange(50, 70))]
-        at, _ = chaining.seeds_of(
-            chaining.word_hashes(words, known), chaining.K, chaining.WINDOW
-        )
-        assert chaining.crowded(at, chaining.K + chaining.WINDOW - 2, 50 - chaining.K).all()
+    for n in range(60):
+        own = chaining.word_hashes([f"s{r.randrange(4)}".encode() for _ in range(n)], known)
+        at, h = chaining.seeds_of(own, 3, window)
+        grams = chaining.runs(own, 3) if n >= 3 else []
+        want = set()
+        for i in range(max(1, len(grams) - window + 1) if len(grams) else 0):
+            view = list(grams[i : i + window])
+            want.add(i + max(j for j, g in enumerate(view) if g == min(view)))
+        assert at.tolist() == sorted(want) and all(h == [grams[i] for i in at])
