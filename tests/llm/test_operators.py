@@ -541,3 +541,20 @@ def test_passages_made_of_frequent_pieces(spark):
     got = chaining.repeated_passages(docs).collect()
     last = set(range(17, len(rows), 18))
     assert {x.doc_id for x in got if x.other_id == x.doc_id - 1} == last == {x.doc_id for x in got}
+
+
+def test_passages_do_not_depend_on_hot_seeds(spark, monkeypatch):
+    """A passage in a third of all rows, with all of its seeds joined by broadcast and with none."""
+    r = random.Random(71)
+    passage = words(60, 900).split()
+    rows = []
+    for i in range(120):
+        body = passage if i % 3 == 0 else [f"v{i // 2}_{j}" for j in range(55)] if i % 3 == 1 else []
+        rows.append((i, " ".join([f"u{r.random()}" for _ in range(20)] + body)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = []
+    for hot in (1, 1000, 10**9):
+        monkeypatch.setattr(chaining, "HOT", hot)
+        found.append(sorted(map(tuple, chaining.repeated_passages(docs).collect())))
+    assert found[0] == found[1] == found[2]
+    assert {x[0] for x in found[0] if x[1] == 0} == set(range(3, 120, 3))

@@ -4,11 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from premisa.llm import bloom_lm, chaining, packing, repetition, setsketch, toxicity, trie_counts, wrapper
 from premisa.llm.common import tokenizer_file
-from premisa.llm.shingles import WordHash, mixed, shingle_set
+from premisa.llm.shingles import WordHash, mixed, shingle_set, word_hashes
 
 
 def longest_repeats(words):
@@ -234,7 +235,7 @@ def test_shared_runs_share_a_seed():
         for _ in range(2):
             words = [f"t{r.random()}".encode() for _ in range(r.randrange(60))]
             at = r.randrange(len(words) + 1)
-            hashes = chaining.word_hashes(words[:at] + run + words[at:], known)
+            hashes = word_hashes(words[:at] + run + words[at:], known)
             found.append(set(chaining.seeds_of(hashes, chaining.K, chaining.WINDOW)[1].tolist()))
         assert found[0] & found[1]
 
@@ -285,7 +286,7 @@ def test_seeds_are_the_last_least_of_each_window(window):
     r = random.Random(window)
     known = WordHash()
     for n in range(60):
-        own = chaining.word_hashes([f"s{r.randrange(4)}".encode() for _ in range(n)], known)
+        own = word_hashes([f"s{r.randrange(4)}".encode() for _ in range(n)], known)
         at, h = chaining.seeds_of(own, 3, window)
         grams = chaining.runs(own, 3) if n >= 3 else []
         want = set()
@@ -293,3 +294,30 @@ def test_seeds_are_the_last_least_of_each_window(window):
             view = list(grams[i : i + window])
             want.add(i + max(j for j, g in enumerate(view) if g == min(view)))
         assert at.tolist() == sorted(want) and all(h == [grams[i] for i in at])
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_words_of_many_texts_equal_splitting(chunk, monkeypatch):
+    """Equal words, and only these, have equal hashes; texts are parted as ``bytes.split`` parts them."""
+    monkeypatch.setattr(chaining, "CHUNK", chunk)
+    r = random.Random(8)
+    pieces = [" ", "\n", "\t\x0b", "a", "A", "b", "É", "é", "\u00a0", "\x00", "Zebra", "z" * 40]
+    texts = ["".join(r.choices(pieces, k=r.randrange(12))) for _ in range(200)] + [None, "", " ", "x", None]
+    want = [t.encode().lower().split() if t else [] for t in texts]
+    names, hashes = {}, {}
+    for column in (pa.array(texts), pa.array([None, *texts], pa.large_string())[1:]):
+        got = chaining.Words().of_texts(column)
+        assert [len(g) for g in got] == [len(w) for w in want]
+        for own, words in zip(got, want, strict=True):
+            for h, w in zip(own.tolist(), words, strict=True):
+                assert names.setdefault(h, w) == w and hashes.setdefault(w, h) == h
+    assert all(not len(x) for x in chaining.Words().of_texts(pa.array([None, "", None], pa.string())))
+    assert chaining.Words().of_texts(pa.array([], pa.string())) == []
+
+
+def test_sent_hashes_keep_their_lowest_bytes():
+    r = random.Random(9)
+    for n in (0, 1, 50):
+        own = np.array([r.randrange(1 << 64) for _ in range(n)], np.uint64)
+        got = chaining.unpacked(chaining.packed(own))
+        assert got.tolist() == [x % (1 << 40) for x in own.tolist()]
