@@ -29,6 +29,10 @@ def errors(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.with_errors(metrics.wide_predictions(tagged(spark, sf)))
 
 
+def staged_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.staged_errors(tagged(spark, sf))
+
+
 def aggr_stats(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.scores_of(tagged(spark, sf))
 
@@ -97,7 +101,7 @@ error_query("x7_supervised_error", ["error_sv", "error_sv_0", "error_sv_1"])
     "pooled",
 )
 def x8(spark, sf):
-    cells = metrics.cell_aggregates(errors(spark, sf))
+    cells = metrics.cell_aggregates(staged_errors(spark, sf))
     return rounded(metrics.error_aggregates(cells), GROUP)
 
 
@@ -247,7 +251,7 @@ def cell_query(name: str, columns: list[str]) -> None:
 
     @query(name, sql, "cells")
     def run(spark, sf):
-        cells = metrics.cell_aggregates(errors(spark, sf))
+        cells = metrics.cell_aggregates(staged_errors(spark, sf))
         return cells.select(*GROUP, "cell", *[r6(c) for c in columns])
 
 
@@ -266,7 +270,7 @@ cell_query("w7_order_statistics", ["n", "mean", "median", "trim_mean", "p20", "p
     "pooled",
 )
 def a12(spark, sf):
-    pooled = metrics.error_aggregates(metrics.cell_aggregates(errors(spark, sf)))
+    pooled = metrics.error_aggregates(metrics.cell_aggregates(staged_errors(spark, sf)))
     return pooled.select(*GROUP, *[r6(f"mean_{e}") for e in metrics.RATIO_ERRORS])
 
 

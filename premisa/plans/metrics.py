@@ -6,16 +6,13 @@ r = random letters, s = shuffled premise (r and s asserted or negated), pe = o -
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from premisa.functions.exprs import above_half, clip_zero, safe_div
 from premisa.operators.ranking import order_statistics
 from premisa.sources.catalog import VARIANTS
-from premisa.sources.staging import BROADCAST_BYTES, attach, settle, table_bytes
+from premisa.sources.staging import BROADCAST_BYTES, attach, matches, settle, table_bytes
 
 RUN = ["dataset", "model", "layer", "method"]
 GROUP = [*RUN, "subgroup"]
@@ -58,7 +55,9 @@ def with_subgroups(predictions: DataFrame) -> DataFrame:
     if table_bytes(runs) <= BROADCAST_BYTES:
         probes = runs.select(F.xxhash64(*RUN).alias("_run"), *(F.col(k).alias(f"_{k}") for k in RUN), "_own")
         own = F.when(F.col("train_variant") == F.col("variant"), F.xxhash64(*RUN))
-        met = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in RUN), own == F.col("_run"))
+        # one number is the join's key; the columns are compared where it is met
+        equal = (F.col(k).eqNullSafe(F.col(f"_{k}")).cast("int") for k in RUN)
+        met = (own == F.col("_run")) & (sum(equal, F.lit(0)) == len(RUN))
         flagged = predictions.join(F.broadcast(probes), met, "left")
         same = F.col("_own").isNotNull()
     else:
@@ -126,15 +125,28 @@ def cells_long(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 
 def cell_aggregates(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
-    """Exact mean, median, trimmed mean, 20th and 80th percentile of every error cell."""
-    stats = order_statistics(
-        cells_long(errors, keys),
-        [*keys, "cell"],
-        "value",
-        {"median": 0.5, "p20": 0.2, "p80": 0.8},
-        trim=0.2,
-    )
-    return stats
+    """Exact mean, median, trimmed mean, 20th and 80th percentile of every error cell.
+
+    The rows are read three times, so they are best staged. Groups are numbered while their rows are still
+    wide: the cells' values carry one number, unless there are too many groups to send to the tasks.
+    """
+    asked = {"median": 0.5, "p20": 0.2, "p80": 0.8}
+    names = [c for cells in CELLS.values() for c in cells]
+    number = F.monotonically_increasing_id()
+    groups = settle(errors.select(*keys).distinct().withColumn("_group", number), "groups")
+    if table_bytes(groups) > BROADCAST_BYTES:
+        return order_statistics(cells_long(errors, keys), [*keys, "cell"], "value", asked, trim=0.2)
+    known = groups.select(*(F.col(k).alias(f"_{k}") for k in keys), "_group")
+    met = matches([F.col(k) for k in keys], [F.col(f"_{k}") for k in keys])
+    rows = errors.join(F.broadcast(known), met).select("_group", *names)
+    values = rows.select("_group", F.posexplode(F.array(*names)).alias("_c", "value"))
+    # negative numbers of groups do not occur, so a cell's number is unique
+    cells = values.select((F.col("_group") * len(names) + F.col("_c")).alias("_cell"), "value")
+    stats = order_statistics(cells, ["_cell"], "value", asked, trim=0.2)
+    place = (F.pmod("_cell", F.lit(len(names))) + 1).cast("int")
+    cell = F.element_at(F.array(*map(F.lit, names)), place).alias("cell")
+    stats = stats.select(F.expr(f"_cell div {len(names)}").alias("_group"), cell, *stats.columns[1:])
+    return stats.join(F.broadcast(groups), "_group").select(*keys, *stats.columns[1:])
 
 
 def error_aggregates(cells: DataFrame, keys: list[str] = GROUP) -> DataFrame:
@@ -179,14 +191,21 @@ def probability_means(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     )
 
 
+def staged_errors(tagged: DataFrame) -> DataFrame:
+    """The errors of predictions that carry their ``subgroup``, to be read more than once.
+
+    Staged are the pivoted predictions; the errors are worked out from them whenever they are read, as they are
+    twice as many numbers and compress worse.
+    """
+    return with_errors(settle(wide_predictions(tagged).drop("sample_id"), "wide"))
+
+
 def scores_of(tagged: DataFrame) -> DataFrame:
     """Aggregates, probabilities and metrics of predictions that carry their ``subgroup``.
 
     The result is staged, as the ranks and the best layers read it several times.
     """
-    used_up = [f"{origin}_{side}_prem" for origin in ("random", "shuffle") for side in ("pos", "neg")]
-    errors = with_errors(wide_predictions(tagged)).drop("sample_id", *used_up)
-    errors = settle(errors, "errors")
+    errors = staged_errors(tagged)
     aggregates = error_aggregates(cell_aggregates(errors))
     means = probability_means(errors)
     return settle(attach(means, settle(aggregates, "aggregates"), GROUP, GROUP, "left"), "aggr-stats")
