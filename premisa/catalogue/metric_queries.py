@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premisa.catalogue.registry import query, r6
+from premisa.functions import exprs
 from premisa.functions.exprs import above_half, clip_zero, safe_div
 from premisa.operators.ranking import order_statistics
 from premisa.plans import causal, figures, metrics, rank
@@ -17,7 +18,7 @@ G = "dataset, model, layer, method, subgroup"
 
 
 def all_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.predictions(spark, sf).unionByName(fx.predictions_same(spark, sf))
+    return fx.all_predictions(spark, sf)
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +39,12 @@ def aggr_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[r6(c) for c in df.columns if c not in keys])
+    values = [
+        exprs.rounded(c, 6).alias(c) if kind == "double" else r6(c)
+        for c, kind in df.dtypes
+        if c not in keys
+    ]
+    return df.select(*keys, *values)
 
 
 def sql_rounded(columns: str) -> str:

@@ -124,16 +124,20 @@ def cells_long(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     return errors.unpivot(keys, names, "cell", "value")
 
 
-def cell_aggregates(errors: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+def cell_aggregates(
+    errors: DataFrame, keys: list[str] = GROUP, groups: DataFrame | None = None
+) -> DataFrame:
     """Exact mean, median, trimmed mean, 20th and 80th percentile of every error cell.
 
     The rows are read three times, so they are best staged. Groups are numbered while their rows are still
     wide: the cells' values carry one number, unless there are too many groups to send to the tasks.
+    ``groups`` is a staged table with one row per group, if the caller has one; else a pass finds them.
     """
     asked = {"median": 0.5, "p20": 0.2, "p80": 0.8}
     names = [c for cells in CELLS.values() for c in cells]
     number = F.monotonically_increasing_id()
-    groups = settle(errors.select(*keys).distinct().withColumn("_group", number), "groups")
+    found = errors.select(*keys).distinct() if groups is None else groups.select(*keys)
+    groups = settle(found.withColumn("_group", number), "groups")
     if table_bytes(groups) > BROADCAST_BYTES:
         return order_statistics(cells_long(errors, keys), [*keys, "cell"], "value", asked, trim=0.2)
     known = groups.select(*(F.col(k).alias(f"_{k}") for k in keys), "_group")
@@ -206,8 +210,8 @@ def scores_of(tagged: DataFrame) -> DataFrame:
     The result is staged, as the ranks and the best layers read it several times.
     """
     errors = staged_errors(tagged)
-    aggregates = error_aggregates(cell_aggregates(errors))
-    means = probability_means(errors)
+    means = settle(probability_means(errors), "means")
+    aggregates = error_aggregates(cell_aggregates(errors, groups=means))
     return settle(attach(means, settle(aggregates, "aggregates"), GROUP, GROUP, "left"), "aggr-stats")
 
 

@@ -101,3 +101,14 @@ def test_text_id_separates_values(spark):
     assert one(spark, schema, ("ab", "c"), X.text_id("a", "b", separator="")) == one(
         spark, schema, ("a", "bc"), X.text_id("a", "b", separator="")
     )
+
+
+@pytest.mark.parametrize("digits", [3, 6])
+def test_rounded_is_round(spark, digits):
+    """Ties, neighbours of ties, signs, zeros, numbers without a fraction and what is no number."""
+    ties = [k / 2 / 10**digits for k in range(-9, 10)]
+    near = [math.nextafter(x, to) for x in ties for to in (INF, -INF)]
+    rest = [NAN, INF, -INF, 0.0, -0.0, None, 1e300, -1e-300, 2.0**52, 123456789.1234565, 0.1 + 0.2, -2 / 3]
+    df = spark.createDataFrame([(x,) for x in ties + near + rest], "x double")
+    rows = df.select(X.rounded("x", digits).alias("a"), F.round("x", digits).alias("b")).collect()
+    assert [str(r["a"]) for r in rows] == [str(r["b"]) for r in rows]

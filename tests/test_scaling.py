@@ -3,10 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from premisa.catalogue import text_queries
+from premisa.catalogue import metric_queries, text_queries
 from premisa.operators import ranking
 from premisa.plans import figures, metrics
 from premisa.sources import fixtures as fx
+from premisa.sources.staging import settle
 
 
 def plan(df):
@@ -81,3 +82,31 @@ def test_box_stages_no_rows_and_cuts_buckets(spark, monkeypatch):
             assert (got["low"], got["high"], got["n"]) == (min(kept), max(kept), len(all_))
             assert np.isclose(got["median"], np.median(all_))
     assert "strip" not in staged
+
+
+def test_all_predictions_are_made_in_one_pass(spark, sf):
+    every = metric_queries.all_predictions(spark, sf)
+    apart = fx.predictions(spark, sf).unionByName(fx.predictions_same(spark, sf))
+    assert "Union" not in plan(every)
+    assert every.columns == apart.columns
+    assert every.exceptAll(apart).isEmpty() and apart.exceptAll(every).isEmpty()
+
+
+def test_a_task_pivots_what_the_fast_hash_map_holds():
+    groups = 3 * 2 * 3 + 2  # training sets x layers x methods, and two probes trained on themselves
+    assert fx.SPREAD_ROWS * groups <= 2**16
+
+
+def test_cells_take_the_groups_of_the_means(spark, sf):
+    errors = metric_queries.staged_errors(spark, sf)
+    means = settle(metrics.probability_means(errors), "means")
+    alone, given = metrics.cell_aggregates(errors), metrics.cell_aggregates(errors, groups=means)
+    keys = [*metrics.GROUP, "cell", "n", "median", "p20", "p80"]
+    assert sorted(alone.select(keys).collect()) == sorted(given.select(keys).collect())
+
+
+def test_shuffles_go_with_their_query(spark):
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    df = spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count().orderBy("k")
+    assert df.collect() == df.collect()
+    assert settle(df, "once").count() == df.count() == 10
