@@ -1,5 +1,7 @@
 """What must not grow with the input: broadcasts, partitions, staged rows and join keys."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -103,3 +105,22 @@ def test_cells_take_the_groups_of_the_means(spark, sf):
     alone, given = metrics.cell_aggregates(errors), metrics.cell_aggregates(errors, groups=means)
     keys = [*metrics.GROUP, "cell", "n", "median", "p20", "p80"]
     assert sorted(alone.select(keys).collect()) == sorted(given.select(keys).collect())
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_a_staged_table_go_when_it_is_written(spark):
+    df = spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count()
+    before = shuffle_files(spark)
+    staged = settle(df, "once")
+    left = shuffle_files(spark) - before
+    for _ in range(100):  # they are removed in the background
+        if not left:
+            break
+        time.sleep(0.1)
+        left = shuffle_files(spark) - before
+    assert not left
+    assert staged.count() == df.count() == settle(df, "again").count() == 10
