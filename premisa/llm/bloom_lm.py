@@ -513,10 +513,12 @@ def score(
         F.sum("n").alias("_known"),
         F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - float(unit))).alias("_sum"),
     )
+    # two numbers a text: staged one after the other, so the shuffles of their words are never there together
+    tails = settle(tails, "tails")
     rest = scored.drop("tail", "open").join(tails, "_row", "left")
     total = F.col("score")
     if model.below is not None:
-        rest = rest.join(settled(scored, model), "_row", "left")
+        rest = rest.join(settle(settled(scored, model), "open"), "_row", "left")
         total = total + F.coalesce("_open", F.lit(0.0))
     known = F.col("n_hot") + F.coalesce("_known", F.lit(0))
     return rest.select(

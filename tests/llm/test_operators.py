@@ -558,3 +558,21 @@ def test_passages_do_not_depend_on_hot_seeds(spark, monkeypatch):
         found.append(sorted(map(tuple, chaining.repeated_passages(docs).collect())))
     assert found[0] == found[1] == found[2]
     assert {x[0] for x in found[0] if x[1] == 0} == set(range(3, 120, 3))
+
+
+def test_lm_joins_words_apart_from_the_last_query(spark, monkeypatch):
+    """What is joined per word is staged per text: the result itself joins and groups no words."""
+    docs = spark.createDataFrame([(str(i), f"rare{i} word{i % 3} end") for i in range(60)], "doc_id string, text string")
+    lm, counts = bloom_lm.learn(docs, F.lit(True), contexts=2, max_bits=1 << 8)
+    staged, inner = [], bloom_lm.settle
+
+    def spy(df, name):
+        staged.append(name)
+        return inner(df, name)
+
+    monkeypatch.setattr(bloom_lm, "settle", spy)
+    got = bloom_lm.score(docs, lm, counts)
+    assert staged == ["scored", "tails"] + ["open"] * (lm.below is not None)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in text and "Generate" not in text
+    assert got.count() == 60
